@@ -289,9 +289,9 @@ def _stats(df):
     return df.agg(F.count("*").alias("total_works"), F.count_if("is_completed").alias("completed"), F.count_if("is_open").alias("open_works"), F.count_distinct("state_name").alias("states"), F.count_distinct("constituency").alias("constituencies"), F.count_distinct("implementing_agency").alias("agencies"), F.round(F.sum("recommended_amount"), 2).alias("recommended"), F.round(F.sum("rs_exposure"), 2).alias("exposure"), F.count_if(leads()).alias("leads"), F.count_if(F.col("band") == "HIGH").alias("high"))
 
 
-@query(SQL["d1_d25_national_stats"] + " WHERE state_name = 'NATION_05'")
+@query(SQL["d1_d25_national_stats"] + " WHERE state_name = 'NATION_5'")
 def d20_b19_scoped_stats(spark, sf_dir):
-    return _stats(search.visible(scored(spark, sf_dir), "state", "NATION_05"))
+    return _stats(search.visible(scored(spark, sf_dir), "state", "NATION_5"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT state_name, count(*) AS works, round(sum(rs_exposure), 2) AS exposure, count_if(band IN ('MEDIUM', 'HIGH')) AS leads FROM scored GROUP BY ALL")
@@ -327,9 +327,9 @@ def _entity(df, column: str, part: str):
     return df.where(F.contains(F.lower(column), F.lit(part))).agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.count_if(leads()).alias("leads"), names.alias("names"))
 
 
-@query(_entity_sql("implementing_agency", "nation_05/"))
+@query(_entity_sql("implementing_agency", "nation_5/"))
 def d9_agency_profile(spark, sf_dir):
-    return _entity(scored(spark, sf_dir), "implementing_agency", "nation_05/")
+    return _entity(scored(spark, sf_dir), "implementing_agency", "nation_5/")
 
 
 @query(_entity_sql("mp_name", "000001"))
@@ -337,9 +337,9 @@ def d10_mp_profile(spark, sf_dir):
     return _entity(scored(spark, sf_dir), "mp_name", "000001")
 
 
-@query(f"WITH {SCORED_SQL} SELECT state_name, count(*) AS works, round(sum(recommended_amount), 2) AS total, count_if(is_completed) AS completed, count_if(band IN ('MEDIUM', 'HIGH')) AS leads, round(coalesce(sum(rs_exposure) FILTER (band IN ('MEDIUM', 'HIGH')), 0), 2) AS lead_exposure FROM scored WHERE state_name = 'NATION_06' GROUP BY ALL")
+@query(f"WITH {SCORED_SQL} SELECT state_name, count(*) AS works, round(sum(recommended_amount), 2) AS total, count_if(is_completed) AS completed, count_if(band IN ('MEDIUM', 'HIGH')) AS leads, round(coalesce(sum(rs_exposure) FILTER (band IN ('MEDIUM', 'HIGH')), 0), 2) AS lead_exposure FROM scored WHERE state_name = 'NATION_6' GROUP BY ALL")
 def d11_state_answer(spark, sf_dir):
-    rows = search.visible(scored(spark, sf_dir), "state", "NATION_06").groupBy("state_name")
+    rows = search.visible(scored(spark, sf_dir), "state", "NATION_6").groupBy("state_name")
     return rows.agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.count_if("is_completed").alias("completed"), F.count_if(leads()).alias("leads"), F.round(F.coalesce(F.sum(F.when(leads(), F.col("rs_exposure"))), F.lit(0.0)), 2).alias("lead_exposure"))
 
 
@@ -413,9 +413,9 @@ def f2_paging(spark, sf_dir):
     return _row(search.top(search.worklist(scored(spark, sf_dir)), 50, 100))
 
 
-@query(f"WITH {SCORED_SQL} {_ROW} WHERE state_name = 'NATION_07' AND band IN ('MEDIUM', 'HIGH') ORDER BY scored.audit_roi DESC, work_ref LIMIT 20")
+@query(f"WITH {SCORED_SQL} {_ROW} WHERE state_name = 'NATION_7' AND band IN ('MEDIUM', 'HIGH') ORDER BY scored.audit_roi DESC, work_ref LIMIT 20")
 def f4_top_leads_of_state(spark, sf_dir):
-    return _row(search.top(search.worklist(scored(spark, sf_dir), state="NATION_07"), 20))
+    return _row(search.top(search.worklist(scored(spark, sf_dir), state="NATION_7"), 20))
 
 
 @query(f"WITH {SCORED_SQL}, a AS ({_ROW} WHERE band = 'HIGH' ORDER BY scored.audit_roi DESC, work_ref LIMIT 2), b AS ({_ROW} WHERE band = 'NONE' ORDER BY work_ref LIMIT 2) SELECT * FROM a UNION ALL SELECT * FROM b")
