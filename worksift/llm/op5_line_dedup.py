@@ -68,7 +68,9 @@ def _variants(lines: DataFrame) -> DataFrame:
         return F.aggregate(F.transform("words", lambda w, i: _hash(w, i - shift, seed)), F.lit(0).cast("long"), lambda a, x: a + x)
 
     whole = lines.select("k1", "k2", "ord", F.lit(True).alias("base"), F.col("n").alias("size"), F.lit(-1).alias("at"), total(0, 1).alias("t1"), total(0, 2).alias("t2"))
-    words = lines.select("k1", "k2", "ord", "n", "by_first", "by_last", total(1, 1).alias("s1"), total(1, 2).alias("s2"), F.posexplode("words").alias("at", "word"))
+    # The sums stand below the generator: beside it they would be taken anew for every word.
+    words = lines.withColumns({"s1": total(1, 1), "s2": total(1, 2)})
+    words = words.select("k1", "k2", "ord", "n", "by_first", "by_last", "s1", "s2", F.posexplode("words").alias("at", "word"))
     before = Window.partitionBy("k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     for seed in (1, 2):
@@ -98,9 +100,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, row, dropped): numbers of the lines, from 0, that repeat an earlier line."""
     ord_ = F.struct(*ORD)
-    seen = cut(_lines(docs, min_words).select(*ORD, "k1", "k2", _halves().alias("halves")))
+    seen = cut(_lines(docs, min_words).select(*ORD, "k1", "k2", _halves()["half"].alias("halves")))
 
-    halves = seen.select("k1", F.explode("halves").alias("x")).groupBy("x.half").agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
+    halves = seen.select("k1", F.explode("halves").alias("half")).groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
     shared = cut(halves.where("a <> b").select("half"))
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
     live = _lines(docs, min_words).withColumn("x", F.explode(_halves())).select(*ORD, "k1", "k2", "n", "words", "x.first", "x.half").join(shared, "half")
