@@ -25,20 +25,28 @@ from pyspark.sql import functions as F
 from worksift.llm.common import cut, let, words_of
 
 MIN_WORDS = 8
-#: Shared halves are broadcast up to this count of 8-byte keys, and joined by shuffle beyond it.
-BROADCAST_KEYS = 1_000_000
+#: Sides of joins are broadcast up to this count of short rows, and joined by shuffle beyond it.
+BROADCAST_ROWS = 1_000_000
 ORD = ["doc", "row", "line"]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A materialised side of a join, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """Add the document's key: ``doc``, and ``row`` to tell apart texts that share a doc_id."""
     return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64(F.col("text").cast("string"))})
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, row, line, words, n, k1, k2) of the lines that are compared."""
-    text = F.col("text").cast("string")
-    lines = _rows(docs).select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line", "words"))
+def _lines(docs: DataFrame, min_words: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, row, line, words, n, k1, k2) of the lines that are compared; only of the ``wanted`` ones (doc, row, wanted) if given."""
+    rows = _rows(docs).select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    if wanted is None:
+        lines = rows.select("doc", "row", F.posexplode("lines").alias("line", "words"))
+    else:
+        lines = rows.join(wanted, ["doc", "row"]).select("doc", "row", "lines", F.explode("wanted").alias("line")).withColumn("words", F.get("lines", F.col("line"))).drop("lines")
     lines = lines.withColumn("words", words_of(F.lower("words"))).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
     whole = F.array_join("words", " ")
     return lines.withColumns({"k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit("second"), whole)})
@@ -103,25 +111,28 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seen = cut(_lines(docs, min_words).select(*ORD, "k1", "k2", _halves()["half"].alias("halves")))
 
     halves = seen.select("k1", F.explode("halves").alias("half")).groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
-    shared = cut(halves.where("a <> b").select("half"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    live = _lines(docs, min_words).withColumn("x", F.explode(_halves())).select(*ORD, "k1", "k2", "n", "words", "x.first", "x.half").join(shared, "half")
+    shared = small(cut(halves.where("a <> b").select("half")))
+    wanted = seen.select(*ORD, F.explode("halves").alias("half")).join(shared, "half").groupBy("doc", "row").agg(F.collect_set("line").alias("wanted"))
+    wanted = small(cut(wanted))
+    live = _lines(docs, min_words, wanted).select(*ORD, "k1", "k2", "n", "words", F.explode(_halves()).alias("x")).select("*", "x.first", "x.half").join(shared, "half")
     live = live.groupBy("k1", "k2").agg(F.min(ord_).alias("ord"), F.first("n").alias("n"), F.first("words").alias("words"), F.max("first").alias("by_first"), F.max(~F.col("first")).alias("by_last"))
     live = cut(live)
 
     keys = ["size", "at", "t1", "t2"]
     variants = _variants(live)
     met = variants.groupBy(*keys).agg(F.min(F.when(F.col("base"), F.col("ord"))).alias("whole"), F.min(F.when(~F.col("base"), F.col("ord"))).alias("less"), F.count("*").alias("m")).where("m > 1")
+    met = small(cut(met))
     partner = F.when((F.col("at") >= 0) | F.col("base"), F.col("less")).otherwise(F.col("whole"))
     pairs = variants.join(met, keys).withColumn("partner", partner).where("partner < ord").select("k1", "k2", "partner").distinct()
     texts = live.select("k1", "k2", "ord", "words")
     near = pairs.join(texts.select("k1", "k2", "words"), ["k1", "k2"]).join(texts.select(F.col("ord").alias("partner"), F.col("words").alias("other")), "partner")
     near = near.where(within_one_edit(F.col("words"), F.col("other"))).select("k1", "k2").distinct()
 
-    copies = seen.groupBy("k1", "k2").agg(F.min(ord_).alias("kept"), F.count("*").alias("m")).where("m > 1")
-    reasons = copies.select("k1", "k2", "kept", F.lit(False).alias("near")).unionByName(near.select("k1", "k2", F.lit(None).cast(copies.schema["kept"].dataType).alias("kept"), F.lit(True).alias("near")))
-    reasons = reasons.groupBy("k1", "k2").agg(F.min("kept").alias("kept"), F.max("near").alias("near"))
-    dropped = seen.select(*ORD, "k1", "k2").join(reasons, ["k1", "k2"]).where(F.col("near") | (ord_ != F.col("kept")))
+    copies = seen.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(False).alias("near"))
+    reasons = copies.unionByName(near.withColumn("near", F.lit(True))).groupBy("k1", "k2").agg(F.max("near").alias("near"))
+    hits = cut(seen.select(*ORD, "k1", "k2").join(small(cut(reasons)), ["k1", "k2"]))
+    kept = hits.groupBy("k1", "k2").agg(F.min(ord_).alias("kept"))
+    dropped = hits.join(kept, ["k1", "k2"]).where(F.col("near") | (ord_ != F.col("kept")))
     return dropped.groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
