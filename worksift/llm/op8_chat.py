@@ -6,6 +6,8 @@ id that starts with it. A conversation's own nodes are therefore one chain that
 first means: a chain, then the chains that hang on it, from its deepest node up, each with all that hangs on it. Every node is
 emitted once with its tokens, its place in its tree's token sequence, its position id (the tokens before it on its own path)
 and the intervals of ancestors' tokens that it may attend to besides its own chain. ``members`` says which nodes make up a conversation.
+Different turns (by two 64-bit hashes of role and text) are formatted and cut into tokens once and stored; sums, chains and
+trees are worked out on short rows that carry these hashes only.
 
 No conversation or tree is gathered in one task: running sums split a hot key, and what one row carries grows with the count
 of branchings on its path only.
@@ -26,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut, running_sum, running_sums, small_batches
+from worksift.llm.common import cut, running_sum, running_sums, small_batches, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates read as control strings.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LEARNT_ROLE = "assistant"
+#: Hashes that name a formatted turn.
+SEGMENT = ("d1", "d2")
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 _ESCAPED = re.compile("|".join([r"\\", *map(re.escape, CONTROLS)]))
 _UNESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -57,7 +61,7 @@ def parse(formatted: str) -> tuple[str, str]:
     return unescape(head[len(START) :]), unescape(rest[: -len(END) - 1])
 
 
-def _nodes(rows: DataFrame, ranks_file: str) -> DataFrame:
+def _formatted(rows: DataFrame, ranks_file: str) -> DataFrame:
     """Add the formatted segment, its tokens and the span that the loss covers, in characters and in tokens."""
     import public_tokenizers
 
@@ -91,20 +95,32 @@ def prefix_trees(conversations: DataFrame, ranks_file: str | None = None) -> tup
     Nodes: owner, idx, n_conversations, tree, offset (in the tree's tokens), position (id of the first token), n_tokens,
     formatted, ids, loss spans, attention (ancestors' token intervals in the tree, outermost first).
     """
+    nodes, segments, members = prefix_forest(conversations, ranks_file)
+    return nodes.join(segments.drop("n_tokens"), [*SEGMENT]).drop(*SEGMENT), members
+
+
+def prefix_forest(conversations: DataFrame, ranks_file: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``prefix_trees``, with the nodes' segments (formatted, ids, loss spans) in a table of their own, by ``SEGMENT``."""
     import public_tokenizers
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), F.xxhash64(text).alias("digest"))
-    turns = running_sum(turns, ["conv_id"], ["turn", "role", "digest"], F.lit(1).cast("long"), "idx")
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role, text)
+    turns = turns.withColumns({name: F.xxhash64(F.lit(seed), "role", "text") for seed, name in enumerate(SEGMENT)})
+    segments = turns.groupBy(*SEGMENT).agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    segments = stored(_formatted(segments, ranks_file or public_tokenizers.path(RANKS_FILE)).withColumn("n_tokens", F.size("ids").cast("long")))
+
+    order = ["turn", "role", "digest"]
+    turns = turns.select("conv_id", "turn", "role", F.xxhash64("text").alias("digest"), *SEGMENT)
+    turns = running_sum(turns, ["conv_id"], order, F.lit(1).cast("long"), "idx").drop(*order)
 
     def hashed(seed: int):  # 38 bits, so that sums over a conversation don't overflow
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "idx", "role", "text"), 26)
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "idx", *SEGMENT), 26)
 
-    turns = running_sums(turns.select("conv_id", "idx", "role", "text", hashed(1).alias("h1"), hashed(2).alias("h2")), ["conv_id"], ["idx"], {"p1": F.col("h1"), "p2": F.col("h2")})
+    turns = running_sums(turns.withColumns({"h1": hashed(1), "h2": hashed(2)}), ["conv_id"], ["idx"], {"p1": F.col("h1"), "p2": F.col("h2")})
     key = ["idx", "p1", "p2"]
-    turns = cut(turns.withColumns({"p1": F.col("p1") + F.col("h1"), "p2": F.col("p2") + F.col("h2")}))
-    nodes = turns.groupBy(*key).agg(F.min("conv_id").alias("owner"), F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("n_conversations"))
-    nodes = cut(_nodes(nodes, ranks_file or public_tokenizers.path(RANKS_FILE)).withColumn("n_tokens", F.size("ids").cast("long")))
+    turns = cut(turns.select("conv_id", "idx", (F.col("p1") + F.col("h1")).alias("p1"), (F.col("p2") + F.col("h2")).alias("p2"), *SEGMENT))
+    nodes = turns.groupBy(*key).agg(F.min("conv_id").alias("owner"), *(F.first(c).alias(c) for c in SEGMENT), F.count("*").alias("n_conversations"))
+    nodes = cut(nodes.join(segments.select(*SEGMENT, "n_tokens"), [*SEGMENT]))
     members = cut(turns.select("conv_id", *key).join(nodes.select(*key, "owner", "n_tokens"), key).select("conv_id", "idx", "owner", "n_tokens"))
 
     placed = running_sum(members, ["conv_id"], ["idx"], F.col("n_tokens"), "position")
@@ -132,11 +148,14 @@ def prefix_trees(conversations: DataFrame, ranks_file: str | None = None) -> tup
     laid = laid.select("owner", "tree", "offset", "begins").join(spans, "owner", "left")
     attention = F.transform(F.coalesce("spans", F.array().cast("array<struct<k:int,start:bigint,end:bigint>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     nodes = nodes.join(laid, "owner").withColumns({"offset": F.col("offset") + F.col("position") - F.col("begins"), "attention": attention})
-    return nodes.drop("begins", "spans"), members.select("conv_id", "idx", "owner")
+    return nodes.drop("begins", "spans"), segments, members.select("conv_id", "idx", "owner")
 
 
-def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted turns alone. Conversations stream through, they aren't gathered."""
+def read_back(nodes: DataFrame, members: DataFrame, by: tuple[str, ...] = ("owner", "idx")) -> DataFrame:
+    """Digests of each conversation, from its formatted turns alone. Conversations stream through, they aren't gathered.
+
+    ``nodes`` may also be the segments, if ``members`` have their hashes and ``by`` names them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -166,7 +185,7 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    turns = members.join(nodes.select("owner", "idx", "formatted", "loss_from", "loss_to"), ["owner", "idx"])
+    turns = members.join(nodes.select(*by, "formatted", "loss_from", "loss_to"), [*by])
     turns = turns.select("conv_id", "idx", "formatted", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "idx")
     return turns.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -176,6 +195,5 @@ def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     asked = "</s>[INST] ok [/INST]"
     more = rows.sparkSession.createDataFrame([(-7, 0, "user", asked), (-7, 1, "assistant", asked)], rows.schema)
-    return read_back(*prefix_trees(rows.unionByName(more)))
-
-
+    nodes, segments, members = prefix_forest(rows.unionByName(more))
+    return read_back(segments, members.join(nodes.select("owner", "idx", *SEGMENT), ["owner", "idx"]), SEGMENT)
