@@ -74,6 +74,41 @@ def test_guard():
         ingest.guard_rows("x", 10, 4)
 
 
+def test_log_refuses_unknown_outcomes(spark, tmp_path):
+    rows = spark.createDataFrame([("W1", "seen"), ("W2", "absent")], "work_ref string, outcome string")
+    for _ in range(2):
+        ingest.append_log(rows, str(tmp_path / "log"), ["seen", "absent"])
+    for wrong in ("other", None):
+        with pytest.raises(Exception, match="unknown outcome"):
+            ingest.append_log(rows.unionByName(spark.createDataFrame([("W3", wrong)], rows.schema)), str(tmp_path / "log"), ["seen", "absent"])
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_rows_of_split_files_are_numbered(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 1), ("c", 3000)):
+        (tmp_path / f"{name}.csv").write_text("house,mp_id\n" + "".join(f"LS,{k}\n" for k in range(n)))
+    with_splits = ("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set(*with_splits)
+    try:
+        rows = ingest.read_export(spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.unset(with_splits[0])
+    assert len(rows) == 8001 and (rows["mp_id"].astype(int) == rows["raw_row_index"]).all()
+
+
+@pytest.mark.parametrize("text,shown", [(" a lead ", "a lead"), ("Guilty!", ""), ("no CORRUPTED file", ""), ("guiltyish", "guiltyish"), (None, None)])
+def test_wording_guard(spark, text, shown):
+    assert one(spark, tx.guarded(F.lit(text).cast("string"))) == shown
+
+
+def test_archetypes_keep_works_without_a_cluster(spark):
+    works = spark.createDataFrame([("W1", "road"), ("W2", "well"), ("W3", None), ("W4", "hall")], "work_ref string, work_description string")
+    assigned = spark.createDataFrame([("road", 1), ("hall", 2)], "work_description string, archetype_id int")
+    catalog = spark.createDataFrame([(1, "Roads")], "archetype_id int, archetype_label string")
+    got = {r.work_ref: (r.archetype_id, r.archetype_label) for r in peers.add_archetypes(works, assigned, catalog).collect()}
+    assert got == {"W1": (1, "Roads"), "W2": (-1, "Unassigned"), "W3": (-1, "Unassigned"), "W4": (2, "Unassigned")}
+
+
 def test_csv_contract(spark, tmp_path):
     good, bad, stage = (tmp_path / n for n in ("good.csv", "bad.csv", "stage.csv"))
     good.write_text("house,mp_id,tile_label,WORK_RECOMMENDATION_DTL_ID,RECOMMENDATION_DATE,RECOMMENDED_AMOUNT\nLS,7,Works Recommended,1,05-Mar-2024,10.5\nLS,7,Works Recommended,2,2024-03-05,ten\nLS,7,Works Recommended,,,\n")

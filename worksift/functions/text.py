@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 CONFUSED, DIGITS = "OoIilLZzSsBb", "001111225588"
 _DIGIT = r"[OoIilLZzSsBb0-9]"
 REFERENCE = rf"(?i)MP\s*({_DIGIT}{{5,10}})\s*[-–—_]\s*W\s*({_DIGIT}{{2,10}})"
+#: Words that no generated text may hold, because leads aren't verdicts.
+BANNED = ("fraud", "fraudulent", "corrupt[A-Za-z]*", "embezzl[A-Za-z]*", "guilty", "criminal")
+_LETTER = r"\p{L}\p{N}_"
+WORDING = rf"(?i)(^|[^{_LETTER}])({'|'.join(BANNED)})([^{_LETTER}]|$)"
 AMOUNT = r"(?i)(?:rs|inr|₹)\s*\.?\s*([0-9,]+(?:\.[0-9]+)?)\s*(crore|cr|lakh|lac|l)?\b"
 
 
@@ -55,6 +59,11 @@ def line_confidence(lines: Column, fragment: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.filter(lines, lambda x: F.contains(x["text"], fragment)), lambda x: x["confidence"])), F.lit(0.0))
 
 
+def guarded(text: Column) -> Column:
+    """Generated text, trimmed; empty if it holds a banned word."""
+    return F.when(F.regexp(text, F.lit(WORDING)), "").otherwise(F.trim(text))
+
+
 def row_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *columns), 256)
 

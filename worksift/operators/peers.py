@@ -75,3 +75,11 @@ def add_risk(works: DataFrame, risk: DataFrame, key: str = "activity_category",
     joined = works.join(risk.select(key, F.col(column).alias("_risk")), key, "left")
     score = F.when(F.col("is_completed"), 0.0).otherwise(F.least(F.greatest(F.coalesce("_risk", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
     return joined.withColumns({"risk_score": score, "risk_level_used": F.when(F.col("_risk").isNotNull(), "model").otherwise("unscored")}).drop("_risk")
+
+
+def add_archetypes(works: DataFrame, assigned: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Description to cluster (by its hash and text), and cluster to its label; works without either keep defaults."""
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64("work_description"))
+    out = hashed(works).join(hashed(assigned.select("work_description", "archetype_id")), ["_hash", "work_description"], "left").drop("_hash")
+    out = out.join(catalog.select("archetype_id", "archetype_label"), "archetype_id", "left")
+    return out.withColumns({"archetype_id": F.coalesce("archetype_id", F.lit(-1)), "archetype_label": F.coalesce("archetype_label", F.lit("Unassigned"))})

@@ -43,6 +43,9 @@ def lng(column, name: str | None = None):
     return F.col(column).cast("long").alias(name or column)
 
 
+#: The domain of the events that stand for verifications.
+OUTCOMES = ["click", "error", "purchase", "signup", "view"]
+
 # ---------------------------------------------------------------- sources and ingest
 
 STAGE_SQL = """
@@ -70,6 +73,37 @@ def _stages(spark, sf_dir) -> DataFrame:
     return rows.withColumn("work_ref", F.concat(F.lit("MP"), F.col("mp_id").cast("string"), F.lit("-W"), F.col("work_recommendation_dtl_id").cast("string")))
 
 
+@query(f"WITH {STAGE_SQL} SELECT count(*) AS n_in, count(work_ref) AS n_stages, count(*) - count(work_ref) AS n_totals FROM st")
+def b5_row_guard(spark, sf_dir):
+    """Both grains hold all rows; a loss without a reason fails."""
+    rows = _stages(spark, sf_dir)
+    counts = rows.agg(F.count("*").alias("n_in"), F.count("work_ref").alias("n_stages"), F.count_if(F.col("work_ref").isNull()).alias("n_totals"))
+    n = counts.first()
+    ingest.guard_rows("grains", n["n_in"], n["n_stages"] + n["n_totals"])
+    return counts
+
+
+@query("SELECT event_type AS outcome, count(*) AS records, max(event_id) AS newest, count(DISTINCT user_id) AS works FROM events GROUP BY event_type")
+def a11_verification_log(spark, sf_dir):
+    """Two appends to the verification table, the later days second, read back whole."""
+    rows, path = verification(spark, sf_dir), f"{shared_folder(spark)}/log"
+    for late in (False, True):
+        ingest.append_log(rows.where((F.pmod("id", F.lit(2)) == 1) == late), path, OUTCOMES)
+    return spark.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("records"), F.max("id").alias("newest"), F.count_distinct("work_ref").alias("works"))
+
+
+@query(f"""WITH {WORKS_SQL}, x AS (SELECT work_ref, length(work_description) % 12 AS k, recommended_amount FROM works)
+SELECT CASE WHEN k = 11 THEN -1 ELSE k END AS archetype_id, CASE WHEN k < 9 THEN 'Archetype ' || k ELSE 'Unassigned' END AS archetype_label, count(*) AS n, round(sum(recommended_amount), 2) AS amount FROM x GROUP BY ALL""")
+def a10_c3_c4_archetypes(spark, sf_dir):
+    """Assignment and catalog stored as tables, then joined to the works; clusters 9 and up have no entry, 11 isn't assigned."""
+    rows, folder = works(spark, sf_dir), shared_folder(spark)
+    k = (F.length("work_description") % 12).cast("int")
+    rows.select("work_description", k.alias("archetype_id")).distinct().where("archetype_id < 11").write.parquet(f"{folder}/assigned")
+    spark.read.parquet(f"{folder}/assigned").select("archetype_id").distinct().where("archetype_id < 9").withColumn("archetype_label", F.concat(F.lit("Archetype "), F.col("archetype_id").cast("string"))).write.parquet(f"{folder}/catalog")
+    joined = peers.add_archetypes(rows, *(spark.read.parquet(f"{folder}/{t}") for t in ("assigned", "catalog")))
+    return joined.groupBy(lng("archetype_id"), "archetype_label").agg(F.count("*").alias("n"), F.round(F.sum("recommended_amount"), 2).alias("amount"))
+
+
 @query(f"WITH {STAGE_SQL} SELECT work_ref, event_id AS raw_row_index, stage, CASE stage WHEN 'RECOMMENDED' THEN 1 WHEN 'SANCTIONED' THEN 2 ELSE 3 END AS stage_seq, coalesce(rec, done) AS stage_date, row_number() OVER (PARTITION BY work_ref ORDER BY CASE stage WHEN 'RECOMMENDED' THEN 1 WHEN 'SANCTIONED' THEN 2 ELSE 3 END, coalesce(rec, done) NULLS LAST, event_id) AS lifecycle_order FROM st")
 def b6_e6_stage_table(spark, sf_dir):
     return ingest.build_stages(_stages(spark, sf_dir)).select("work_ref", "raw_row_index", "stage", "stage_seq", "stage_date", "lifecycle_order")
@@ -566,6 +600,63 @@ def e15_chain(spark, sf_dir):
     return checked.where("content_broken or link_broken")
 
 
+@query("""WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY label), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], first::DOUBLE[]), 4) AS similarity FROM embeddings JOIN f USING (label))
+SELECT vec_id, similarity, CASE WHEN similarity >= 0.995 THEN 'EXACT' WHEN similarity >= 0.97 THEN 'NEAR_EXACT' WHEN similarity >= 0.92 THEN 'HIGH_SIMILARITY' WHEN similarity >= 0.86 THEN 'POSSIBLE_REPEAT' ELSE 'NORMAL' END AS band FROM s""")
+def b25_h16_similarity_bands(spark, sf_dir):
+    """Cosine of each vector with the first one of its label, banded."""
+    rows = similarity.normalise(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "embedding")
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    rows = rows.join(first, "label").select("vec_id", F.round(similarity.dot(F.col("embedding"), F.col("first")), 4).alias("similarity"))
+    return rows.withColumn("band", similarity.classify(F.col("similarity")))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '{tx.WORDING}') THEN 0 ELSE length(trim(text)) END AS n_shown FROM documents""")
+def b28_wording_guard(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(tx.guarded(F.col("text"))).cast("long").alias("n_shown"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, string_split_regex(text, '[\x20\x09-\x0D]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM u WHERE x <> '' GROUP BY ALL)
+SELECT doc_id, count(*) AS n_terms, sha256(string_agg(x, ' ' ORDER BY i)) AS terms FROM f GROUP BY doc_id""")
+def g6_distinct_terms(spark, sf_dir):
+    terms = F.array_distinct(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.sha2(F.array_join(terms, " "), 256).alias("terms"))
+    return rows.where("n_terms > 0")
+
+
+@query("SELECT 'Stage ' || replace(event_type, '_', ' ') AS label, left(event_type, 4) AS prefix, format('{:,}', count(*)) || ' record' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS shown FROM events GROUP BY event_type")
+def h3_h4_h8_labels(spark, sf_dir):
+    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.select(tx.label(F.concat(F.lit("stage_"), "event_type")).alias("label"), F.substring("event_type", 1, 4).alias("prefix"), tx.counted(F.col("n"), "record").alias("shown"))
+
+
+@query("SELECT l_orderkey, count(*) AS n_lines, coalesce(max(l_discount) FILTER (WHERE contains(l_returnflag || l_linestatus, 'AF')), 0) AS confidence FROM lineitem GROUP BY l_orderkey")
+def h7_line_confidence(spark, sf_dir):
+    """An order's items as scanned lines with confidences; an order has few."""
+    line = F.struct(F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_discount").alias("confidence"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.collect_list(line).alias("lines"))
+    return rows.select("l_orderkey", "n_lines", tx.line_confidence(F.col("lines"), F.lit("AF")).alias("confidence"))
+
+
+@query(f"""WITH {WORKS_SQL} SELECT work_ref, concat_ws(';', CASE WHEN NOT is_sanctioned THEN 'no sanction' END, CASE WHEN NOT is_completed THEN 'open' END, CASE WHEN is_backdated THEN 'back-dated' END) AS findings,
+  (NOT is_sanctioned)::INT + (NOT is_completed)::INT + is_backdated::INT AS n_findings, CASE WHEN is_backdated THEN 3 WHEN NOT is_sanctioned THEN 2 WHEN NOT is_completed THEN 1 ELSE 0 END AS worst, NOT is_completed AS is_open FROM works""")
+def h15_h18_findings(spark, sf_dir):
+    """Lists of what was found, ranked by a severity map."""
+    when = {"no sanction": ~F.col("is_sanctioned"), "open": ~F.col("is_completed"), "back-dated": F.col("is_backdated")}
+    rank = F.create_map(*(F.lit(x) for pair in {"back-dated": 3, "no sanction": 2, "open": 1}.items() for x in pair))
+    rows = works(spark, sf_dir).select("work_ref", F.array_compact(F.array(*(F.when(c, name) for name, c in when.items()))).alias("found"))
+    worst = F.coalesce(F.array_max(F.transform("found", lambda x: F.try_element_at(rank, x))), F.lit(0))
+    return rows.select("work_ref", F.array_join("found", ";").alias("findings"), F.size("found").alias("n_findings"), worst.alias("worst"), F.array_contains("found", "open").alias("is_open"))
+
+
+@query("SELECT event_id, 'W' || user_id AS work_ref, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS outcome FROM events")
+def h17_json_round_trip(spark, sf_dir):
+    """Each record as a nested document, and read back from its text."""
+    record = "struct<work:struct<ref:string,outcome:string>,detail:struct<k:bigint>>"
+    made = F.to_json(F.struct(F.struct(F.concat(F.lit("W"), F.col("user_id").cast("string")).alias("ref"), F.col("event_type").alias("outcome")).alias("work"), F.from_json("props", "k bigint").alias("detail")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json(made, record).alias("x"))
+    return rows.select("event_id", F.col("x.work.ref").alias("work_ref"), F.col("x.detail.k").alias("k"), F.col("x.work.outcome").alias("outcome"))
+
+
 @query("SELECT role, count(*) AS n FROM (SELECT DISTINCT conv_id, role FROM conversations INTERSECT SELECT DISTINCT conv_id, role FROM conversations WHERE turn > 0) GROUP BY role")
 def g5_set_intersection(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")

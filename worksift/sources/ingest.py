@@ -41,7 +41,12 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     rows = spark.read.schema(schema).option("header", True).option("multiLine", False).csv(path)
     rows = rows.withColumns({"source_file": F.col("_metadata.file_name"), "_id": F.monotonically_increasing_id()})
-    return rows.withColumn("raw_row_index", F.row_number().over(Window.partitionBy("source_file").orderBy("_id")) - 1).drop("_id")
+    # A large file is split, so its rows are numbered by split: only one row for each file and split is summed in order.
+    rows = rows.withColumn("_split", F.shiftright("_id", 33))
+    splits = rows.groupBy("source_file", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source_file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(splits, ["source_file", "_split"]).withColumn("raw_row_index", F.col("_id") + F.col("_shift")).drop("_id", "_split", "_shift")
 
 
 def load_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -122,6 +127,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def append_log(rows: DataFrame, path: str, outcomes: list[str]) -> None:
+    """Append to a table that is never rewritten; an outcome outside the domain fails the whole write."""
+    wrong = F.raise_error(F.concat(F.lit("unknown outcome: "), F.coalesce("outcome", F.lit("null")))).cast("string")
+    rows.withColumn("outcome", F.when(F.col("outcome").isin(*outcomes), F.col("outcome")).otherwise(wrong)).write.mode("append").parquet(path)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """For each column: rows, nulls, distinct values, inferred type, least and greatest, in one aggregate."""
     aggs = [F.count("*").alias("n_rows")]
