@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut
+from worksift.llm.common import cut, stored
 from worksift.llm.op1_minhash import near_duplicates
 from worksift.llm.op4_decontaminate import contamination
 from worksift.llm.op5_line_dedup import drop_repeated_lines
@@ -61,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``; each result is materialised, because the next one reads it several times."""
+    """All stages applied to ``documents``; each result is stored as a compressed table, because the next one reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
