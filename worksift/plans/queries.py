@@ -678,9 +678,11 @@ def m2_m3_cluster_labels(spark, sf_dir):
     return terms.join(labels, "lang")
 
 
-@query()
+@query(f"""WITH {FEATURES_SQL}, d AS (SELECT * FROM feat WHERE duration_days >= 1), b AS (SELECT state_name FROM d GROUP BY 1 ORDER BY count(*) DESC, state_name LIMIT 15)
+SELECT work_ref, duration_days, event_observed, round(coalesce(log_amount, (SELECT median(log_amount) FROM d)), 6) AS log_amount, is_sanctioned::INT::DOUBLE AS sanctioned, coalesce(b.state_name, 'OTHER') AS bucket
+FROM d LEFT JOIN b ON d.state_name = b.state_name""")
 def m4_b26_b27_survival_frame(spark, sf_dir):
-    return models.survival_frame(featured(spark, sf_dir))
+    return models.survival_frame(featured(spark, sf_dir)).withColumn("log_amount", r("log_amount"))
 
 
 @query()
