@@ -68,6 +68,26 @@ def test_minhash_equals_brute_force(spark, corpus):
     assert all(got[i].n_shingles == len(sets[i]) and got[i].kept == (find(i) == i) for i in sets)
 
 
+@pytest.mark.parametrize("n_words,changed", [(100, 2), (200, 4)])
+def test_minhash_finds_a_hub_among_its_copies(spark, n_words, changed):
+    """The copies are linked to their original, whose id is in the middle, but hardly to each other; so are those of a second family."""
+    rng = random.Random(n_words)
+    rows = []
+    for family in range(2):
+        hub = [f"f{family}w{k}" for k in range(n_words)]
+        for k in range(301):
+            copy = list(hub)
+            for at in rng.sample(range(n_words), changed if k != 150 else 0):
+                copy[at] = f"x{family}.{k}.{at}"
+            rows.append((1000 * family + k, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = {i: i // 1000 * 1000 if near(i, i // 1000 * 1000 + 150) else None for i in sets}
+    got = {r.doc_id: r.component_id for r in op1_minhash.near_duplicates(frame(spark, rows)).collect()}
+    linked = [i for i in want if want[i] is not None]
+    assert len(linked) > 500 and len({got[i] for i in linked}) == 2 and all(got[i] // 1000 == i // 1000 for i in got)
+
+
 def test_minhash_odd_rows(spark, odd):
     got = op1_minhash.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in got}

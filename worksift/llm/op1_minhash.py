@@ -6,9 +6,10 @@ copies are never paired. One permutation deals a set's hashes to ``BINS`` bins a
 bin borrows from the first filled bin of a random order of its own. ``ROWS`` bins make a band, each band names a bucket. A
 bucket of m classes gives m - 1 candidate edges, all to its smallest member: the count of pairs is linear.
 
-Edges are confirmed on full sets: first each class's edge with the most shared buckets; then, only where the
-two ends are still in different components, all other star edges, and those of a second star around the member of the
-largest component number in each bucket that still spans components.
+Edges are confirmed on full sets: first each class's edge with the most shared buckets. Then rounds follow until no bucket
+spans components with members that weren't centres: each bucket takes new centres, those that meet most others first, up
+to four times as many as in the round before; a centre meets all members of its bucket that are in other components, and
+links found join these. So every pair that shares a bucket is confirmed, too different in size, or in one component.
 
 Defined results: null or blank text has an empty set and links with nothing. Repeated rows are copies. A null doc_id
 takes no part, its component is null and it is kept. Extra columns are ignored. An empty table gives no rows.
@@ -29,6 +30,8 @@ from worksift.llm.common import components, cut, small_batches
 SHINGLE, BINS, ROWS = 5, 160, 4
 #: A link needs DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 75, 100
+#: Lists of ids are broadcast up to this count, and joined by shuffle beyond it.
+BROADCAST_ROWS = 1_000_000
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -118,6 +121,45 @@ def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(DENOMINATOR * F.col("common") >= NUMERATOR * union).select("a", "b")
 
 
+def further_links(shared: DataFrame, linked: DataFrame, tested: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): links between components of ``linked`` whose ends share a bucket, until no untested pair spans two.
+
+    ``shared`` (bucket, rep) holds the members of buckets, ``tested`` (a, b) the pairs that were confirmed or refused.
+    """
+
+    def spanning(members: DataFrame) -> DataFrame:
+        """Members of the buckets that span components, with their bucket's size."""
+        spans = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
+        return members.join(spans.select("bucket", "m"), "bucket")
+
+    roots = components(linked).select(F.col("node").alias("rep"), "root")
+    members = cut(spanning(shared.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))))
+    weights = members.groupBy("rep").agg(F.sum("m").alias("weight")).join(sizes, "rep")
+    members = cut(members.drop("m").join(weights, "rep"))
+    found, width = linked.limit(0), 1
+    while not members.isEmpty():
+        salt = F.pmod(F.xxhash64("rep", F.lit(width)), F.lit(width))
+        centres = members.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("weight", "rep", "root", "least", "most")).alias("c"))
+        centres = cut(centres.select("bucket", "c"))
+        fits = (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("c.least")) & (DENOMINATOR * F.col("c.most") >= NUMERATOR * F.col("least"))
+        pairs = members.join(centres, "bucket").where((F.col("root") != F.col("c.root")) & fits)
+        pairs = pairs.groupBy(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).agg(F.min(F.least("root", "c.root")).alias("ra"), F.max(F.greatest("root", "c.root")).alias("rb"))
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs.select("a", "b"))
+        members = members.join(centres.select("bucket", F.col("c.rep").alias("rep")), ["bucket", "rep"], "left_anti")
+        if not pairs.isEmpty():
+            nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+            new = cut(confirm(pairs.select("a", "b"), sets.join(nodes, "doc_id", "left_semi")).distinct())
+            found = found.unionByName(new)
+            merged = components(pairs.join(new, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            merged = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            members = members.join(merged, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+        members = cut(spanning(members).drop("m"))
+        width *= 4
+    return found
+
+
 def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document."""
     sketched = cut(sketch(docs, bins, rows))
@@ -134,19 +176,8 @@ def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> Data
 
     best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
     linked = cut(confirm(best, sets))
-    roots = components(linked)
-
-    def labelled(frame: DataFrame, node: str, out: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(node), F.col("root").alias(out))
-        return frame.join(named, node, "left").withColumn(out, F.coalesce(out, node))
-
-    open_stars = labelled(labelled(stars.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    spread = labelled(shared.select("bucket", "rep"), "rep", "root")
-    centres = spread.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("root", "rep")).alias("top")).where("low <> high")
-    second = spread.join(centres.select("bucket", F.col("top.rep").alias("c"), "high"), "bucket").where("root <> high")
-    second = second.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b"))
-    more = open_stars.unionByName(second).distinct().join(best, ["a", "b"], "left_anti")
-    links = linked.unionByName(confirm(more, sets))
+    sizes = valid.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    links = linked.unionByName(further_links(shared, linked, best, sets, sizes))
 
     final = components(links).select(F.col("node").alias("rep"), "root")
     of_class = classes.select("class", "rep").join(final, "rep", "left").select("class", F.coalesce("root", "rep").alias("root"))
