@@ -143,6 +143,18 @@ def test_hamming_pairs_are_exact(spark):
     assert got == {(a, b): count(x, y) for a, x in keys for b, y in keys if a < b and count(x, y) <= 8}
 
 
+@pytest.mark.parametrize("most", [0, 2, 8, 14])
+def test_hamming_pairs_differ_in_every_chunk_but_one(spark, most):
+    """Chunks of rounded-up size left out those beyond bit 64, and so pairs that differ once in each of the others."""
+    size = -(-64 // (most + 1))
+    flips = [low for low in range(0, 64, size)][:most]
+    flips += [x for x in range(64) if x not in flips][: most - len(flips)]
+    other = sum(1 << x for x in flips)
+    rows = spark.createDataFrame([(1, 0), (2, other - (1 << 64) if other >> 63 else other)], "k long, s long")
+    got = [tuple(r) for r in similarity.hamming_pairs(rows, "k", "s", most).collect()]
+    assert got == ([(1, 2, most)] if most else [])
+
+
 def test_near_references(spark):
     rows = spark.createDataFrame([("MP1-W23",)], "ref string")
     known = spark.createDataFrame([("MP1-W24",), ("MP1-W23",), ("MP2-W24",), ("MP9-W23",)], "known string")

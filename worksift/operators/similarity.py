@@ -64,9 +64,10 @@ def hamming_pairs(prints: DataFrame, key: str, signature: str, most: int = 8, bi
 
     Equal signatures meet as one, so copies aren't paired; ``a`` and ``b`` are the least keys of two signatures.
     """
-    chunks, size = most + 1, -(-bits // (most + 1))
+    bounds = [c * bits // (most + 1) for c in range(most + 2)]
     groups = prints.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("k"))
-    parts = F.array(*(F.struct(F.lit(c).alias("c"), F.shiftrightunsigned(F.col(signature), c * size).bitwiseAND(F.lit((1 << size) - 1)).alias("v")) for c in range(chunks) if c * size < bits))
+    mask = lambda size: F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint")
+    parts = F.array(*(F.struct(F.lit(c).alias("c"), F.shiftrightunsigned(F.col(signature).cast("bigint"), low).bitwiseAND(mask(high - low)).alias("v")) for c, (low, high) in enumerate(zip(bounds, bounds[1:]))))
     cut = groups.select("k", signature, F.explode(parts).alias("part"))
     right = cut.select(F.col("k").alias("b"), F.col(signature).alias("sb"), "part")
     pairs = cut.select(F.col("k").alias("a"), F.col(signature).alias("sa"), "part").join(right, "part").where("a < b")
