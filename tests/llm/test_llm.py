@@ -403,3 +403,19 @@ def test_pipeline(spark, sf):
             assert {r.doc_id for r in docs.collect()} == want
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_toxicity_splits_runs_and_reads_long_tokens(spark):
+    rng = random.Random(8)
+    plain = "such a the you are i am we house tree river garden window very good nice idea day today walk street paper".split()
+    docs, labels = [], []
+    for k in range(400):
+        w, toxic = rng.choices(plain, k=30), k % 4 == 0
+        w += ["stupid", "idiot"] if toxic else []
+        rng.shuffle(w)
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    odd = ["such a s t u p i d idea", "we say y o u i d i o t today", "they I s t u p i d day", "house " + ("." * 8).join("stupid") + " tree", "house st" + "u" * 60 + "pid tree", "nice g o o d d a y a river"]
+    docs += [(1000 + k, t) for k, t in enumerate(odd)]
+    got = {r.doc_id: r.predicted for r in op7_toxicity.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[1000 + k] for k in range(len(odd))] == [1, 1, 1, 1, 1, 0]

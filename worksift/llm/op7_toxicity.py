@@ -3,9 +3,9 @@
 Suspicious tokens (letters mixed with look-alike digits or signs, letters set apart by signs, letters repeated three times or
 more, runs of single letters) are read as a lattice of characters: each place may be itself, a letter that it looks
 like, a separator to skip, or a repetition to collapse. Viterbi decoding picks the reading that a character model and the
-channel's costs prefer; the restored word is scored as if it had been written plainly. All other tokens are read as they are.
+channel's costs prefer, in a run of single characters also the places where words end; the restored word is scored as if it had been written plainly. All other tokens are read as they are.
 
-The character model counts trigrams over every document. The classifier learns on a bounded sample of ``TRAIN_ROWS``
+The character model counts trigrams over every document, without stretched words. The classifier learns on a bounded sample of ``TRAIN_ROWS``
 labelled rows: log-odds of words and of word beginnings that are significantly tied to the label, and a logistic curve over
 the two strongest of a document and their mean. Only the text is an input of a score.
 
@@ -79,19 +79,25 @@ class CharacterModel:
                 a, b = b, c
         return out
 
-    def decode(self, token: str, beam: int = 64) -> str:
-        """The likeliest reading of a lower-case ``token``; the state is the last two letters and the last place's letter."""
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    def decode(self, token: str, beam: int = 64, breaks: bool = False) -> str:
+        """The likeliest reading of a lower-case ``token``; the state is the last two letters and the last place's letter.
+
+        With ``breaks`` a word may end between any two places, and the reading's words are set apart by blanks.
+        """
+        states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
         for at, sign in enumerate(token):
             stretched = token[max(0, at - 2) : at + 3].count(sign) >= 3
             options = [(sign, 0.0 if sign in _LETTERS or sign.isalpha() else COST_ODD)]
             options += [(x, COST_LOOK) for x in LOOKALIKES.get(sign, "")]
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+            if breaks and at:
+                ended = ((score + self.log[a][b][0], (path, " ")) for (a, b, _), (score, path) in states.items() if b)
+                states[0, 0, ""] = max([*ended, *(x for key, x in states.items() if key == (0, 0, ""))], key=lambda x: x[0])
+            new: dict[tuple[int, int, str], tuple[float, tuple]] = {}
             for (a, b, last), (score, text) in states.items():
                 moves = []
                 for letter, cost in options:
                     c = self.code(letter)
-                    moves.append(((b, c, letter), score + self.log[a][b][c] - cost, text + letter))
+                    moves.append(((b, c, letter), score + self.log[a][b][c] - cost, (text, letter)))
                     if letter == last:
                         moves.append(((a, b, last), score - cost - (COST_REPEAT if stretched else COST_PAIR), text))
                 if sign in SEPARATORS:
@@ -100,7 +106,11 @@ class CharacterModel:
                     if key not in new or value > new[key][0]:
                         new[key] = (value, path)
             states = new if len(new) <= beam else dict(sorted(new.items(), key=lambda x: -x[1][0])[:beam])
-        return max(((score + self.log[a][b][0], text) for (a, b, _), (score, text) in states.items()), default=(0, ""))[1]
+        path, letters = max(((score + self.log[a][b][0], path) for (a, b, _), (score, path) in states.items()), key=lambda x: x[0], default=(0, ()))[1], []
+        while path:
+            path, letter = path
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 def core(token: str) -> str:
@@ -115,7 +125,7 @@ def readings(token: str, model: CharacterModel | None) -> list[str]:
     raw = token.lower().strip(".,;:?\"'")
     letters = sum(map(str.isalpha, raw))
     strange = sum(x in LOOKALIKES or x in SEPARATORS for x in plain)
-    if model is None or not 3 <= len(raw) <= 40 or not letters or (strange == 0 and not _REPEATED.search(plain)) or letters + strange < len(plain):
+    if model is None or len(raw) < 3 or not letters or (strange == 0 and not _REPEATED.search(plain)) or letters + strange < len(plain):
         return [plain] if plain else []
     read = {model.decode(plain)}
     if raw != plain and any(x in LOOKALIKES for x in (raw[:1], raw[-1:])):
@@ -124,7 +134,7 @@ def readings(token: str, model: CharacterModel | None) -> list[str]:
 
 
 def spaced_words(tokens: list[str]) -> list[str]:
-    """Runs of three or more single characters, each joined to one token."""
+    """Runs of three or more single characters, each joined to one token, which may hold several words."""
     out, run = [], []
     for token in [*tokens, "  "]:
         if len(token) == 1 and (token.isalpha() or token in LOOKALIKES):
@@ -156,12 +166,24 @@ class Reader:
                 self.known[token] = found
         return found
 
+    def run(self, run: str) -> tuple[str, ...]:
+        """Features of a run of single characters: of the whole as one token, and of the words that it is split into."""
+        if self.model is None:
+            return self.token(run)
+        key = f" {run}"
+        found = self.known.get(key)
+        if found is None:
+            names = (x for word in self.model.decode(run.lower(), breaks=True).split() for x in features_of(word))
+            found = tuple(dict.fromkeys([*self.token(run), *(x for x in names if self.wanted is None or x in self.wanted)]))
+            if len(self.known) < self.limit:
+                self.known[key] = found
+        return found
+
     def text(self, text: str | None) -> set[str]:
         tokens = (text or "").split()
         different = set(tokens)
-        if sum(len(x) == 1 for x in different) >= 2:
-            different.update(spaced_words(tokens))
-        return {name for token in different for name in self.token(token)}
+        runs = set(spaced_words(tokens)) if sum(len(x) == 1 for x in different) >= 2 else ()
+        return {name for token in different for name in self.token(token)}.union(*map(self.run, runs))
 
 
 def evidence(found: set[str], weights: dict[str, float]) -> tuple[float, float, float]:
@@ -202,7 +224,7 @@ def character_model(docs: DataFrame) -> CharacterModel:
     def counted(words: Counter) -> np.ndarray:
         plain: Counter = Counter()
         for token, n in words.items():
-            if (word := core(token)).isalpha():
+            if (word := core(token)).isalpha() and not _REPEATED.search(word):
                 plain[word] += n
         return CharacterModel.count(plain)
 
