@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -9,10 +10,13 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g"}
-    session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
-    session.sparkContext.setLogLevel("OFF")
-    return session
+    with tempfile.TemporaryDirectory(prefix="worksift-tests-") as folder:
+        conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g"}
+        conf |= {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse"}
+        session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+        session.sparkContext.setLogLevel("OFF")
+        yield session
+        session.stop()
 
 
 @pytest.fixture(scope="session")
