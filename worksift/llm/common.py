@@ -1,8 +1,9 @@
-"""Helpers that several operators share: lineage cuts, skew-safe running sums, connected components."""
+"""Helpers that several operators share: lineage cuts, skew-safe joins and running sums, connected components."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,35 +11,76 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java regular expression: space and \t..\r.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Keys of a skew-safe join that are broadcast, at most; short rows each.
+HOT_KEYS = 100_000
+#: Rows that a key needs at least to be called hot.
+HOT_ROWS = 5_000
+#: Bytes that a broadcast side may have in memory, by Spark's own count of its materialised rows.
+BROADCAST_BYTES = 64 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with ``checkpoint()`` in the folder that ``spark.checkpoint.dir`` names.
-
-    A temporary folder is set only where the session names none, as in tests.
-    """
+    """Materialise ``df`` with ``checkpoint()`` in the shared folder."""
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a compressed table in the checkpoint folder: for texts and arrays, of which readers want some columns."""
+    """Cut lineage with a compressed table in the shared folder: for texts and arrays, of which readers want some columns."""
     path = f"{_checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one below the warehouse, which executors share.
+
+    A folder of our own on the local disk is removed when the driver's Python ends.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="worksift-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        path = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_worksift_{uuid.uuid4().hex}"
+        context.setCheckpointDir(path)
+        if named is None and path.startswith("file:"):
+            atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
     return context.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows each."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` changed until none is a column of ``df``, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small(df: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """A materialised side of a join, marked for broadcast if its counted rows of ``row_bytes`` fit ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined (inner or left) with materialised ``facts`` of unique ``keys``; ``weight`` counts a key's rows.
+
+    Keys with many rows are few, and broadcast; so a key with a third of all rows isn't dealt to one task. Rows whose
+    keys hold a null meet nothing, and don't meet each other in one task either.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0 if total is None else total
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    facts, hot = facts.where(F.col(weight) <= limit).drop(weight), facts.where(F.col(weight) > limit).drop(weight)
+    known = " and ".join(f"{k} is not null" for k in keys)
+    without = rows.where(f"not ({known})")
+    rows = rows.where(known)
+    if not hot.isEmpty():
+        hot = F.broadcast(hot)  # at most HOT_KEYS rows
+        out = rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(facts, keys, how))
+    else:
+        out = rows.join(facts, keys, how)
+    return out if how == "inner" else out.unionByName(without, allowMissingColumns=True)
 
 
 def let(value: Column, body) -> Column:
@@ -94,8 +136,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small_ = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small_.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

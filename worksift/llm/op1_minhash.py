@@ -4,15 +4,17 @@ A document's set holds the distinct hashes of its five-word shingles (words: low
 white space; with fewer words the whole sequence is one shingle). Documents with equal sets form a class at once, so
 copies are never paired. One permutation deals a set's hashes to ``BINS`` bins and keeps the least of each; an empty
 bin borrows from the first filled bin of a random order of its own. ``ROWS`` bins make a band, each band names a bucket. A
-bucket of m classes gives m - 1 candidate edges, all to its smallest member: the count of pairs is linear.
+bucket of m classes gives m - 1 candidate edges, all to its centre, the member that meets most others: the count of pairs
+is linear.
 
-Edges are confirmed on full sets: first each class's edge with the most shared buckets. Then rounds follow until no bucket
-spans components with members that weren't centres: each bucket takes new centres, those that meet most others first, up
-to four times as many as in the round before; a centre meets all members of its bucket that are in other components, and
-links found join these. So every pair that shares a bucket is confirmed, too different in size, or in one component.
+Edges are confirmed on full sets: each class's edge with the most shared buckets. What is left, the members of buckets that
+still span components, meets by its rarest shingles (prefix filtering with bounds on place and size), which leaves out no pair
+that is similar enough; these pairs are confirmed too. So every link between two classes that share a bucket is found.
+A hot bucket, class or centre is split, and what documents merely share with many others makes no pairs.
 
-Defined results: null or blank text has an empty set and links with nothing. Repeated rows are copies. A null doc_id
-takes no part, its component is null and it is kept. Extra columns are ignored. An empty table gives no rows.
+Defined results: null or blank text has an empty set and links with nothing. Repeated rows are copies. Rows that share a
+doc_id but not their text are one document: it has the links of all its texts. A null doc_id takes no part, its
+component is null and it is kept. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import components, cut, small_batches
+from worksift.llm.common import components, cut, join_facts, small
 
 SHINGLE, BINS, ROWS = 5, 160, 4
 #: A link needs DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Lists of ids are broadcast up to this count, and joined by shuffle beyond it.
-BROADCAST_ROWS = 1_000_000
+#: Edges of one centre that one task confirms, about.
+FAN = 256
+#: Slots of the histogram of shingles; a power of two.
+SLOTS = 1 << 18
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -98,90 +102,124 @@ def sketch(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> DataFrame:
                 keys.append(bands(signature(found, orders), rows) if len(found) else np.empty(0, np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "class": classes, "bands": keys})
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles) with whole sets."""
+    """(doc_id, class, shingles) with whole sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(x).view(np.int64) for x in batch["text"]]})
+            sets = [shingle_set(x) for x in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "class": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "shingles": [x.view(np.int64) for x in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, class binary, shingles array<long>")
 
 
 def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``edges`` (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    """The ``edges`` (a, b) whose full sets are similar enough. A hot ``a``, such as a star's centre, is dealt to many tasks."""
+    fans = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > FAN).select("a", F.ceil(F.col("n") / FAN).cast("int").alias("fan"))
+    fans = small(cut(fans))  # at most one row for each FAN edges
+    edges = edges.join(fans, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("fan", F.lit(1))).alias("salt"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(fans, "a", "left")
+    left = left.select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("fan", F.lit(1)).cast("long") - 1)).alias("salt"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = edges.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    both = edges.join(right, "b").join(left, ["a", "salt"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
-    return both.where(DENOMINATOR * F.col("common") >= NUMERATOR * union).select("a", "b")
+    return both.where(DENOMINATOR * F.col("common") >= NUMERATOR * union).select("a", "b").distinct()
 
 
-def further_links(shared: DataFrame, linked: DataFrame, tested: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): links between components of ``linked`` whose ends share a bucket, until no untested pair spans two.
+def _ceil(part, whole):
+    return -(-part // whole)
 
-    ``shared`` (bucket, rep) holds the members of buckets, ``tested`` (a, b) the pairs that were confirmed or refused.
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, in ``SLOTS`` slots of their hashes: of bounded size whatever the corpus. Hot ones stand out in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for found in batch["shingles"]:
+                np.add.at(total, found.view(np.uint64) & np.uint64(SLOTS - 1), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    rows = sets.select("shingles").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows["at"].to_numpy(int)] = rows["n"].to_numpy()
+    return out
+
+
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``sets`` (doc_id, root, shingles) with different roots that may be similar enough; exact, none is left out.
+
+    Shingles are ordered from rare to frequent. Similar sets share one of the first in that order: the larger set's first
+    quarter meets the smaller one's first seventh, for a similarity of 0.75. So what many documents share, such as
+    a common passage, is not what they meet by.
     """
+    sent = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+    both, over = NUMERATOR + DENOMINATOR, 2 * NUMERATOR
 
-    def spanning(members: DataFrame) -> DataFrame:
-        """Members of the buckets that span components, with their bucket's size."""
-        spans = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
-        return members.join(spans.select("bucket", "m"), "bucket")
-
-    roots = components(linked).select(F.col("node").alias("rep"), "root")
-    members = cut(spanning(shared.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))))
-    weights = members.groupBy("rep").agg(F.sum("m").alias("weight")).join(sizes, "rep")
-    members = cut(members.drop("m").join(weights, "rep"))
-    found, width = linked.limit(0), 1
-    while not members.isEmpty():
-        salt = F.pmod(F.xxhash64("rep", F.lit(width)), F.lit(width))
-        centres = members.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("weight", "rep", "root", "least", "most")).alias("c"))
-        centres = cut(centres.select("bucket", "c"))
-        fits = (DENOMINATOR * F.col("most") >= NUMERATOR * F.col("c.least")) & (DENOMINATOR * F.col("c.most") >= NUMERATOR * F.col("least"))
-        pairs = members.join(centres, "bucket").where((F.col("root") != F.col("c.root")) & fits)
-        pairs = pairs.groupBy(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).agg(F.min(F.least("root", "c.root")).alias("ra"), F.max(F.greatest("root", "c.root")).alias("rb"))
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs.select("a", "b"))
-        members = members.join(centres.select("bucket", F.col("c.rep").alias("rep")), ["bucket", "rep"], "left_anti")
-        if not pairs.isEmpty():
-            nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-            nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-            new = cut(confirm(pairs.select("a", "b"), sets.join(nodes, "doc_id", "left_semi")).distinct())
-            found = found.unionByName(new)
-            merged = components(pairs.join(new, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            merged = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            members = members.join(merged, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-        members = cut(spanning(members).drop("m"))
-        width *= 4
-    return found
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["shingles"].str.len().to_numpy(np.int64)
+            first = sizes - _ceil(NUMERATOR * sizes, DENOMINATOR) + 1
+            kept = []
+            for found, n in zip(batch["shingles"], first, strict=True):
+                slots = (found.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.intp)
+                kept.append(found[np.lexsort((found, sent.value[slots]))[:n]])
+            row = np.repeat(np.arange(len(batch)), first)
+            at = np.arange(len(row)) - np.repeat(first.cumsum() - first, first)
+            early = at < (sizes - _ceil(over * sizes, both) + 1)[row]
+            yield pd.DataFrame({"token": np.concatenate([*kept, np.empty(0, np.int64)]), "doc_id": batch["doc_id"].to_numpy()[row], "root": batch["root"].to_numpy()[row], "n": sizes[row], "at": at, "early": early})
+
+    tokens = sets.mapInPandas(run, "token long, doc_id long, root long, n long, at long, early boolean")
+    spans = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    tokens = cut(tokens.join(spans, "token"))
+    x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "root", "n", "at", "early"))) for side in "xy")
+    met = x.where("early_x").join(y, "token").where("root_x <> root_y and (n_x < n_y or n_x = n_y and (doc_id_x < doc_id_y or early_y and doc_id_x <> doc_id_y))")
+    # What follows the first shared shingle bounds what two sets have in common.
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    met = met.where((DENOMINATOR * F.col("n_x") >= NUMERATOR * F.col("n_y")) & (both * left >= NUMERATOR * (F.col("n_x") + F.col("n_y"))))
+    return met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document."""
     sketched = cut(sketch(docs, bins, rows))
     valid = sketched.where("doc_id is not null and class is not null")
-    classes = valid.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = valid.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last").select("bucket", "a")
-    shared = cut(members.join(buckets, "bucket"))  # of buckets with two classes or more
-    stars = cut(shared.where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("n")))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")  # of two classes or more
+    shared = cut(members.join(buckets, "bucket"))
 
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    # A bucket's centre is the member that meets most others: the original of a family of copies.
+    weights = shared.groupBy("rep").agg(F.sum("m").alias("weight"))
+    centres = cut(shared.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c"), F.count("*").alias("m")).select("bucket", "m", (-F.col("c.minus")).alias("centre")))
+    stars = join_facts(shared.select("bucket", "rep"), centres, ["bucket"], "m").where("rep <> centre").groupBy("centre", "rep").agg(F.count("*").alias("n"))
+    best = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("minus"))).alias("top"))
+    best = cut(best.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")))
+
+    wanted = cut(shared.select(F.col("rep").alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
     sets = cut(full_sets(texts))
-
-    best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
+    if sets.count() > wanted.count():  # rows that share an id
+        sets = cut(sets.dropDuplicates(["doc_id", "class"]))
     linked = cut(confirm(best, sets))
-    sizes = valid.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    links = linked.unionByName(further_links(shared, linked, best, sets, sizes))
-
-    final = components(links).select(F.col("node").alias("rep"), "root")
-    of_class = classes.select("class", "rep").join(final, "rep", "left").select("class", F.coalesce("root", "rep").alias("root"))
-    out = sketched.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    roots = components(linked)
+    rooted = cut(wanted.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")))
+
+    named = shared.select("bucket", F.col("rep").alias("doc_id")).join(rooted, "doc_id")
+    spans = cut(named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("bucket", "m"))
+    left = join_facts(named, spans, ["bucket"], "m").select("doc_id", "root").distinct()
+    pairs = cut(rare_pairs(sets.join(left, "doc_id").select("doc_id", "root", "shingles")))
+    further = confirm(pairs, sets)
+    ends = rooted.select(F.col("doc_id").alias("a"), F.col("root").alias("ra")), rooted.select(F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+    merged = components(further.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    final = rooted.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(F.col("doc_id").alias("rep"), F.coalesce("to", "root").alias("root"))
+
+    of_class = cut(classes.select("class", "rep", "n").join(final, "rep", "left").select("class", "n", F.coalesce("root", "rep").alias("root")))
+    out = join_facts(sketched.select("doc_id", "n_shingles", "class"), of_class, ["class"], "n", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

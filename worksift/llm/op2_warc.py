@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import small_batches
 
 #: Elements whose text isn't shown, and elements that start a new line.
 HIDDEN = {"script", "style", "noscript", "template", "title"}
@@ -76,7 +75,6 @@ def _pages(pages: DataFrame) -> DataFrame:
             read = pd.DataFrame([read_page(x) for x in batch["html"]], columns=["text", "title", "lang", "links"], index=batch.index)
             yield pd.concat([batch, read], axis=1)
 
-    small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     return rows.mapInPandas(run, "page_id long, url string, html string, text string, title string, lang string, links array<string>")
 

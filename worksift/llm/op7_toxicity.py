@@ -26,7 +26,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import small_batches
 
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -228,7 +227,6 @@ def character_model(docs: DataFrame) -> CharacterModel:
                 plain[word] += n
         return CharacterModel.count(plain)
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string")).mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(CharacterModel.SIZE**3, np.int64)
     for row in rows:

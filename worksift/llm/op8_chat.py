@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut, running_sum, running_sums, small_batches, stored
+from worksift.llm.common import cut, running_sum, running_sums, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates read as control strings.
@@ -84,7 +84,6 @@ def _formatted(rows: DataFrame, ranks_file: str) -> DataFrame:
             made = pd.DataFrame(rows, columns=["formatted", "ids", "loss_from", "loss_to", "loss_token_from", "loss_token_to"], index=batch.index)
             yield pd.concat([batch.drop(columns=["role", "text"]), made], axis=1)
 
-    small_batches(rows.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("role", "text"))
     return rows.mapInPandas(run, f"{schema}, formatted string, ids array<int>, loss_from long, loss_to long, loss_token_from long, loss_token_to long")
 
