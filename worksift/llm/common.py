@@ -15,7 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 HOT_KEYS = 100_000
 #: Rows that a key needs at least to be called hot.
 HOT_ROWS = 5_000
-#: Bytes that a broadcast side may have in memory, by Spark's own count of its materialised rows.
+#: Bytes that a broadcast side may have, by its counted rows.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -58,28 +58,37 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small(df: DataFrame, row_bytes: int = 48) -> DataFrame:
-    """A materialised side of a join, marked for broadcast if its counted rows of ``row_bytes`` fit ``BROADCAST_BYTES``."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int = 48, array: str | None = None) -> DataFrame:
+    """A materialised side of a join, marked for broadcast if its rows fit ``BROADCAST_BYTES``: ``row_bytes`` each, and 8 an ``array`` item."""
+    items = F.sum(F.size(array)) if array else F.lit(0)
+    n = df.agg((F.count("*") * row_bytes + F.coalesce(items, F.lit(0)) * 8).alias("n")).first()["n"]
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
-    """``rows`` joined (inner or left) with materialised ``facts`` of unique ``keys``; ``weight`` counts a key's rows.
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", weight: str | None = None) -> DataFrame:
+    """Materialised ``rows`` joined (inner or left) with ``facts``, so that a key with a third of all rows isn't dealt to one task.
 
-    Keys with many rows are few, and broadcast; so a key with a third of all rows isn't dealt to one task. Rows whose
-    keys hold a null meet nothing, and don't meet each other in one task either.
+    Rows of a hot key are dealt to several tasks by a salt, and each of these gets the key's facts. Hot keys are found by
+    counting ``rows``, or where facts have a ``weight``, the count of their key's rows, by that. Rows with a null key meet nothing.
     """
-    total = facts.agg(F.sum(weight)).first()[0] or 0 if total is None else total
+    if weight:
+        counted = facts.select(*keys, F.col(weight).alias("count"))
+        facts = facts.drop(weight)
+    else:
+        counted = rows.groupBy(*keys).count()
+    total = counted.agg(F.sum("count")).first()[0] or 0
     limit = max(HOT_ROWS, total // HOT_KEYS)
-    facts, hot = facts.where(F.col(weight) <= limit).drop(weight), facts.where(F.col(weight) > limit).drop(weight)
-    known = " and ".join(f"{k} is not null" for k in keys)
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    hot = cut(counted.where(F.col("count") > limit).where(known).select(*keys, F.ceil(F.col("count") / limit).cast("long").alias("fan")))
     without = rows.where(f"not ({known})")
-    rows = rows.where(known)
-    if not hot.isEmpty():
-        hot = F.broadcast(hot)  # at most HOT_KEYS rows
-        out = rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(facts, keys, how))
+    if hot.isEmpty():
+        out = rows.where(known).join(facts, keys, how)
     else:
-        out = rows.join(facts, keys, how)
+        fan, salt = fresh(rows.join(facts.limit(0), keys, "left"), "fan", "salt")
+        hot = F.broadcast(hot.withColumnRenamed("fan", fan))  # at most HOT_KEYS rows
+        salted = rows.where(known).join(hot, keys, "left").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.coalesce(fan, F.lit(1)))).drop(fan)
+        copied = facts.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(fan, F.lit(1)) - 1))).drop(fan)
+        out = salted.join(copied, [*keys, salt], how).drop(salt)
     return out if how == "inner" else out.unionByName(without, allowMissingColumns=True)
 
 
@@ -105,15 +114,18 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     block) are summed in order. ``keys`` hold no nulls. The blocks are cut by a checkpoint, because both passes must
     see the same ones, also after a lost executor.
     """
+    block, *names = fresh(df, "block", *(f"{part} {k}" for part in ("value", "total", "base", "inside") for k in values))
+    value, total, base, inside = (names[i * len(values) : (i + 1) * len(values)] for i in range(4))
     dealt = df.repartitionByRange(shuffle_width(df.sparkSession), *keys, *order)
-    dealt = cut(dealt.withColumns({"_block": F.spark_partition_id(), **{f"_{k}": v for k, v in values.items()}}))
-    by = [*keys, "_block"]
-    totals = dealt.groupBy(*by).agg(*(F.sum(f"_{k}").alias(f"_total_{k}") for k in values))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*by, *(F.coalesce(F.sum(f"_total_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in values))
-    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.select("*", *(F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)).alias(f"_inside_{k}") for k in values))
-    return summed.join(base, by).select(*df.columns, *((F.col(f"_base_{k}") + F.col(f"_inside_{k}")).cast("long").alias(k) for k in values))
+    dealt = cut(dealt.withColumns({block: F.spark_partition_id(), **dict(zip(value, values.values(), strict=True))}))
+    by = [*keys, block]
+    totals = dealt.groupBy(*by).agg(*(F.sum(v).alias(t) for v, t in zip(value, total, strict=True)))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, *(F.coalesce(F.sum(t).over(before), F.lit(0)).alias(n) for t, n in zip(total, base, strict=True)))
+    within = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0)).alias(n) for v, n in zip(value, inside, strict=True)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in values]
+    return summed.join(totals, by).select(*kept, *((F.col(n) + F.col(m)).cast("long").alias(k) for n, m, k in zip(base, inside, values, strict=True)))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:

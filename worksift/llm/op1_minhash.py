@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import components, cut, join_facts, small
+from worksift.llm.common import components, cut, spread_join, small
 
 SHINGLE, BINS, ROWS = 5, 160, 4
 #: A link needs DENOMINATOR * intersection >= NUMERATOR * union.
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> Data
     # A bucket's centre is the member that meets most others: the original of a family of copies.
     weights = shared.groupBy("rep").agg(F.sum("m").alias("weight"))
     centres = cut(shared.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c"), F.count("*").alias("m")).select("bucket", "m", (-F.col("c.minus")).alias("centre")))
-    stars = join_facts(shared.select("bucket", "rep"), centres, ["bucket"], "m").where("rep <> centre").groupBy("centre", "rep").agg(F.count("*").alias("n"))
+    stars = spread_join(shared.select("bucket", "rep"), centres, ["bucket"], weight="m").where("rep <> centre").groupBy("centre", "rep").agg(F.count("*").alias("n"))
     best = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("minus"))).alias("top"))
     best = cut(best.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")))
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> Data
 
     named = shared.select("bucket", F.col("rep").alias("doc_id")).join(rooted, "doc_id")
     spans = cut(named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("bucket", "m"))
-    left = join_facts(named, spans, ["bucket"], "m").select("doc_id", "root").distinct()
+    left = spread_join(named, spans, ["bucket"], weight="m").select("doc_id", "root").distinct()
     pairs = cut(rare_pairs(sets.join(left, "doc_id").select("doc_id", "root", "shingles")))
     further = confirm(pairs, sets)
     ends = rooted.select(F.col("doc_id").alias("a"), F.col("root").alias("ra")), rooted.select(F.col("doc_id").alias("b"), F.col("root").alias("rb"))
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> Data
     final = rooted.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(F.col("doc_id").alias("rep"), F.coalesce("to", "root").alias("root"))
 
     of_class = cut(classes.select("class", "rep", "n").join(final, "rep", "left").select("class", "n", F.coalesce("root", "rep").alias("root")))
-    out = join_facts(sketched.select("doc_id", "n_shingles", "class"), of_class, ["class"], "n", "left")
+    out = spread_join(sketched.select("doc_id", "n_shingles", "class"), of_class, ["class"], "left", "n")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
