@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by large-item matching.
 
-Texts become token ids plus an end id. Longer ones are cut into pieces of ``CAPACITY`` with the rest as a last piece.
+Texts become token ids plus an end id. Longer ones are cut into pieces of ``CAPACITY`` after a first piece with the rest.
 Pieces above a third of the capacity pair at most twice per bin: from the largest down, each meets the largest partner
 that still fits. Smaller pieces then go, from the largest down, into the fullest bin that has room (best fit).
 
@@ -10,10 +10,12 @@ says which ranks of a length go to which run of bins; it is bounded by the capac
 Ranks come from a running sum that splits a length which a third of all pieces may share.
 
 Ids are those of ``byte_bpe_50k.json``; they are computed by tiktoken from ``byte_bpe_50k.tiktoken``, the same
-vocabulary as ranks, at a quarter of the CPU time. The tests hold both against each other.
+vocabulary as ranks, at a quarter of the CPU time. The tests hold both against each other. As the tokenizer reads it, the
+string of the special token in a text is that token.
 
 Defined results: a null text is empty and is the end id alone; repeated rows are packed each; a null doc_id
-is carried along; extra columns are ignored; an empty table gives no rows.
+is carried along; ``pieces`` ignores extra columns, ``pack`` carries them along but for ``sequence_id`` and ``offset``,
+which it replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut, running_sum
+from worksift.llm.common import cut, fresh, running_sum
 
 CAPACITY, END_ID = 1024, 2
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+#: Fixed value: the vocabulary's special token.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -48,13 +52,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = N
 
         lines = Path(path).read_bytes().splitlines()
         ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encoding.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity].tobytes()
+                ids = np.append(encoding.encode_to_numpy(text or "", allowed_special="all"), END_ID).astype("<u4")
+                ends = range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)
+                for k, end in enumerate(ends):
+                    start = ends[k - 1] if k else 0
+                    part = ids[start:end].tobytes()
                     rows.append((doc, k, start, len(part) // 4, zlib.crc32(part), part))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": batch["doc_id"].dtype})
             yield out if with_ids else out.drop(columns="ids")
@@ -134,19 +140,21 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = np.array(sorted(plan(counts, capacity)), dtype=np.int64).reshape(-1, 6)
     sent = spark.sparkContext.broadcast(placed)
 
-    ranked = running_sum(cut_pieces, ["length"], ["doc_id", "piece", "ids_crc32"], F.lit(1).cast("long"), "rank")
+    cut_pieces = cut_pieces.drop("sequence_id", "offset")
+    rank, order = fresh(cut_pieces, "rank")[0], [c for c in ("doc_id", "piece", "ids_crc32") if c in cut_pieces.columns]
+    ranked = running_sum(cut_pieces, ["length"], order, F.lit(1).cast("long"), rank)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = sent.value
         keys = (table[:, 0] << 44) + table[:, 1]
         for batch in batches:
-            rank = batch["rank"].to_numpy()
-            row = table[np.searchsorted(keys, (batch["length"].to_numpy() << 44) + rank, "right") - 1]
-            k = rank - row[:, 1]
-            yield batch.drop(columns="rank").assign(sequence_id=row[:, 3] + k // row[:, 4], offset=row[:, 5] + k % row[:, 4] * row[:, 0])
+            ranks = batch[rank].to_numpy()
+            row = table[np.searchsorted(keys, (batch["length"].to_numpy() << 44) + ranks, "right") - 1]
+            k = ranks - row[:, 1]
+            yield batch.drop(columns=rank).assign(sequence_id=row[:, 3] + k // row[:, 4], offset=row[:, 5] + k % row[:, 4] * row[:, 0])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema)
-    return ranked.select(*cut_pieces.columns, "rank").mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    return ranked.select(*cut_pieces.columns, rank).mapInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
