@@ -7,14 +7,15 @@ the earliest line of a key can be a reason to drop the others, so equal variants
 key that a third of all lines share costs one row for each task. Each line and its earliest partner are then
 compared word by word.
 
-A line is dropped if an earlier line, by (doc_id, place), is within the bound. Lines of fewer than ``MIN_WORDS`` words are
-never compared nor dropped. Exact copies are resolved first by a 128-bit hash. Variants are emitted only for lines that
-share their first or last half with a different line: of two lines within one edit, one half is untouched.
-Sums of word hashes make each variant's key from its neighbour's in one step, so very long lines stay linear. Only
-built-in functions are used.
+A line is dropped if an earlier line, by (doc_id, place), is within the bound. Lines without a word are never dropped. Of lines
+with fewer than ``MIN_WORDS`` words only copies are: there one word is too much of the meaning. Exact copies are resolved
+first by a 128-bit hash. Variants are emitted only for lines that share their first or last half with a different line: of two
+lines within one edit, one half is untouched. Words are hashed once; sums of their hashes make each variant's key from its
+neighbour's in one step, so very long lines stay linear. Only built-in functions are used.
 
 Defined results: a null text stays null, an empty one empty; rows that share doc_id and text are one document and lose the
-same lines; a null doc_id counts as the smallest; extra columns are carried along; an empty table gives no rows.
+same lines; a null doc_id counts as the smallest; extra columns are carried along, but for ``dropped_lines``, which is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,34 +23,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut, let, words_of
+from worksift.llm.common import cut, fresh, let, small, spread_join, stored
 
 MIN_WORDS = 8
-#: Sides of joins are broadcast up to this count of short rows, and joined by shuffle beyond it.
-BROADCAST_ROWS = 1_000_000
 ORD = ["doc", "row", "line"]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A materialised side of a join, to be broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _key(docs: DataFrame) -> dict[str, Column]:
+    """The document's key: ``doc``, and ``row`` to tell apart texts that share a doc_id."""
+    return {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "row": F.xxhash64(F.col("text").cast("string"))}
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Add the document's key: ``doc``, and ``row`` to tell apart texts that share a doc_id."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64(F.col("text").cast("string"))})
+def _lines(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, row, line, words, n, k1, k2) of the lines with words; only of the ``wanted`` ones (doc, row, wanted) if given.
 
-
-def _lines(docs: DataFrame, min_words: int, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc, row, line, words, n, k1, k2) of the lines that are compared; only of the ``wanted`` ones (doc, row, wanted) if given."""
-    rows = _rows(docs).select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    ``words`` are hashes. Rare white space becomes a blank first, so that most lines are split by a plain character.
+    """
+    text, space = F.lower(F.col("text").cast("string")), r"[\x09\x0B-\x0D]"
+    text = let(text, lambda x: F.when(x.rlike(space), F.regexp_replace(x, space, " ")).otherwise(x))
+    rows = docs.select(*(c.alias(n) for n, c in _key(docs).items()), F.split(text, "\n", -1).alias("lines"))
     if wanted is None:
         lines = rows.select("doc", "row", F.posexplode("lines").alias("line", "words"))
     else:
         lines = rows.join(wanted, ["doc", "row"]).select("doc", "row", "lines", F.explode("wanted").alias("line")).withColumn("words", F.get("lines", F.col("line"))).drop("lines")
-    lines = lines.withColumn("words", words_of(F.lower("words"))).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    whole = F.array_join("words", " ")
-    return lines.withColumns({"k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit("second"), whole)})
+    lines = lines.withColumn("words", F.transform(F.array_remove(F.split("words", " ", -1), ""), lambda w: F.xxhash64(w)))
+    lines = lines.withColumn("n", F.size("words")).where("n > 0")
+    return lines.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit("second"), "words")})
 
 
 def _halves() -> Column:
@@ -58,7 +57,7 @@ def _halves() -> Column:
 
     def key(first: bool, h: Column) -> Column:
         part = F.slice(words, F.lit(1) if first else n - h + 1, h)
-        return F.struct(F.lit(first).alias("first"), F.xxhash64(F.lit(first), h, F.array_join(part, " ")).alias("half"))
+        return F.struct(F.lit(first).alias("first"), F.xxhash64(F.lit(first), h, part).alias("half"))
 
     low, high = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
     return F.array_compact(F.array(key(True, low), key(False, low), *(F.when(high > low, key(side, high)) for side in (True, False))))
@@ -108,46 +107,49 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, row, dropped): numbers of the lines, from 0, that repeat an earlier line."""
     ord_ = F.struct(*ORD)
-    seen = cut(_lines(docs, min_words).select(*ORD, "k1", "k2", _halves()["half"].alias("halves")))
+    halves = F.when(F.col("n") >= min_words, _halves()["half"]).otherwise(F.array().cast("array<bigint>"))
+    seen = stored(_lines(docs).select(*ORD, "k1", "k2", halves.alias("halves")))
 
     halves = seen.select("k1", F.explode("halves").alias("half")).groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
     shared = small(cut(halves.where("a <> b").select("half")))
     wanted = seen.select(*ORD, F.explode("halves").alias("half")).join(shared, "half").groupBy("doc", "row").agg(F.collect_set("line").alias("wanted"))
-    wanted = small(cut(wanted))
-    live = _lines(docs, min_words, wanted).select(*ORD, "k1", "k2", "n", "words", F.explode(_halves()).alias("x")).select("*", "x.first", "x.half").join(shared, "half")
+    wanted = small(cut(wanted), array="wanted")
+    live = _lines(docs, wanted).select(*ORD, "k1", "k2", "n", "words", F.explode(_halves()).alias("x")).select("*", "x.first", "x.half").join(shared, "half")
     live = live.groupBy("k1", "k2").agg(F.min(ord_).alias("ord"), F.first("n").alias("n"), F.first("words").alias("words"), F.max("first").alias("by_first"), F.max(~F.col("first")).alias("by_last"))
     live = cut(live)
 
     keys = ["size", "at", "t1", "t2"]
     variants = _variants(live)
     met = variants.groupBy(*keys).agg(F.min(F.when(F.col("base"), F.col("ord"))).alias("whole"), F.min(F.when(~F.col("base"), F.col("ord"))).alias("less"), F.count("*").alias("m")).where("m > 1")
-    met = small(cut(met))
+    met = small(cut(met), 120)
     partner = F.when((F.col("at") >= 0) | F.col("base"), F.col("less")).otherwise(F.col("whole"))
     pairs = variants.join(met, keys).withColumn("partner", partner).where("partner < ord").select("k1", "k2", "partner").distinct()
     texts = live.select("k1", "k2", "ord", "words")
-    near = pairs.join(texts.select("k1", "k2", "words"), ["k1", "k2"]).join(texts.select(F.col("ord").alias("partner"), F.col("words").alias("other")), "partner")
+    near = pairs.join(texts.select("k1", "k2", "words"), ["k1", "k2"])
+    near = spread_join(cut(near), texts.select(F.col("ord").alias("partner"), F.col("words").alias("other")), ["partner"])
     near = near.where(within_one_edit(F.col("words"), F.col("other"))).select("k1", "k2").distinct()
 
-    copies = seen.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(False).alias("near"))
-    reasons = copies.unionByName(near.withColumn("near", F.lit(True))).groupBy("k1", "k2").agg(F.max("near").alias("near"))
-    hits = cut(seen.select(*ORD, "k1", "k2").join(small(cut(reasons)), ["k1", "k2"]))
-    kept = hits.groupBy("k1", "k2").agg(F.min(ord_).alias("kept"))
-    dropped = hits.join(kept, ["k1", "k2"]).where(F.col("near") | (ord_ != F.col("kept")))
+    copies = seen.groupBy("k1", "k2").agg(F.min(ord_).alias("first"), F.count("*").alias("m")).where("m > 1")
+    reasons = copies.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full").select("k1", "k2", F.coalesce("near", F.lit(False)).alias("near"), "first", F.coalesce("m", F.lit(1)).alias("m"))
+    dropped = spread_join(seen.select(*ORD, "k1", "k2"), cut(reasons), ["k1", "k2"], weight="m").where(F.col("near") | (ord_ != F.col("first")))
     return dropped.groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``dropped_lines``."""
-    found = repeats(docs, min_words).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("dropped").alias("_dropped"))
-    joined = _rows(docs).join(found, ["_doc", "_row"], "left")
+    docs = docs.drop("dropped_lines")
+    doc, row, dropped = fresh(docs, "doc", "row", "dropped")
+    found = repeats(docs, min_words).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("dropped").alias(dropped))
+    key = _key(docs)
+    joined = docs.withColumns({doc: key["doc"], row: key["row"]}).join(found, [doc, row], "left")
 
     def rest(lines: Column) -> Column:
-        starts, ends = F.concat(F.array(F.lit(-1)), "_dropped"), F.concat("_dropped", F.array(F.size(lines)))
+        starts, ends = F.concat(F.array(F.lit(-1)), dropped), F.concat(dropped, F.array(F.size(lines)))
         return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 2, b - a - 1))), "\n")
 
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), rest))
-    none = F.array().cast("array<int>")
-    return joined.withColumns({"text": text, "dropped_lines": F.coalesce("_dropped", none)}).select(*docs.columns, "dropped_lines")
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), rest))
+    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.coalesce(dropped, F.array().cast("array<int>")).alias("dropped_lines"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +165,12 @@ WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 o AS (
   SELECT doc_id, i, list_filter(regexp_split_to_array(lower(ls[i + 1]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM t)),
-c AS MATERIALIZED (SELECT doc_id, i, ws FROM o WHERE len(ws) >= 8),
+c AS MATERIALIZED (SELECT doc_id, i, ws FROM o WHERE len(ws) >= 1),
 f AS MATERIALIZED (SELECT ws, min((doc_id, i)) AS at, row_number() OVER (ORDER BY min((doc_id, i))) AS r FROM c GROUP BY ws),
-v AS MATERIALIZED (SELECT r, k, len(ws) AS n, list_concat(ws[1:k - 1], ws[k + 1:]) AS x FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS k FROM f)),
+v AS MATERIALIZED (SELECT r, k, len(ws) AS n, list_concat(ws[1:k - 1], ws[k + 1:]) AS x FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS k FROM f WHERE len(ws) >= 8)),
 drop_near AS (
   SELECT b.r FROM v a JOIN v b ON a.x = b.x AND a.k = b.k AND a.r < b.r
-  UNION SELECT greatest(a.r, f.r) FROM v a JOIN f ON a.x = f.ws),
+  UNION SELECT greatest(a.r, f.r) FROM v a JOIN f ON a.x = f.ws WHERE len(f.ws) >= 8),
 d AS (
   SELECT c.doc_id, c.i FROM c JOIN f USING (ws) WHERE (c.doc_id, c.i) <> f.at OR f.r IN (SELECT r FROM drop_near)),
 g AS (SELECT doc_id, list(i::INT ORDER BY i) AS dropped FROM d GROUP BY doc_id),
