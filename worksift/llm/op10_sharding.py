@@ -5,7 +5,8 @@ record. A shard's draw doesn't depend on the others, so one more shard takes row
 shards get rows in proportion to their weights. Only built-in functions are used.
 
 Defined results: a null key is a key like any other; a null text has no bytes and the checksum of an empty one; repeated
-rows share a shard and get a slot each; extra columns are ignored; an empty table gives no rows.
+rows share a shard and get a slot each; extra columns are carried along, but for ``shard`` and ``grown_shard``, which are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 def assign(rows: DataFrame, key: Column, weights: list[float], grown: list[float] | None = None) -> DataFrame:
     """``rows`` with ``shard``, and with ``grown_shard`` under the ``grown`` weights, which start with ``weights``."""
-    out = rows.withColumn("shard", shard_of(key, weights))
-    return out if grown is None else out.withColumn("grown_shard", shard_of(key, grown))
+    found = {"shard": shard_of(key, weights)} | ({} if grown is None else {"grown_shard": shard_of(key, grown)})
+    return rows.withColumns(found)
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
