@@ -143,7 +143,20 @@ def test_secrets_and_ledger(spark, odd):
     assert op3_secrets.update(history, ledger).count() == 0
     newer = (*op3_secrets.RULES[:2], op3_secrets.Rule("hex", 2, "[0-9a-f]{30,}"))
     assert {(r.rule, r.rule_version) for r in op3_secrets.update(history, ledger, newer).collect()} == {("hex", 2)}
-    assert op3_secrets.findings(odd, op3_secrets.update(odd)).count() == len(ODD)
+    assert op3_secrets.findings(odd, op3_secrets.update(odd)).count() == len(ODD) and op3_secrets.findings(odd.limit(0), ledger).count() == 0
+
+
+def test_secrets_many_matches_and_hot_blobs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["token=abc123 ", "é", "secret: xy ", "AKIA" + "Z" * 16 + " ", "0123456789abcdef" * 2 + "\n"]) for _ in range(n)) for n in (0, 1, 2, 400)]
+    rows = list(enumerate([*texts, *[texts[3]] * 20]))
+    for r in op3_secrets.findings(frame(spark, rows), op3_secrets.update(frame(spark, rows))).collect():
+        text = rows[r.doc_id][1]
+        want = []
+        for rank, rule in enumerate(op3_secrets.RULES):
+            want += [(m.start(), rank, rule.kind, m.end()) for m in re.finditer(rule.pattern, text) if len(m[rule.group]) >= rule.least]
+        assert [tuple(x) for x in r.found] == sorted(want)
 
 
 def test_decontamination(spark, odd):
@@ -171,9 +184,10 @@ def test_decontamination(spark, odd):
     assert op4_decontaminate.contamination(odd, bench).count() == len(ODD) and op4_decontaminate.contamination(odd, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [1 << 26, -1])
 def test_line_dedup(spark, monkeypatch, limit):
-    monkeypatch.setattr(op5_line_dedup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "HOT_ROWS", 5000 if limit > 0 else 3)
     rng = random.Random(7)
     base = [words(rng, rng.randint(5, 14), 6) for _ in range(12)]
     docs = []
@@ -186,7 +200,7 @@ def test_line_dedup(spark, monkeypatch, limit):
                 rng.choice([lambda: w.pop(at), lambda: w.insert(at, rng.choice("xyz")), lambda: w.__setitem__(at, rng.choice("xyz"))])()
             lines.append(" ".join(w).title() if rng.random() < 0.3 else "  ".join(w))
         docs.append((k, "\n".join(lines)))
-    docs += [(40, None), (41, ""), (42, docs[3][1])]
+    docs += [(40, None), (41, ""), (42, docs[3][1]), (43, "short line\n\nPage 5\n \t\nSHORT\x0bline"), (44, "page 5\n\n"), (45, "page 6")] + [(k, "short line") for k in range(50, 60)]
 
     def close(a, b):
         if abs(len(a) - len(b)) > 1:
@@ -201,10 +215,10 @@ def test_line_dedup(spark, monkeypatch, limit):
         kept = []
         for line in (text or "").split("\n"):
             w = line.lower().split()
-            if len(w) >= 8 and any(close(w, x) for x in seen):
+            if w and any(w == x or min(len(w), len(x)) >= 8 and close(w, x) for x in seen):
                 seen.append(w)
                 continue
-            seen += [w] if len(w) >= 8 else []
+            seen += [w] if w else []
             kept.append(line)
         want[doc] = None if text is None else "\n".join(kept)
     assert {r.doc_id: r.text for r in op5_line_dedup.drop_repeated_lines(frame(spark, docs)).collect()} == want
@@ -213,7 +227,7 @@ def test_line_dedup(spark, monkeypatch, limit):
 def test_line_dedup_odd_rows(spark, odd):
     got = op5_line_dedup.drop_repeated_lines(odd)
     rows = {r.doc_id: r for r in got.collect()}
-    assert got.count() == len(ODD) and rows[1].text is None and rows[2].text == "" and rows[6].text == "" and rows[5].text == ODD[5][1] and rows[6]["rank"] == "r"
+    assert got.count() == len(ODD) and rows[1].text is None and rows[2].text == "" and rows[6].text == "" and rows[3].text == ODD[2][1] and rows[5].text == ODD[5][1] and rows[6]["rank"] == "r"
     assert op5_line_dedup.drop_repeated_lines(odd.limit(0)).count() == 0
 
 
@@ -310,9 +324,8 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(8)
-    texts = ["", None, "a  b\n\n c\t\tdé漢 <|endoftext|> 'll 123456", "x" * 5000] + [" ".join(words(rng, rng.randint(1, 900))) for _ in range(150)]
+    texts = ["", None, "a  b\n\n c\t\tdé漢 <|endoftext|> 'll 123456", "x" * 5000, "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext"] + [" ".join(words(rng, rng.randint(1, 900))) for _ in range(150)]
     made = common.cut(op9_packing.pieces(frame(spark, list(enumerate(texts)))))
     got = op9_packing.pack(made).collect()
     by = collections.defaultdict(list)
@@ -322,7 +335,7 @@ def test_packing(spark, odd):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         parts = sorted(by[k], key=lambda r: r.piece)
         assert [x for r in parts for x in np.frombuffer(bytes(r.ids), "<u4")] == ids and all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in parts)
-        assert len(parts) == -(-len(ids) // 1024) and [r.start for r in parts] == [sum(x.length for x in parts[:i]) for i in range(len(parts))]
+        assert all(r.length == 1024 for r in parts[1:]) and len(parts) == -(-len(ids) // 1024) and [r.start for r in parts] == [sum(x.length for x in parts[:i]) for i in range(len(parts))]
     bins = collections.defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))
