@@ -10,8 +10,8 @@ labelled rows: log-odds of words and of word beginnings that are significantly t
 the two strongest of a document and their mean. Only the text is an input of a score.
 
 Defined results: null or empty texts get the score of a text without evidence; labels without a document teach nothing;
-repeated rows are scored each; null doc_ids are never used to learn; extra columns are ignored; without labels of both
-kinds every score is 0; an empty table gives no rows.
+repeated rows are scored each; null doc_ids are never used to learn; extra columns are carried along, but for ``score`` and
+``predicted``, which are replaced; without labels of both kinds every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worksift.llm.common import stored
+
 
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
-#: A feature needs this many toxic documents and this many standard errors above chance; at most ``FEATURES`` are kept.
-MIN_TOXIC, MIN_Z, FEATURES = 5, 5.0, 5000
+#: A feature needs this many toxic documents and this many standard errors above chance.
+MIN_TOXIC, MIN_Z = 5, 5.0
 PREFIXES = (4, 5, 6)
 #: Letters that digits and signs look like.
 LOOKALIKES = {
@@ -78,10 +80,11 @@ class CharacterModel:
                 a, b = b, c
         return out
 
-    def decode(self, token: str, beam: int = 64, breaks: bool = False) -> str:
-        """The likeliest reading of a lower-case ``token``; the state is the last two letters and the last place's letter.
+    def decode(self, token: str, breaks: bool = False) -> str:
+        """The likeliest reading of a lower-case ``token``: exact Viterbi over all states, linear in the token's length.
 
-        With ``breaks`` a word may end between any two places, and the reading's words are set apart by blanks.
+        The state is the last two letters' classes and the last place's letter. With ``breaks`` a word may end between any two
+        places, and the reading's words are set apart by blanks.
         """
         states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
         for at, sign in enumerate(token):
@@ -104,7 +107,7 @@ class CharacterModel:
                 for key, value, path in moves:
                     if key not in new or value > new[key][0]:
                         new[key] = (value, path)
-            states = new if len(new) <= beam else dict(sorted(new.items(), key=lambda x: -x[1][0])[:beam])
+            states = new
         path, letters = max(((score + self.log[a][b][0], path) for (a, b, _), (score, path) in states.items()), key=lambda x: x[0], default=(0, ()))[1], []
         while path:
             path, letter = path
@@ -238,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, train_rows: i
     """Weights of features, and the logistic curve's coefficients, from rows that aren't held out."""
     taught = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id")))
     taught = taught.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # bounds what is broadcast
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taught), "doc_id")
+    # Three passes read the sample, so its texts are stored once.
+    sample = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taught), "doc_id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, counts = Reader(model), (Counter(), Counter())
@@ -267,11 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, train_rows: i
 
     # Candidates come from toxic rows alone; their counts in clean rows follow for these only.
     toxic = sample.where("toxic = 1").mapInPandas(count, "name string, n0 long, n1 long").groupBy("name").agg(F.sum("n1").alias("n1"))
-    top = toxic.where(F.col("n1") >= MIN_TOXIC).orderBy(F.desc("n1"), "name").limit(20 * FEATURES).collect()
+    top = toxic.where(F.col("n1") >= MIN_TOXIC).collect()  # words of at most train_rows documents
     n1 = {r["name"]: r["n1"] for r in top}
     total1 = n1.pop("", 0)
     clean = sample.where("toxic = 0").mapInPandas(count_clean(set(n1)), "name string, n0 long").groupBy("name").agg(F.sum("n0").alias("n0"))
-    n0 = {r["name"]: r["n0"] for r in clean.collect()}  # at most 20 * FEATURES names and one more
+    n0 = {r["name"]: r["n0"] for r in clean.collect()}  # the same names
     total0 = n0.pop("", 0)
     if not total0 or not total1:
         return {}, None
@@ -282,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, train_rows: i
         z = (a - chance) / math.sqrt(chance)
         if z >= MIN_Z:
             scored.append((z, name, math.log((a + 0.5) / (total1 + 1)) - math.log((b + 0.5) / (total0 + 1))))
-    weights = {name: weight for _, name, weight in sorted(scored, reverse=True)[:FEATURES]}
+    weights = {name: weight for _, name, weight in scored}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model, weights)
@@ -312,13 +316,13 @@ def scores(docs: DataFrame, model: CharacterModel, weights: dict[str, float], be
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score, predicted) for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """The columns of ``docs`` but its text, with score and predicted, for each row."""
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     model = character_model(docs)
     return scores(docs, model, *fit(docs, labels, model, train_rows))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all ``documents``."""
-    scored = toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
