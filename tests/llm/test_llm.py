@@ -231,11 +231,55 @@ def test_line_dedup_odd_rows(spark, odd):
     assert op5_line_dedup.drop_repeated_lines(odd.limit(0)).count() == 0
 
 
-def test_quality(spark, odd):
+def divergence(p, q):
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v > 0)
+    return (max(kl(p) + kl(q), 0) / 2) ** 0.5
+
+
+def test_quality(spark, odd, monkeypatch):
+    """Base counts, references, distances, learnt limits and verdicts, all by brute force."""
+    monkeypatch.setattr(op6_quality, "COMMON", 12)
     rng = random.Random(4)
     rows = [(k, "\n".join(" ".join(words(rng, rng.randint(0, 9), 5)) for _ in range(rng.randint(0, 12))), "en") for k in range(25)] + [(99, "#*$ %&|<> é 漢字\n\n#*$ %&|<> é 漢字", "es")]
-    got = {r.doc_id: r for r in op6_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    for doc, text, _ in rows:
+    weights = {"en": [1 / (k + 1) for k in range(60)], "fr": [1 / (60 - k) for k in range(60)]}
+    for k in range(100, 500):
+        lang, n = rng.choice(["en", "fr"]), rng.randint(70, 90) if k < 420 else rng.randint(80, 400)
+        made = rng.choices([f"v{i}" for i in range(60)], weights[lang if k < 460 else "fr"], k=n)
+        rows.append((k, " ".join(made).upper() if k > 490 else " ".join(made), lang))
+    labels = [(k, int(k < 460)) for k in range(100, 500)]
+    got = {r.doc_id: r for r in op6_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    classes = lambda t: [len(re.findall(x, t)) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[ \t-\r]", r"[#*$%&|<>]", r"[^\x00-\x7f]", r"[!\"'()+,./:;=?@\\^_`{}~\[\]-]")]
+    share = lambda c: [x / sum(c) for x in c]
+    good = [r for r in rows if 100 <= r[0] < 460 and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    lists, refs, most = {}, {}, {}
+    for lang in ("en", "fr"):
+        n = collections.Counter(w for _, t, x in good if x == lang for w in t.lower().split())
+        lists[lang] = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:12]]
+        refs[lang] = [n[w] / n.total() for w in lists[lang]]
+        refs[lang].append(1 - sum(refs[lang]))
+        lists[lang, "c"] = share([sum(x) for x in zip(*(classes(t) for _, t, y in good if y == lang))])
+
+    def distances(text, lang):
+        w = text.lower().split()
+        n = collections.Counter(w)
+        own = [n[x] / len(w) for x in lists[lang]]
+        return divergence(share(classes(text)), lists[lang, "c"]) if len(text) >= 200 else None, divergence([*own, 1 - sum(own)], refs[lang]) if len(w) >= 64 else None
+
+    band = lambda text: int(2 * np.log2(len(text.split())))
+    for kind in (0, 1):
+        for lang in ("en", "fr"):
+            by = collections.defaultdict(list)
+            for _, t, x in good:
+                if x == lang and (d := distances(t, lang)[kind]) is not None:
+                    by[band(t)].append(d)
+            learnt = {b: max(np.mean(d) + 5 * np.std(d), max(d)) for b, d in by.items() if len(d) >= 30}
+            for b in range(131):
+                near = [x for x in learnt if x <= b]
+                most[kind, lang, b] = learnt[max(near) if near else min(learnt)]
+    for b in range(131):
+        most[0, "en", b] = most[0, "fr", b] = max(most[0, "en", b], most[0, "fr", b])
+    for doc, text, lang in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
         lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
         n = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -244,7 +288,15 @@ def test_quality(spark, odd):
         r = got[doc]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 2 * want[4] > want[0])
-    assert op6_quality.quality(odd).count() == len(ODD) and op6_quality.quality(odd.limit(0)).count() == 0
+        if doc >= 100:
+            found = distances(text, lang)
+            assert [r.class_distance, r.word_distance] == [x if x is None else pytest.approx(x, abs=2e-6) for x in found]
+            far = [x is not None and x > 1.03 * most[k, lang, band(text)] for k, x in enumerate(found)]
+            assert r.kept == (not r.base_failed and not any(far)), doc
+    assert sum(not got[k].kept for k in range(491, 500)) > 5 and all(got[k].kept or got[k].base_failed for k in range(100, 420))
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    alone = op6_quality.quality(odd, empty)
+    assert alone.count() == len(ODD) and alone.where("kept = base_failed").count() == 0 and op6_quality.quality(odd.limit(0), empty).count() == 0
 
 
 def test_js_distance(spark):
@@ -281,6 +333,34 @@ def test_decoding(token, word):
     assert word in op7_toxicity.readings(token, model)
 
 
+def test_decoding_is_exact():
+    """Viterbi against all readings of short tokens."""
+    model = op7_toxicity.CharacterModel(op7_toxicity.CharacterModel.count({"the": 90, "idiot": 4, "stupid": 4, "to": 60, "all": 9, "it": 50}))
+    code = model.code
+
+    def paths(token):
+        out = [(0.0, 0, 0, "", "")]
+        for at, sign in enumerate(token):
+            stretched = token[max(0, at - 2) : at + 3].count(sign) >= 3
+            options = [(sign, 0.0 if sign.isalpha() else op7_toxicity.COST_ODD), *((x, op7_toxicity.COST_LOOK) for x in op7_toxicity.LOOKALIKES.get(sign, ""))]
+            new = []
+            for score, a, b, last, text in out:
+                for x, cost in options:
+                    new.append((score + model.log[a][b][code(x)] - cost, b, code(x), x, text + x))
+                    if x == last:
+                        new.append((score - cost - (op7_toxicity.COST_REPEAT if stretched else op7_toxicity.COST_PAIR), a, b, last, text))
+                if sign in op7_toxicity.SEPARATORS:
+                    new.append((score - op7_toxicity.COST_SKIP, a, b, last, text))
+            out = new
+        return sorted(((score + model.log[a][b][0], text) for score, a, b, _, text in out), reverse=True)
+
+    rng = random.Random(12)
+    for _ in range(150):
+        token = "".join(rng.choice("idot1!.-70ss") for _ in range(rng.randint(1, 6)))
+        best = paths(token)
+        assert model.decode(token) in {text for score, text in best if score > best[0][0] - 1e-9}
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<s>", "<\\s>", "a\\n<|im_end|>\nb</s>[INST][/INST]", "<|im_", "é \r\n"])
 def test_chat_escapes(text):
     assert op8_chat.unescape(op8_chat.escape(text)) == text
