@@ -5,15 +5,19 @@ of the forest is a sequence of first turns, named by running sums of hashes, and
 id that starts with it. A conversation's own nodes are therefore one chain that hangs on a node of another chain, and depth
 first means: a chain, then the chains that hang on it, from its deepest node up, each with all that hangs on it. Every node is
 emitted once with its tokens, its place in its tree's token sequence, its position id (the tokens before it on its own path)
-and the intervals of ancestors' tokens that it may attend to besides its own chain. ``members`` says which nodes make up a conversation.
-Different turns (by two 64-bit hashes of role and text) are formatted and cut into tokens once and stored; sums, chains and
-trees are worked out on short rows that carry these hashes only.
+and the intervals of ancestors' tokens that it may attend to besides its own chain.
 
-No conversation or tree is gathered in one task: running sums split a hot key, and what one row carries grows with the count
-of branchings on its path only.
+A conversation is read back by walking the emitted trees: the intervals that its last node attends to, and its own chain up to
+there, name a stretch of tokens each; the tokens of these, in the order of their offsets, are decoded and parsed.
 
-Defined results: a null role or text is empty; turns that repeat a number follow by role and text, repeated rows are turns of
-their own; turns without conv_id are dropped; extra columns are ignored; an empty table gives no rows.
+Trees are worked out on short rows that carry hashes and token counts only. Texts are shuffled twice: to meet equal turns,
+which are cut into tokens once and emitted, and to bring tokens to the conversations that are read back. Paths of chains to
+their root are found by pointer doubling, in rounds that follow the logarithm of their depth; what one row carries grows with
+the count of branchings on its path, as its list of intervals does. Running sums and joins split a hot key. The digests of
+one conversation are taken in order, so its turns stream through one task; they aren't gathered.
+
+Defined results: a null role or text is empty; turns that repeat a number follow by hashes of role and text, repeated rows are
+turns of their own; turns without conv_id are dropped; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut, running_sum, running_sums, stored
+from worksift.llm.common import cut, running_sum, running_sums, spread_join
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates read as control strings.
@@ -61,102 +66,115 @@ def parse(formatted: str) -> tuple[str, str]:
     return unescape(head[len(START) :]), unescape(rest[: -len(END) - 1])
 
 
-def _formatted(rows: DataFrame, ranks_file: str) -> DataFrame:
-    """Add the formatted segment, its tokens and the span that the loss covers, in characters and in tokens."""
+def _encoding(ranks_file: str, pattern: str):
+    import tiktoken
+
+    lines = Path(ranks_file).read_bytes().splitlines()
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _tokens(rows: DataFrame, ranks_file: str, whole: bool) -> DataFrame:
+    """Replace role and text by ``n_tokens``, and if ``whole`` by the tokens too and the part of them that the loss covers."""
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        lines = Path(ranks_file).read_bytes().splitlines()
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(ranks_file, pattern)
         for batch in batches:
-            rows = []
+            out = []
             for role, text in zip(batch["role"], batch["text"], strict=True):
                 head, body, tail = segment(role, text)
-                ids = [encoding.encode_ordinary(x) for x in (head, body, tail)]
-                learnt = role == LEARNT_ROLE
-                spans = [(len(head), len(head) + len(body)), (len(ids[0]), len(ids[0]) + len(ids[1]))] if learnt else [(0, 0), (0, 0)]
-                rows.append((head + body + tail, sum(ids, []), *spans[0], *spans[1]))
-            made = pd.DataFrame(rows, columns=["formatted", "ids", "loss_from", "loss_to", "loss_token_from", "loss_token_to"], index=batch.index)
+                first, ids, last = (encoding.encode_to_numpy(x, disallowed_special=()) for x in (head, body, tail))
+                n = len(first) + len(ids) + len(last)
+                span = (len(first), len(first) + len(ids)) if role == LEARNT_ROLE else (0, 0)
+                out.append((n, np.concatenate((first, ids, last)).astype("<u2").tobytes(), *span) if whole else (n,))
+            made = pd.DataFrame(out, columns=["n_tokens", "ids", "loss_from", "loss_to"] if whole else ["n_tokens"], index=batch.index)
             yield pd.concat([batch.drop(columns=["role", "text"]), made], axis=1)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("role", "text"))
-    return rows.mapInPandas(run, f"{schema}, formatted string, ids array<int>, loss_from long, loss_to long, loss_token_from long, loss_token_to long")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name not in ("role", "text"))
+    return rows.mapInPandas(run, f"{schema}n_tokens long" + ", ids binary, loss_from long, loss_to long" * whole)
 
 
 def prefix_trees(conversations: DataFrame, ranks_file: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The nodes of all trees, and the members (conv_id, idx, owner): conversation, turn from 0, owner of its node.
+    """The nodes of all trees, and a walk (conv_id, owner, start, end) for each stretch of tokens of a conversation.
 
-    Nodes: owner, idx, n_conversations, tree, offset (in the tree's tokens), position (id of the first token), n_tokens,
-    formatted, ids, loss spans, attention (ancestors' token intervals in the tree, outermost first).
+    Nodes: owner, idx, n_conversations, tree, offset (in the tree's tokens), position (id of the first token), n_tokens, ids
+    (little-endian unsigned 16-bit numbers), loss_from and loss_to (tokens of the node), attention (ancestors' token
+    intervals in the tree, outermost first).
     """
-    nodes, segments, members = prefix_forest(conversations, ranks_file)
-    return nodes.join(segments.drop("n_tokens"), [*SEGMENT]).drop(*SEGMENT), members
+    nodes, segments, walks = prefix_forest(conversations, ranks_file)
+    return nodes.join(segments.drop("n_tokens"), [*SEGMENT]).drop(*SEGMENT), walks
 
 
 def prefix_forest(conversations: DataFrame, ranks_file: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As ``prefix_trees``, with the nodes' segments (formatted, ids, loss spans) in a table of their own, by ``SEGMENT``."""
+    """As ``prefix_trees``, with the nodes' segments (n_tokens, ids, loss span) in a table of their own, by ``SEGMENT``."""
     import public_tokenizers
 
+    file = ranks_file or public_tokenizers.path(RANKS_FILE)
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
-    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role, text)
-    turns = turns.withColumns({name: F.xxhash64(F.lit(seed), "role", "text") for seed, name in enumerate(SEGMENT)})
-    segments = turns.groupBy(*SEGMENT).agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    segments = stored(_formatted(segments, ranks_file or public_tokenizers.path(RANKS_FILE)).withColumn("n_tokens", F.size("ids").cast("long")))
+    texts = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role, text)
+    texts = texts.withColumns({name: F.xxhash64(F.lit(seed), "role", "text") for seed, name in enumerate(SEGMENT)})
+    segments = _tokens(texts.groupBy(*SEGMENT).agg(F.first("role").alias("role"), F.first("text").alias("text")), file, True)
 
-    order = ["turn", "role", "digest"]
-    turns = turns.select("conv_id", "turn", "role", F.xxhash64("text").alias("digest"), *SEGMENT)
-    turns = running_sum(turns, ["conv_id"], order, F.lit(1).cast("long"), "idx").drop(*order)
+    turns = running_sum(_tokens(texts, file, False), ["conv_id"], ["turn", *SEGMENT], F.lit(1).cast("long"), "idx").drop("turn")
 
     def hashed(seed: int):  # 38 bits, so that sums over a conversation don't overflow
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "idx", *SEGMENT), 26)
 
-    turns = running_sums(turns.withColumns({"h1": hashed(1), "h2": hashed(2)}), ["conv_id"], ["idx"], {"p1": F.col("h1"), "p2": F.col("h2")})
+    turns = running_sums(turns.withColumns({"h1": hashed(1), "h2": hashed(2)}), ["conv_id"], ["idx"], {"p1": F.col("h1"), "p2": F.col("h2"), "position": F.col("n_tokens")})
     key = ["idx", "p1", "p2"]
-    turns = cut(turns.select("conv_id", "idx", (F.col("p1") + F.col("h1")).alias("p1"), (F.col("p2") + F.col("h2")).alias("p2"), *SEGMENT))
-    nodes = turns.groupBy(*key).agg(F.min("conv_id").alias("owner"), *(F.first(c).alias(c) for c in SEGMENT), F.count("*").alias("n_conversations"))
-    nodes = cut(nodes.join(segments.select(*SEGMENT, "n_tokens"), [*SEGMENT]))
-    members = cut(turns.select("conv_id", *key).join(nodes.select(*key, "owner", "n_tokens"), key).select("conv_id", "idx", "owner", "n_tokens"))
-
-    placed = running_sum(members, ["conv_id"], ["idx"], F.col("n_tokens"), "position")
-    placed = placed.where("conv_id = owner").select("owner", "idx", "position")
-    nodes = cut(nodes.drop("p1", "p2").join(placed, ["owner", "idx"]))
-
-    chains = nodes.groupBy("owner").agg(F.min("idx").alias("first"), F.min("position").alias("begins"), F.sum("n_tokens").alias("tokens"))
-    hung = members.select(F.col("conv_id").alias("owner"), (F.col("idx") + 1).alias("first"), F.col("owner").alias("parent"))
-    chains = cut(chains.join(hung, ["owner", "first"], "left"))
-    step = F.struct((-F.col("first")).alias("first"), F.col("owner").alias("owner"))
-    none = F.array().cast("array<struct<owner:bigint,from:bigint,to:bigint>>")
-    level = cut(chains.where("parent is null").select("owner", F.col("owner").alias("tree"), "begins", "tokens", F.array(step).alias("path"), none.alias("above")))
-    done = level
-    while not level.isEmpty():
-        up = level.select(F.col("owner").alias("parent"), "tree", F.col("begins").alias("from"), F.col("path").alias("up"), F.col("above").alias("so_far"))
-        passed = F.array(F.struct(F.col("parent").alias("owner"), F.col("from").alias("from"), F.col("begins").alias("to")))
-        level = cut(chains.join(up, "parent").select("owner", "tree", "begins", "tokens", F.concat("up", F.array(step)).alias("path"), F.concat("so_far", passed).alias("above")))
-        done = done.unionByName(level)
-    laid = cut(running_sum(done, ["tree"], ["path"], F.col("tokens"), "offset"))
-
-    starts = laid.select(F.col("owner").alias("above_owner"), F.col("offset").alias("above_offset"))
-    spans = laid.select("owner", F.posexplode("above").alias("k", "x")).join(starts, F.col("x.owner") == F.col("above_owner"))
-    span = F.struct("k", F.col("above_offset").alias("start"), (F.col("above_offset") + F.col("x.to") - F.col("x.from")).alias("end"))
-    spans = spans.groupBy("owner").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    laid = laid.select("owner", "tree", "offset", "begins").join(spans, "owner", "left")
-    attention = F.transform(F.coalesce("spans", F.array().cast("array<struct<k:int,start:bigint,end:bigint>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    nodes = nodes.join(laid, "owner").withColumns({"offset": F.col("offset") + F.col("position") - F.col("begins"), "attention": attention})
-    return nodes.drop("begins", "spans"), segments, members.select("conv_id", "idx", "owner")
-
-
-def read_back(nodes: DataFrame, members: DataFrame, by: tuple[str, ...] = ("owner", "idx")) -> DataFrame:
-    """Digests of each conversation, from its formatted turns alone. Conversations stream through, they aren't gathered.
-
-    ``nodes`` may also be the segments, if ``members`` have their hashes and ``by`` names them.
+    turns = cut(turns.select("conv_id", "idx", (F.col("p1") + F.col("h1")).alias("p1"), (F.col("p2") + F.col("h2")).alias("p2"), *SEGMENT, "n_tokens", "position"))
+    nodes = cut(turns.groupBy(*key).agg(F.min("conv_id").alias("owner"), *(F.first(c).alias(c) for c in (*SEGMENT, "n_tokens", "position")), F.count("*").alias("n_conversations")))
+    members = spread_join(turns.select("conv_id", *key, "n_tokens", "position"), nodes.select(*key, "owner", F.col("n_conversations").alias("n")), key, weight="n")
+
+    own = F.col("owner") == F.col("conv_id")
+    talks = members.groupBy("conv_id").agg(
+        F.min(F.when(own, F.col("position"))).alias("begins"), F.min(F.when(own, F.col("idx"))).alias("first"), F.sum(F.when(own, F.col("n_tokens"))).alias("tokens"),
+        F.max(F.when(~own, F.struct("idx", "owner"))).alias("above"), F.max(F.struct("idx", "owner")).alias("last"), F.sum("n_tokens").alias("total"),
+    )
+    talks = cut(talks.select("conv_id", "begins", "first", "tokens", F.col("above.owner").alias("parent"), F.col("last.owner").alias("leaf"), "total"))
+
+    # Chains with the steps and spans of their path; ``up`` is the chain above these, none at the root.
+    step, none = F.struct((-F.col("first")).alias("first"), F.col("conv_id").alias("owner")), F.array().cast("array<struct<owner:bigint,to:bigint>>")
+    above = F.when(F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("owner"), F.col("begins").alias("to")))).otherwise(none)
+    chains = cut(talks.where("first is not null").select(F.col("conv_id").alias("owner"), "begins", "tokens", F.col("parent").alias("up"), F.array(step).alias("path"), above.alias("above")))
+    while not (rising := chains.where("up is not null")).isEmpty():
+        upper = chains.select(F.col("owner").alias("up"), F.col("up").alias("next"), F.col("path").alias("so_far"), F.col("above").alias("higher"))
+        joined = spread_join(rising, upper, ["up"])
+        risen = joined.select("owner", "begins", "tokens", F.col("next").alias("up"), F.concat("so_far", "path").alias("path"), F.concat("higher", "above").alias("above"))
+        chains = cut(chains.where("up is null").unionByName(risen))
+    chains = chains.withColumn("tree", F.get("path", F.lit(0))["owner"])
+    laid = cut(running_sum(chains.select("owner", "tree", "begins", "tokens", "path", "above"), ["tree"], ["path"], F.col("tokens"), "offset").drop("path", "tokens"))
+
+    starts = laid.select("owner", "offset", "begins")
+    spans = cut(laid.select(F.col("owner").alias("chain"), F.posexplode("above").alias("k", "x")).select("chain", "k", "x.owner", "x.to"))
+    span = F.struct("k", "owner", F.col("offset").alias("start"), (F.col("offset") + F.col("to") - F.col("begins")).alias("end"))
+    spans = spread_join(spans, starts, ["owner"]).groupBy(F.col("chain").alias("owner")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    spans = cut(laid.select("owner", "tree", "offset", "begins").join(spans, "owner", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<k:int,owner:bigint,start:bigint,end:bigint>>"))))
+
+    at = spans.select("owner", "tree", F.col("offset").alias("chain_offset"), "begins", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("attention"))
+    nodes = spread_join(nodes.drop("p1", "p2"), at, ["owner"])
+    nodes = nodes.withColumn("offset", F.col("chain_offset") + F.col("position") - F.col("begins")).drop("chain_offset", "begins")
+
+    last = F.struct(F.size("spans").alias("k"), F.col("leaf").alias("owner"), F.col("offset").alias("start"), (F.col("offset") + F.col("total") - F.col("begins")).alias("end"))
+    leaves = spread_join(talks.select("conv_id", "leaf", "total"), spans.withColumnRenamed("owner", "leaf"), ["leaf"])
+    walks = cut(leaves.select("conv_id", F.explode(F.concat("spans", F.array(last))).alias("x")).select("conv_id", "x.owner", "x.start", "x.end"))
+    return nodes, segments, walks
+
+
+def read_back(nodes: DataFrame, segments: DataFrame, walks: DataFrame, ranks_file: str | None = None) -> DataFrame:
+    """Digests of each conversation, from the emitted tokens that its walk names. Conversations stream through.
+
+    ``nodes`` name their segments by ``SEGMENT``. Only owner, offset, n_tokens and the names are read of them.
     """
+    import public_tokenizers
+
+    file, pattern = ranks_file or public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = _encoding(file, pattern)
         now, state = None, None
 
         def row():
@@ -164,13 +182,15 @@ def read_back(nodes: DataFrame, members: DataFrame, by: tuple[str, ...] = ("owne
 
         for batch in batches:
             out = []
-            for conv, formatted, start, end in zip(batch["conv_id"], batch["formatted"], batch["loss_from"], batch["loss_to"], strict=True):
+            for conv, ids, start, end in zip(batch["conv_id"], batch["ids"], batch["loss_from"], batch["loss_to"], strict=True):
                 if state is None or conv != now:
                     if state is not None:
                         out.append(row())
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                ids = np.frombuffer(ids, "<u2").tolist()
+                formatted = encoding.decode_bytes(ids).decode("utf-8", "surrogatepass")
                 role, text = parse(formatted)
-                learnt = unescape(formatted[start:end])
+                learnt = unescape(encoding.decode_bytes(ids[start:end]).decode("utf-8", "surrogatepass"))
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 state[2] += len(learnt)
@@ -184,8 +204,10 @@ def read_back(nodes: DataFrame, members: DataFrame, by: tuple[str, ...] = ("owne
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    turns = members.join(nodes.select(*by, "formatted", "loss_from", "loss_to"), [*by])
-    turns = turns.select("conv_id", "idx", "formatted", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "idx")
+    stream = nodes.select("owner", "offset", (F.col("offset") + F.col("n_tokens")).alias("upto"), *SEGMENT)
+    steps = spread_join(walks, stream, ["owner"]).where("offset >= start and upto <= end").select("conv_id", "offset", *SEGMENT)
+    turns = spread_join(cut(steps), segments.select(*SEGMENT, "ids", "loss_from", "loss_to"), [*SEGMENT])
+    turns = turns.select("conv_id", "offset", "ids", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "offset")
     return turns.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -194,5 +216,4 @@ def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     asked = "</s>[INST] ok [/INST]"
     more = rows.sparkSession.createDataFrame([(-7, 0, "user", asked), (-7, 1, "assistant", asked)], rows.schema)
-    nodes, segments, members = prefix_forest(rows.unionByName(more))
-    return read_back(segments, members.join(nodes.select("owner", "idx", *SEGMENT), ["owner", "idx"]), SEGMENT)
+    return read_back(*prefix_forest(rows.unionByName(more)))
