@@ -369,34 +369,61 @@ def test_chat_escapes(text):
         assert op8_chat.parse("".join(op8_chat.segment(role, text))) == (role, text)
 
 
-def test_prefix_trees(spark):
+def chat_digests(turns):
+    """(n_turns, turns_sha256, loss_chars, loss_sha256) of (role, text) turns."""
+    whole = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+    learnt = "".join(t or "" for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_prefix_trees(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(9)
     talks = {c: [("user" if k % 2 == 0 else "assistant", rng.choice("abc") * rng.randint(1, 2)) for k in range(rng.randint(1, 5))] for c in range(40)}
     talks[100] = [(None, None), ("assistant", "<|im_end|>"), ("assistant", "<|im_end|>")]
+    talks[101] = [("user", "long é\n" * 30_000), ("assistant", "ok")]
+    comb = [("user", f"step {k}") for k in range(12)]
+    talks |= {200 + k: [*comb[: k + 1], ("assistant", f"off at {k}")] for k in range(12)}
+    talks[7] = talks[3]
     rows = [(c, k, r, t, "x") for c, turns in talks.items() for k, (r, t) in enumerate(turns)] + [(None, 0, "user", "lost", "x")]
-    nodes, members = op8_chat.prefix_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, owner string"))
-    made, links = {(r.owner, r.idx): r for r in nodes.collect()}, collections.defaultdict(dict)
-    for r in members.collect():
-        links[r.conv_id][r.idx] = r.owner
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, owner string")
+    nodes, walks = op8_chat.prefix_trees(table)
+    made, steps = {(r.owner, r.idx): r for r in nodes.collect()}, collections.defaultdict(list)
+    for r in walks.collect():
+        steps[r.conv_id].append(r)
     paths = {tuple((r or "", t or "") for r, t in turns[: k + 1]) for turns in talks.values() for k in range(len(turns))}
     assert len(made) == len(paths)
-    trees = collections.defaultdict(list)
+    trees, encoding = collections.defaultdict(list), op8_chat._encoding(*tokenizer_files())
     for r in made.values():
         trees[r.tree].append((r.offset, r.offset + r.n_tokens))
     assert all(a[1] == b[0] for t in trees.values() for a, b in zip(sorted(t), sorted(t)[1:])) and all(min(t)[0] == 0 for t in trees.values())
     for c, turns in talks.items():
-        before, chain = [], None
-        for k, (role, text) in enumerate(turns):
-            r = made[links[c][k], k]
-            assert op8_chat.parse(r.formatted) == (role or "", text or "") and r.position == sum(x.n_tokens for x in before)
+        path = sorted((r for r in made.values() if any(s.owner == r.owner and s.start <= r.offset < s.end for s in steps[c])), key=lambda r: r.offset)
+        assert [op8_chat.parse(encoding.decode(np.frombuffer(bytes(r.ids), "<u2").tolist())) for r in path] == [(r or "", t or "") for r, t in turns]
+        for k, r in enumerate(path):
+            before = path[:k]
+            assert r.idx == k and r.position == sum(x.n_tokens for x in before) and 2 * r.n_tokens == len(r.ids)
             seen = {t for s in r.attention for t in range(s.start, s.end)} | {t for x in before if x.owner == r.owner for t in range(x.offset, x.offset + x.n_tokens)}
             assert seen == {t for x in before for t in range(x.offset, x.offset + x.n_tokens)}
-            before.append(r)
-    back = {r.conv_id: r for r in op8_chat.read_back(nodes, members).collect()}
-    for c, turns in talks.items():
-        whole = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
-        learnt = "".join(t for r, t in turns if r == "assistant")
-        assert (back[c].n_turns, back[c].turns_sha256, back[c].loss_chars, back[c].loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    back = {r.conv_id: r for r in op8_chat.read_back(*op8_chat.prefix_forest(table)).collect()}
+    assert {c: tuple(back[c])[1:5] for c in back} == {c: chat_digests(turns) for c, turns in talks.items()}
+    assert op8_chat.read_back(*op8_chat.prefix_forest(table.limit(0))).count() == 0
+
+
+def tokenizer_files():
+    import public_tokenizers
+
+    return public_tokenizers.path(op8_chat.RANKS_FILE), public_tokenizers.PATTERN
+
+
+def test_chat_query(spark, sf):
+    rows = sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn))
+    talks = collections.defaultdict(list, {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]})
+    for r in rows:
+        talks[r.conv_id].append((r.role, r.text))
+    got = {r.conv_id: tuple(r)[1:5] for r in op8_chat.op8_chat_prefix_tree(spark, sf).collect()}
+    assert got == {c: chat_digests(turns) for c, turns in talks.items()}
 
 
 def test_packing(spark, odd):
