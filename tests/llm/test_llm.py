@@ -1,7 +1,10 @@
 """Brute force, round trips, held-out accuracy and odd rows for the training-data operators."""
 
+import base64
 import collections
+import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -120,16 +123,59 @@ def test_warc_records(spark, tmp_path):
     html = '<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><p>One<br>two <b>three</b> &lt;&eacute;&#33;<a href="/x?a=1&amp;b=2">link</a><!-- no --></body></html>'
     assert op2_warc.read_page(html) == ("One\ntwo three <é!link", "A & B", "en", ["/x?a=1&b=2"])
     pages = spark.createDataFrame([(1, "http://e/x", html, "k"), (2, None, None, "k"), (None, "u", "<p>ok", "k")], "page_id long, url string, html string, block string")
-    records = op2_warc.derivatives(pages)
+    found = op2_warc.responses_of_pages(pages)
+    records = op2_warc.derivatives(found)
     rows = records.collect()
     by = {(r.page_id, r.record_type): r for r in rows}
     assert len(rows) == 6 and by[1, "conversion"].block == "One\ntwo three <é!link" and by[2, "conversion"].block == ""
     assert by[1, "metadata"].refers_to == by[1, "conversion"].refers_to != by[2, "conversion"].refers_to
     assert by[1, "conversion"].block_digest == "sha256:" + hashlib.sha256(by[1, "conversion"].block.encode()).hexdigest()
     assert by[1, "metadata"].source_payload_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
-    op2_warc.write_warc(records, str(tmp_path / "w"))
-    back = {(r.record_id, r.refers_to) for r in op2_warc.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert back == {(r.record_id, r.refers_to) for r in rows} and op2_warc.derivatives(pages.limit(0)).count() == 0
+    assert op2_warc.write_warc(records, str(tmp_path / "w")) == 6 and op2_warc.write_warc(op2_warc.response_records(found), str(tmp_path / "r")) == 3
+    back = op2_warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert {(r.record_id, r.refers_to, bytes(r.block)) for r in back} == {(r.record_id, r.refers_to, r.block.encode()) for r in rows} and all(r.digest_ok for r in back)
+    assert {r.header for r in back} == {r.header for r in rows} and op2_warc.derivatives(found.limit(0)).count() == 0
+    # The same derivatives come from the responses' own records.
+    again = op2_warc.derivatives(op2_warc.responses(op2_warc.read_warc(spark, str(tmp_path / "r")))).drop("page_id")
+    assert sorted(map(str, again.collect())) == sorted(map(str, records.drop("page_id").collect()))
+
+
+def plain_warc(data):
+    """(headers, block) of the records of a WARC file, by a parser of its own: one pass over a stream."""
+    stream, out = io.BytesIO(gzip.decompress(data)), []
+    while line := stream.readline():
+        if line.strip():
+            headers = {}
+            while field := stream.readline().strip():
+                name, _, value = field.decode().partition(":")
+                headers[name.lower()] = value.strip()
+            out.append((headers, stream.read(int(headers["content-length"]))))
+    return out
+
+
+def test_warc_responses_keep_what_they_state(spark, tmp_path):
+    bodies = [b"<p>caf\xe9</p>\r\n\r\nWARC/1.1\r\n\r\n", b"", b"<title>t</title>x", b"<p>" + b"long " * 400_000]
+    http = ["HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nServer: x", "HTTP/1.1 404 Gone\r\nX-Odd:  a: b", "HTTP/1.0 200 OK", "HTTP/1.1 200 OK"]
+    (tmp_path / "in").mkdir()
+    with open(tmp_path / "in" / "a.warc.gz", "wb") as out:
+        out.write(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"))
+        for k, (h, body) in enumerate(zip(http, bodies, strict=True)):
+            block = f"{h}\r\n\r\n".encode() + body
+            sha1 = base64.b32encode(hashlib.sha1(block).digest()).decode()
+            stated = f"WARC-Block-Digest: sha1:{sha1}\r\nWARC-Payload-Digest: sha1:STATED{k}\r\n" if k != 2 else ""
+            out.write(gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Date: 2024-01-0{k + 1}T00:00:00Z\r\nWARC-Target-URI: http://e/{k}\r\n{stated}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"))
+    read = op2_warc.read_warc(spark, str(tmp_path / "in"))
+    assert {r.record_type: r.digest_ok for r in read.where("record_id <> 'urn:uuid:2' or record_id is null").collect()} == {"warcinfo": None, "response": True}
+    made = op2_warc.derivatives(op2_warc.responses(read))
+    op2_warc.write_warc(made, str(tmp_path / "out"))
+    found = [x for f in sorted((tmp_path / "out").glob("*.gz")) for x in plain_warc(f.read_bytes())]
+    assert len(found) == 8
+    for headers, block in found:
+        k = int(headers["warc-refers-to"][-2])
+        assert headers["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest() and headers["warc-date"] == f"2024-01-0{k + 1}T00:00:00Z" and headers["warc-target-uri"] == f"http://e/{k}"
+        assert headers["x-source-http"] == http[k].replace("\r\n", " | ") + " |" and (headers["x-source-payload-digest"] == f"sha1:STATED{k}") == (k != 2)
+        if headers["warc-type"] == "conversion":
+            assert block.decode() == op2_warc.read_page(bodies[k].decode("latin-1"))[0] and (k or block.decode().startswith("café"))
 
 
 def test_secrets_and_ledger(spark, odd):
