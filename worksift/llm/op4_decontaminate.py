@@ -8,25 +8,27 @@ The benchmark is a stated query set. It is measured first and cut into blocks of
 broadcast at once is bounded however large it grows; every block searches all documents, one block after the other.
 
 Defined results: null, empty or wordless texts have no words and no hits; items without an id, a text or words make no
-window; repeated items count once by id; repeated documents give a row each; extra columns are ignored; an
-empty benchmark marks nothing.
+window; repeated items count once by id; repeated documents give a row each; extra columns are carried along, but for
+``n_words``, ``spans`` and ``items``, which are replaced; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut
+from worksift.llm.common import cut, fresh, stored
 
 WINDOW = 10
 #: Bytes of benchmark text whose patterns are broadcast and searched at once.
 BLOCK_BYTES = 2 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_RESULT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_RESULT = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def words_of_bytes(text: str | None) -> list[bytes]:
@@ -80,68 +82,83 @@ def searchers(items: list[tuple[str, str]], window: int) -> list[Searcher]:
 
 def find(words: list[bytes], using: list[Searcher]) -> tuple[list[tuple[int, int]], list[str]]:
     """Merged word spans that occurrences cover, and the items they belong to."""
-    spans: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for start, end, found in sorted((x for s in using for x in s.search(words)), key=lambda x: x[:2]):
-        items.update(found)
-        if spans and start <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+    hits = [x for s in using for x in s.search(words)]
+    return _joined([x[:2] for x in hits]), sorted({item for x in hits for item in x[2]})
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal spans of the words that ``spans`` cover."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            spans.append((start, end))
-    return spans, sorted(items)
+            out.append((start, end))
+    return out
+
+
+#: The searchers of the block that this Python worker used last, by the block's name.
+_READY: dict[str, list[Searcher]] = {}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans, items) for each document: merged hit spans in words, and ids of items that occur."""
+    """``docs`` without its text, with n_words, spans and items: merged hit spans in words, and ids of items that occur.
+
+    With several blocks, every block but the first keeps the rows with hits only, so documents are written once, and what
+    the blocks found for a row is merged in one pass.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.drop("n_words", "spans", "items").withColumn("text", F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).dropna()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
 
-    def searched(k: int) -> DataFrame:
+    def searched(rows: DataFrame, k: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
-        sent = spark.sparkContext.broadcast([(r.item, r.text) for r in part])
+        sent, name = spark.sparkContext.broadcast([(r.item, r.text) for r in part]), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            using = searchers(sent.value, window)
+            if name not in _READY:
+                _READY.clear()
+                _READY[name] = searchers(sent.value, window)
             for batch in batches:
-                rows = []
-                for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                out = []
+                for text in batch["text"]:
                     words = words_of_bytes(text)
-                    spans, found = find(words, using)
-                    rows.append((doc, len(words), [{"start": a, "end": b} for a, b in spans], found))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_words", "spans", "items"]).astype({"doc_id": batch["doc_id"].dtype})
+                    spans, found = find(words, _READY[name])
+                    out.append((len(words), [{"start": a, "end": b} for a, b in spans], found))
+                yield pd.concat([batch.drop(columns="text"), pd.DataFrame(out, columns=["n_words", "spans", "items"], index=batch.index)], axis=1)
 
-        return docs.mapInPandas(run, _RESULT)
+        return rows.mapInPandas(run, _schema(rows, "text", _RESULT))
 
     if blocks == 1:
-        return searched(0)
-    # Rows have no key of their own, so equal rows meet: hits of each block are kept once for a text.
-    keyed = ["doc_id", "text"]
-    base = cut(docs.groupBy(*keyed).count().withColumn("row", F.monotonically_increasing_id()))
-    parts = None
-    for k in range(blocks):
-        docs = base.select(F.col("row").alias("doc_id"), "text")
-        hits = cut(searched(k).where((F.size("spans") > 0) | F.lit(k == 0)))
-        parts = hits if parts is None else parts.unionByName(hits)
-    merged = parts.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return base.select("row", "doc_id", F.explode(F.array_repeat(F.lit(1), F.col("count").cast("int"))).alias("copy")).join(merged.withColumn("spans", merge_spans(F.col("spans"))), "row").select("doc_id", "n_words", "spans", "items")
-
-
-def merge_spans(spans):
-    """Union of word spans from several blocks as maximal spans."""
-    start = F.aggregate(
-        F.array_sort(spans),
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda out, x: F.when((F.size(out) > 0) & (x["start"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))),
-    )
-    return start
+        return searched(docs, 0)
+    row = fresh(docs, "row")[0]
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))  # ids must not change from block to block
+    first = stored(searched(docs, 0))
+    hits = [searched(docs.select(row, "text"), k).where(F.size("spans") > 0).select(row, "spans", "items") for k in range(1, blocks)]
+    more = reduce(DataFrame.unionByName, map(cut, hits)).groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+    both = first.join(more, row, "left").drop(row)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, (spans, names, further, others) in enumerate(zip(batch["spans"], batch["items"], batch["more_spans"], batch["more_items"], strict=True)):
+                if further is not None:
+                    found = _joined([(x["start"], x["end"]) for x in (*spans, *further)])
+                    batch.iat[k, batch.columns.get_loc("spans")] = [{"start": a, "end": b} for a, b in found]
+                    batch.iat[k, batch.columns.get_loc("items")] = sorted({*names, *others})
+            yield batch.drop(columns=["more_spans", "more_items"])
+
+    return both.mapInPandas(merge, _schema(docs, (row, "text"), _RESULT))
+
+
+def _schema(rows: DataFrame, without: str | tuple[str, ...], more: str) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name not in ((without,) if isinstance(without, str) else without)) + more
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of all ``benchmark`` windows in all ``documents``."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
