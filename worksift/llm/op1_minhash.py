@@ -13,8 +13,8 @@ that is similar enough; these pairs are confirmed too. So every link between two
 A hot bucket, class or centre is split, and what documents merely share with many others makes no pairs.
 
 Defined results: null or blank text has an empty set and links with nothing. Repeated rows are copies. Rows that share a
-doc_id but not their text are one document: it has the links of all its texts. A null doc_id takes no part, its
-component is null and it is kept. Extra columns are ignored. An empty table gives no rows.
+doc_id but not their text each have the component of their own text; groups that the same smallest doc_id names are one.
+A null doc_id takes no part, its component is null and it is kept. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
