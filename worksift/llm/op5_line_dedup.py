@@ -125,9 +125,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     partner = F.when((F.col("at") >= 0) | F.col("base"), F.col("less")).otherwise(F.col("whole"))
     pairs = variants.join(met, keys).withColumn("partner", partner).where("partner < ord").select("k1", "k2", "partner").distinct()
     texts = live.select("k1", "k2", "ord", "words")
-    near = pairs.join(texts.select("k1", "k2", "words"), ["k1", "k2"])
-    near = spread_join(cut(near), texts.select(F.col("ord").alias("partner"), F.col("words").alias("other")), ["partner"])
-    near = near.where(within_one_edit(F.col("words"), F.col("other"))).select("k1", "k2").distinct()
+    near = spread_join(cut(pairs), texts.select(F.col("ord").alias("partner"), F.col("words").alias("other")), ["partner"])
+    near = near.join(texts.select("k1", "k2", "words"), ["k1", "k2"]).where(within_one_edit(F.col("words"), F.col("other"))).select("k1", "k2").distinct()
 
     copies = seen.groupBy("k1", "k2").agg(F.min(ord_).alias("first"), F.count("*").alias("m")).where("m > 1")
     reasons = copies.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "full").select("k1", "k2", F.coalesce("near", F.lit(False)).alias("near"), "first", F.coalesce("m", F.lit(1)).alias("m"))
