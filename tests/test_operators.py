@@ -8,11 +8,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from worksift.config import CONFIG
 from worksift.functions import text as tx
-from worksift.operators import models, peers, series, similarity
+from worksift.operators import fusion, models, peers, series, similarity
 from worksift.plans import search
 from worksift.plans.queries import QUERIES, SQL
-from worksift.plans.scored import scored
+from worksift.plans.scored import scored, stored_full
 from worksift.sources import ingest
 
 
@@ -54,7 +55,7 @@ def test_percentile_and_z_match_pandas(spark):
     frame = pd.DataFrame({"i": range(200), "g": rng.integers(0, 7, 200), "v": np.where(rng.random(200) < 0.1, np.nan, rng.integers(0, 15, 200))})
     frame.loc[frame.g == 6, "v"] = 5.0
     rows = spark.createDataFrame([(int(i), int(g), None if np.isnan(v) else float(v)) for i, g, v in frame.itertuples(index=False)], "i int, g int, v double")
-    got = peers.add_robust_z(rows.withColumn("p", peers.loo_percentile(F.col("v"), ["g"])), "v", "g", "z").toPandas().sort_values("i")
+    got = rows.join(peers.percentiles(rows, "v", ["g"], "p"), ["g", "v"], "left").join(peers.spreads(rows, "v", "g"), "g", "left").withColumn("z", peers.robust_z("v")).toPandas().sort_values("i")
 
     def z(x):
         med = x.median()
@@ -155,6 +156,93 @@ def test_hamming_pairs_differ_in_every_chunk_but_one(spark, most):
     assert got == ([(1, 2, most)] if most else [])
 
 
+def test_greedy_clusters_of_fingerprints(spark):
+    """Each row joins the first cluster whose head is near, taken in order, against a loop over rows."""
+    rng = np.random.default_rng(4)
+    prints = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 12, dtype=np.int64)]
+    for _ in range(100):
+        x = prints[int(rng.integers(len(prints)))]
+        for i in rng.integers(0, 63, int(rng.integers(0, 12))):
+            x ^= 1 << int(i)
+        prints.append(x)
+    rows = [(k, s, f"w{k % 7}") for k, s in enumerate(prints)] + [(500 + k, prints[3], "w9") for k in range(5)] + [(900, None, "w1")]
+    count = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    clusters, first = [], {}
+    for k, s, w in sorted(rows, key=lambda r: r[0]):
+        if s is None:
+            continue
+        first.setdefault(s, k)
+    heads = {}
+    for s, k in sorted(first.items(), key=lambda x: x[1]):
+        near = [c for c in clusters if count(s, c[0]) <= 14]
+        if near:
+            heads[s] = near[0]
+        else:
+            clusters.append((s, k))
+            heads[s] = clusters[-1]
+    want = {}
+    for k, s, w in rows:
+        if s is not None:
+            c = want.setdefault(heads[s][1], [0, set(), set(), 99])
+            c[0] += 1
+            c[1].add(w)
+            c[2].add(s)
+            c[3] = min(c[3], 0 if heads[s][0] == s else count(s, heads[s][0]))
+    got = {r["head"]: (r.uses, r.sources, r.signatures) for r in similarity.reuse_report(spark.createDataFrame(rows, "k long, s long, w string"), "k", "s", "w").collect()}
+    assert got == {h: (n, len(w), len(s)) for h, (n, w, s, _) in want.items() if n > 1}
+
+
+def test_work_pairs_and_signal(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"W{k:03d}", "S", "C", f"text {k % 4}" if k % 9 else None, f"A{k % 3}", "c", "m", float(rng.integers(100, 400))) for k in range(120)]
+    works = spark.createDataFrame(rows, "work_ref string, state_name string, activity_category string, work_description string, implementing_agency string, constituency string, mp_name string, recommended_amount double")
+    texts = spark.createDataFrame([("text 0", "text 1", 0.98), ("text 2", "text 3", 0.9)], "text_a string, text_b string, similarity double")
+    got = {(r.a, r.b): r for r in similarity.work_pairs(works, texts).collect()}
+    want = {}
+    for x in rows:
+        same = sorted((abs(x[7] - y[7]), y[0]) for y in rows if y[0] != x[0] and x[3] and y[3] == x[3])[:5]
+        want |= {(x[0], y): 1.0 for _, y in same if x[0] < y}
+        for pair, s in ((("text 0", "text 1"), 0.98), (("text 2", "text 3"), 0.9)):
+            if x[3] in pair:
+                other = pair[1 - pair.index(x[3])]
+                want |= {(x[0], y): s for _, y in sorted((abs(x[7] - y[7]), y[0]) for y in rows if y[3] == other)[:5] if x[0] < y}
+    assert {k: r.similarity for k, r in got.items()} == want
+    by = {r[0]: r for r in rows}
+    best = {}
+    for (a, b), s in want.items():
+        if s >= 0.97 and by[a][4] == by[b][4] and abs(by[a][7] - by[b][7]) <= 0.02 * max(by[a][7], by[b][7]):
+            for x, y in ((a, b), (b, a)):
+                best[x] = min(best.get(x, (0, "")), (-s, y))
+    assert {r.work_ref: (-r.duplicate_similarity, r.duplicate_partner) for r in similarity.duplicate_signal(works, texts).collect()} == best
+
+
+def test_chain_finds_the_first_break(spark):
+    rows = spark.createDataFrame([(w, k, f"a{k}") for w in ("x", "y", "z") for k in range(1, 6)], "w string, seq int, detail string")
+    chained = fusion.chain(rows, "w", "seq", ["detail"])
+    hit = chained.withColumn("detail", F.when(F.expr("seq = 3 and w <> 'z'"), "changed").otherwise(F.col("detail")))
+    hit = hit.withColumn("row_hash", F.when(F.expr("seq = 3 and w = 'y'"), fusion.chain_hash(["detail"])).otherwise(F.col("row_hash")))
+    got = {r.w: (r.entries, r.valid, r.broken_at_seq, r.reason) for r in fusion.first_break(hit, "w", "seq", ["detail"]).collect()}
+    assert got == {"x": (5, False, 3, "content"), "y": (5, False, 4, "link"), "z": (5, True, None, None)}
+
+
+def test_full_score_fuses_seven_signals(spark, sf):
+    rows = stored_full(spark, sf).toPandas()
+    left = np.ones(len(rows))
+    for k, w in CONFIG.weights.items():
+        left *= 1 - w * rows[f"sig_{k}"].clip(0, 1)
+    families = {f: [k for k in CONFIG.weights if CONFIG.families[k] == f] for f in CONFIG.families.values()}
+    np.testing.assert_allclose(rows["priority"], 1 - left, atol=1e-9)
+    assert (rows["n_families"] == sum((rows[[f"sig_{k}" for k in ks]] > 0).any(axis=1).astype(int) for ks in families.values())).all()
+    assert (rows["sig_anomaly"] > 0).any() and (rows["sig_duplicate"] > 0).any()
+    with pytest.raises(ValueError, match="anomaly_flag"):
+        fusion.add_fusion(spark.createDataFrame([(1,)], "amount_pct int"))
+
+
+def test_validation_detects_what_was_planted(spark, sf):
+    got = {r.perturbation: r for r in QUERIES["v1_v5_validation"](spark, sf).collect()}
+    assert got["overall"].planted == sum(r.planted for k, r in got.items() if k != "overall") and got["clone_description"].detected_rate is not None
+
+
 def test_near_references(spark):
     rows = spark.createDataFrame([("MP1-W23",)], "ref string")
     known = spark.createDataFrame([("MP1-W24",), ("MP1-W23",), ("MP2-W24",), ("MP9-W23",)], "known string")

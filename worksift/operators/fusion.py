@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksift.config import CONFIG, Config
@@ -68,9 +68,11 @@ def add_early_warning(works: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 def add_fusion(works: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Seven gated signals, noisy-or priority, corroborating families, band, exposure and audit return."""
-    have = set(works.columns)
+    missing = sorted({"amount_pct", "amount_z", "open_duration_pct", "risk_score", "change_point", "anomaly_flag", "duplicate_similarity"} - set(works.columns))
+    if missing:
+        raise ValueError(f"signals without a column: {missing}")
     zero = F.lit(0.0)
-    get = lambda c: F.coalesce(F.col(c).cast("double"), zero) if c in have else zero
+    get = lambda c: F.coalesce(F.col(c).cast("double"), zero)
     conformance = F.least(reduce(lambda a, b: a + b, (is_true(F.col(c)).cast("double") for c in ("is_backdated", "completed_without_sanction", "is_future_dated", "is_orphan"))), F.lit(1.0))
     signals = {
         "peer_amount": F.when(F.col("amount_pct") >= config.percentile_gate, 1 / (1 + F.exp(-clip(F.col("amount_z") - 2, -6.0, 6.0)))).otherwise(0.0),
@@ -125,3 +127,34 @@ def case_files(scored: DataFrame) -> DataFrame:
         F.struct(F.col("early_warning_level").alias("level"), F.round("early_warning_score", 3).alias("score"), F.col("early_warning_reason").alias("reason")).alias("early_warning"),
         next_step().alias("next_step"), suggested_actions().alias("actions"),
     )
+
+
+GENESIS = "0" * 64
+
+
+def chain_hash(columns: list[str], before: str = "prev_hash") -> Column:
+    """The hash of a row of a log: of its columns and its predecessor's hash, as a JSON array."""
+    return F.sha2(F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*columns, before)))), 256)
+
+
+def chain(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """Add prev_hash and row_hash, by ``order`` within each ``key``. A chain is sequential, so one task walks a whole log; a log
+    of its own for each work keeps logs short.
+    """
+    row = F.struct(order, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
+    logs = log.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.array(F.lit(GENESIS))
+    hashes = F.aggregate("rows", start, lambda out, x: F.concat(out, F.array(F.sha2(F.to_json(F.array(*(x[c] for c in columns), F.element_at(out, -1))), 256))))
+    logs = logs.withColumn("hashes", hashes)
+    rows = logs.select(key, F.posexplode("rows").alias("_i", "x"), "hashes")
+    return rows.select(key, "x.*", F.get("hashes", F.col("_i")).alias("prev_hash"), F.get("hashes", F.col("_i") + 1).alias("row_hash"))
+
+
+def first_break(chained: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """(key, entries, valid, broken_at_seq, reason): the first row whose link or content doesn't hold; links are looked at first."""
+    before = F.lag("row_hash", 1, GENESIS).over(Window.partitionBy(key).orderBy(order))
+    reason = F.when(F.col("prev_hash") != before, "link").when(F.col("row_hash") != chain_hash(columns), "content")
+    rows = chained.withColumn("_reason", reason)
+    first = F.min(F.when(F.col("_reason").isNotNull(), F.struct(F.col(order).alias("at"), "_reason")))
+    out = rows.groupBy(key).agg(F.count("*").alias("entries"), first.alias("_first"))
+    return out.select(key, "entries", F.col("_first").isNull().alias("valid"), F.col("_first.at").alias("broken_at_seq"), F.col("_first._reason").alias("reason"))

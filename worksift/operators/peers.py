@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksift.config import CONFIG, Config
+from worksift.plans.lineage import cut, small
 
 
 def add_category(works: DataFrame) -> DataFrame:
@@ -21,43 +22,87 @@ def add_features(works: DataFrame) -> DataFrame:
     return works.withColumns({"event_observed": valid.cast("int"), "duration_days": F.when(days >= 0, days.cast("double")), "log_amount": F.log1p("recommended_amount"), "is_open": ~F.col("is_completed")})
 
 
-def loo_percentile(value: Column, keys: list[str]) -> Column:
-    """Leave-one-out percentile among the rows with the same ``keys``: average ranks, nulls counted but not ranked."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    same = Window.partitionBy(*keys, value)
-    rank = F.rank().over(Window.partitionBy(*keys, value.isNull()).orderBy(value)) + (F.count("*").over(same) - 1) / 2
-    return F.when(value.isNotNull(), (rank - 1) / F.nullif(n - 1, F.lit(0)))
+def ordered(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts`` (keys, value, c) with ``before``, the count of smaller values, and ``n``, the count of all, for each key.
+
+    No window spans a key: values fall into bins in their order, 64 an octave, which are summed first; then each bin on its own.
+    """
+    v = F.col(value).cast("double")
+    counts = counts.withColumn("_bin", F.signum(v) * F.floor(64 * F.log2(1 + F.abs(v))))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("c").alias("_c"))
+    lower = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below"), F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return counts.join(bins, [*keys, "_bin"]).withColumn("before", F.col("_below") + F.col("_inside")).drop("_bin", "_below", "_inside")
+
+
+def quantile(value: str, p: float) -> Column:
+    """The quantile of ``ordered`` rows as an aggregate: linear between the two values around it."""
+    at = p * (F.col("n") - 1)
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col(value)))
+
+    low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
+def percentiles(rows: DataFrame, column: str, keys: list[str], out: str) -> DataFrame:
+    """(keys, column, out): leave-one-out percentile of each value among the rows with the same ``keys``.
+
+    Ranks are averages; nulls are counted but not ranked.
+    """
+    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("_all"))
+    places = ordered(counts.where(F.col(column).isNotNull()), keys, column).join(sizes, keys)
+    return places.select(*keys, column, ((F.col("before") + (F.col("c") - 1) / 2) / F.nullif(F.col("_all") - 1, F.lit(0))).alias(out))
+
+
+def spreads(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """(key, _m, _q1, _q3, _mad): median, quartiles and 1.4826 times the median absolute deviation, from counts of values."""
+    counts = cut(ordered(rows.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("c")), [key], column))
+    middle = counts.groupBy(key).agg(quantile(column, 0.5).alias("_m"), quantile(column, 0.25).alias("_q1"), quantile(column, 0.75).alias("_q3"))
+    middle = small(cut(middle))
+    away = counts.select(key, column, "c").join(middle, key).groupBy(key, F.abs(F.col(column) - F.col("_m")).alias("_d")).agg(F.sum("c").alias("c"))
+    spread = ordered(away, [key], "_d").groupBy(key).agg((1.4826 * quantile("_d", 0.5)).alias("_mad"))
+    return small(cut(middle.join(spread, key)))
 
 
-def add_robust_z(works: DataFrame, column: str, key: str, out: str) -> DataFrame:
-    """(x - median) / (1.4826 MAD), by quartiles if that is 0, else 0."""
-    over = Window.partitionBy(key)
-    x = F.col(column)
-    works = works.withColumns({"_m": F.median(x).over(over), "_q1": F.percentile(x, F.lit(0.25)).over(over), "_q3": F.percentile(x, F.lit(0.75)).over(over)})
-    works = works.withColumn("_mad", 1.4826 * F.median(F.abs(x - F.col("_m"))).over(over))
-    iqr = (F.col("_q3") - F.col("_q1")) / 1.349
+def robust_z(column: str) -> Column:
+    """(x - median) / (1.4826 MAD), by quartiles if that is 0, else 0; of rows with ``spreads``."""
+    x, iqr = F.col(column), (F.col("_q3") - F.col("_q1")) / 1.349
     z = F.when(F.col("_mad") > 0, (x - F.col("_m")) / F.nullif("_mad", F.lit(0.0))).when(iqr > 0, (x - F.col("_m")) / F.nullif(iqr, F.lit(0.0))).otherwise(0.0)
-    return works.withColumn(out, F.when(x.isNull() & ((F.col("_mad") > 0) | (iqr > 0)), None).otherwise(z)).drop("_m", "_q1", "_q3", "_mad")
+    return F.when(x.isNull() & ((F.col("_mad") > 0) | (iqr > 0)), None).otherwise(z)
 
 
-def add_peers(works: DataFrame, config: Config = CONFIG, min_peers: int | None = None, scope: str = "residual") -> DataFrame:
+def add_peers(works: DataFrame, config: Config = CONFIG, min_peers: int | None = None) -> DataFrame:
     """Assign the narrowest level with enough works: category and state, category, state, all.
 
-    ``scope`` residual scores a work among those assigned to the same group; the recorded size is the whole level's.
+    A work is scored among those assigned to the same group; the recorded size is the whole level's. Counts are aggregates of
+    the counts by category and state, of which there are few rows.
     """
     least = min_peers or config.min_peers
-    sizes = [F.count("*").over(Window.partitionBy(*keys)) for keys in (["activity_category", "state_name"], ["activity_category"], ["state_name"])]
-    total = works.agg(F.count("*").alias("_all"))  # one row
-    works = works.crossJoin(F.broadcast(total)).withColumns({f"_n{k}": n for k, n in enumerate(sizes)})
-    names = [("cat_state", F.concat_ws("|", "activity_category", "state_name")), ("cat", F.col("activity_category")), ("state", F.col("state_name"))]
+    both = ["activity_category", "state_name"]
+    cells = cut(works.groupBy(*both).agg(F.count("*").alias("_n0")))
+    total = cells.agg(F.sum("_n0").alias("_all"))  # one row
+    for k, column in enumerate(both, 1):
+        sums = cells.groupBy(F.col(column).alias("_key")).agg(F.sum("_n0").alias(f"_n{k}"))
+        cells = cells.join(sums, F.col(column).eqNullSafe(F.col("_key"))).drop("_key")
+    cells = cells.crossJoin(F.broadcast(total))
+    names = [("cat_state", F.concat_ws("|", *both)), ("cat", F.col("activity_category")), ("state", F.col("state_name"))]
     level, group, size = F.lit("global"), F.lit("GLOBAL"), F.col("_all")
     for k in (2, 1, 0):
         take = F.col(f"_n{k}") >= least
         level, group, size = F.when(take, names[k][0]).otherwise(level), F.when(take, F.concat(F.lit(f"{names[k][0]}:"), names[k][1])).otherwise(group), F.when(take, F.col(f"_n{k}")).otherwise(size)
-    works = works.withColumns({"peer_level": level, "peer_group_id": group, "peer_group_size": size}).drop("_all", "_n0", "_n1", "_n2")
-    works = works.withColumn("amount_pct", loo_percentile(F.col("recommended_amount"), ["peer_group_id"]))
-    works = add_robust_z(works, "recommended_amount", "peer_group_id", "amount_z")
-    return works.withColumn("open_duration_pct", F.when(F.col("is_open"), loo_percentile(F.col("duration_days"), ["peer_group_id", "is_open"])))
+    cells = small(cut(cells.select(F.col(both[0]).alias("_cat"), F.col(both[1]).alias("_state"), level.alias("peer_level"), group.alias("peer_group_id"), size.alias("peer_group_size"))), 200)
+    works = works.join(cells, F.col(both[0]).eqNullSafe(F.col("_cat")) & F.col(both[1]).eqNullSafe(F.col("_state"))).drop("_cat", "_state")
+    works = cut(works)  # several aggregates read it
+    key = "peer_group_id"
+    out = works.join(percentiles(works, "recommended_amount", [key], "amount_pct"), [key, "recommended_amount"], "left")
+    out = out.join(spreads(works, "recommended_amount", key), key, "left").withColumn("amount_z", robust_z("recommended_amount")).drop("_m", "_q1", "_q3", "_mad")
+    open_ = works.where("is_open")
+    return out.join(percentiles(open_, "duration_days", [key, "is_open"], "open_duration_pct"), [key, "is_open", "duration_days"], "left")
 
 
 def survival_risk(works: DataFrame, key: str = "activity_category", horizon: int = CONFIG.horizon_days) -> DataFrame:

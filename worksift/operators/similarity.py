@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worksift.operators.peers import ordered
+from worksift.plans.lineage import cut
+
 #: Least similarity of each class, and least distance level of fingerprints.
 CLASSES = (("EXACT", 0.995), ("NEAR_EXACT", 0.97), ("HIGH_SIMILARITY", 0.92), ("POSSIBLE_REPEAT", 0.86))
 LEVELS = (("IDENTICAL", 2), ("NEAR_IDENTICAL", 8), ("SAME_SCENE", 14))
@@ -31,7 +36,7 @@ def classify(similarity: Column) -> Column:
 
 
 def neighbours(vectors: DataFrame, block: list[str], key: str, k: int = 5, least: float = 0.86, vector: str = "vector") -> DataFrame:
-    """(a, b, similarity) with a < b: pairs within a block where either lists the other among its ``k`` nearest.
+    """(a, b, similarity) with a < b: pairs within a block where the smaller lists the larger among its ``k`` nearest.
 
     The work grows with the square of a block; blocks are the caller's bound on it, as in the reference semantics.
     """
@@ -40,7 +45,7 @@ def neighbours(vectors: DataFrame, block: list[str], key: str, k: int = 5, least
     right = unit.select(*block, F.col(key).alias("y"), F.col(vector).alias("vy"))
     pairs = left.join(right, block).where("x <> y").select(*block, "x", "y", F.round(dot(F.col("vx"), F.col("vy")), 4).alias("similarity")).where(F.col("similarity") >= least)
     near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "y"))).where(F.col("_r") <= k)
-    return near.select(*block, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
+    return near.where("x < y").select(*block, F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
 
 
 def concerning(pairs: DataFrame, least: float = 0.97) -> Column:
@@ -52,7 +57,8 @@ def concerning(pairs: DataFrame, least: float = 0.97) -> Column:
 def best_partner(pairs: DataFrame) -> DataFrame:
     """For each end its most similar partner; ties go to the smallest partner."""
     both = pairs.select(F.col("a").alias("ref"), F.col("b").alias("partner"), "similarity").unionByName(pairs.select(F.col("b").alias("ref"), F.col("a").alias("partner"), "similarity"))
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("similarity"), "partner"))).where("_r = 1").drop("_r")
+    best = both.groupBy("ref").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "partner")).alias("best"))
+    return best.select("ref", F.col("best.partner").alias("partner"), (-F.col("best.minus")).alias("similarity"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -60,18 +66,97 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def hamming_pairs(prints: DataFrame, key: str, signature: str, most: int = 8, bits: int = 64) -> DataFrame:
-    """(a, b, distance), a < b, of all pairs within ``most`` bits: of ``most`` + 1 chunks one must be equal.
+    """(a, b, distance), a < b, of all pairs within ``most`` bits. Exact: of m chunks one differs in ``most // m`` bits or fewer.
 
-    Equal signatures meet as one, so copies aren't paired; ``a`` and ``b`` are the least keys of two signatures.
+    From 6 bits on chunks are wide, and one side asks for all values within 2 bits of its own: more keys, of which each is
+    far rarer. Equal signatures meet as one, so copies aren't paired; ``a`` and ``b`` are the least keys of two signatures.
+    """
+    chunks = most // 3 + 1 if most >= 6 else most + 1
+    radius = most // chunks
+    bounds = [c * bits // chunks for c in range(chunks + 1)]
+    groups = prints.where(F.col(signature).isNotNull()).groupBy(F.col(signature).cast("bigint").alias("s")).agg(F.min(key).alias("k"))
+
+    def keys(near: int) -> Column:
+        out = []
+        for c, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            size = high - low
+            flips = [0, *(sum(1 << i for i in x) for n in range(1, near + 1) for x in combinations(range(size), n))]
+            value = F.shiftrightunsigned("s", low).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint"))
+            flipped = F.transform(F.array(*(F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("bigint") for x in flips)), lambda x: x.bitwiseXOR(value))
+            out.append(F.transform(flipped, lambda v: F.struct(F.lit(c).alias("c"), v.alias("v"))))
+        return F.concat(*out)
+
+    left = groups.select(F.col("k").alias("a"), F.col("s").alias("sa"), F.explode(keys(0)).alias("part"))
+    right = groups.select(F.col("k").alias("b"), F.col("s").alias("sb"), F.explode(keys(radius)).alias("part"))
+    pairs = left.join(right, "part").where("a < b").withColumn("distance", hamming(F.col("sa"), F.col("sb")))
+    return pairs.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+
+
+def greedy_heads(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, head): taken in order of ``node``, each joins the first head that it has a pair (a, b), a < b, with, or becomes one.
+
+    Rounds decide all nodes whose smaller neighbours are decided. Only short rows of ids are carried from round to round.
+    """
+    pairs = cut(pairs.select("a", "b"))
+    heads = cut(nodes.select("node").distinct().join(pairs.select(F.col("b").alias("node")), "node", "left_anti"))
+    open_ = cut(pairs.select(F.col("b").alias("node")).distinct())
+    while not open_.isEmpty():
+        joined = open_.join(pairs.join(heads.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+        rest = cut(open_.join(joined, "node", "left_anti"))
+        waits = pairs.join(rest.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        heads = cut(heads.unionByName(rest.join(waits, "node", "left_anti")))
+        open_ = cut(rest.join(waits, "node", "left_semi"))
+    follows = pairs.join(heads.select(F.col("node").alias("a")), "a", "left_semi").join(heads.select(F.col("node").alias("b")), "b", "left_anti")
+    return heads.select("node", F.col("node").alias("head")).unionByName(follows.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head")))
+
+
+def same_text_neighbours(works: DataFrame, k: int = 5) -> DataFrame:
+    """(a, b) for works with one description in a block (state and category): each lists its ``k`` nearest by amount.
+
+    Equal texts are equally similar, so the amount tells which are nearest; ties go to the smaller reference. A pair is kept
+    if its smaller end lists the larger. Works are numbered by amount, and meet those up to ``k`` places away, so the table grows with
+    the works, not with the square of a text's share.
+    """
+    keys = ["state_name", "activity_category", "work_description"]
+    rows = cut(works.where("work_description is not null and recommended_amount is not null").select(*keys, "work_ref", "recommended_amount"))
+    counts = rows.groupBy(*keys, "recommended_amount").agg(F.count("*").alias("c"))
+    before = ordered(counts, keys, "recommended_amount").select(*keys, "recommended_amount", "before")
+    inside = F.row_number().over(Window.partitionBy(*keys, "recommended_amount").orderBy("work_ref"))
+    rows = cut(rows.withColumn("_i", inside).join(before, [*keys, "recommended_amount"]).withColumn("_r", F.col("before") + F.col("_i")).drop("before", "_i"))
+    near = F.explode(F.array(*(F.col("_r") + d for d in range(-k, k + 1) if d)))
+    asked = rows.select(*keys, F.col("work_ref").alias("x"), F.col("recommended_amount").alias("ax"), near.alias("_r"))
+    met = asked.join(rows.select(*keys, F.col("work_ref").alias("y"), F.col("recommended_amount").alias("ay"), "_r"), [*keys, "_r"])
+    listed = met.withColumn("_n", F.row_number().over(Window.partitionBy("x").orderBy(F.abs(F.col("ax") - F.col("ay")), "y"))).where(F.col("_n") <= k)
+    return listed.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def work_pairs(works: DataFrame, texts: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """The pair table: similarity, class, relation flags, amounts and an explanation, for near-identical works of a block.
+
+    ``texts`` (text_a, text_b, similarity) may add pairs of similar descriptions; for these the works of both are compared.
     """
-    bounds = [c * bits // (most + 1) for c in range(most + 2)]
-    groups = prints.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(key).alias("k"))
-    mask = lambda size: F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint")
-    parts = F.array(*(F.struct(F.lit(c).alias("c"), F.shiftrightunsigned(F.col(signature).cast("bigint"), low).bitwiseAND(mask(high - low)).alias("v")) for c, (low, high) in enumerate(zip(bounds, bounds[1:]))))
-    cut = groups.select("k", signature, F.explode(parts).alias("part"))
-    right = cut.select(F.col("k").alias("b"), F.col(signature).alias("sb"), "part")
-    pairs = cut.select(F.col("k").alias("a"), F.col(signature).alias("sa"), "part").join(right, "part").where("a < b")
-    return pairs.withColumn("distance", hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    works = cut(works.select("work_ref", "state_name", "activity_category", "implementing_agency", "constituency", "recommended_amount", "mp_name", "work_description"))
+    ends = [works.select(F.col("work_ref").alias(e), *(F.col(c).alias(f"{n}_{e}") for c, n in (("state_name", "state"), ("activity_category", "category"), ("implementing_agency", "agency"), ("constituency", "constituency"), ("recommended_amount", "amount"), ("mp_name", "mp"), ("work_description", "description")))) for e in "ab"]
+    pairs = same_text_neighbours(works, k).withColumn("similarity", F.lit(1.0))
+    if texts is not None:
+        x, y = (works.select(F.col("work_ref").alias(n), F.col("work_description").alias(f"text_{e}"), "state_name", "activity_category", F.col("recommended_amount").alias(f"m_{n}")) for n, e in (("x", "a"), ("y", "b")))
+        met = texts.where("text_a <> text_b").join(x, "text_a").join(y, ["text_b", "state_name", "activity_category"])
+        listed = [F.row_number().over(Window.partitionBy(e).orderBy(F.desc("similarity"), F.abs(F.col("m_x") - F.col("m_y")), o)) <= k for e, o in (("x", "y"), ("y", "x"))]
+        met = met.withColumns({"_x": listed[0], "_y": listed[1]}).where(F.when(F.col("x") < F.col("y"), F.col("_x")).otherwise(F.col("_y")))
+        pairs = pairs.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    out = pairs.join(ends[0], "a").join(ends[1], "b")
+    same = {n: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False)) for n, c in (("same_agency", "agency"), ("same_constituency", "constituency"), ("identical_text", "description"), ("same_mp", "mp"))}
+    out = out.withColumns({"classification": classify(F.col("similarity")), **same})
+    bits = [F.format_string("descriptions agree to %.1f %%", F.col("similarity") * 100), F.when(F.col("identical_text"), "their text is identical"), F.concat(F.lit("both in "), "state_a")]
+    bits += [F.when(F.col(f"same_{n}"), f"same {n}") for n in ("constituency", "agency")] + [F.when(F.col("same_mp"), "same member")]
+    return out.withColumn("explanation", F.concat(F.array_join(F.array_compact(F.array(*bits)), ", "), F.lit(". Repeated descriptions are often legitimate; a reviewer should confirm whether the works are separate.")))
+
+
+def duplicate_signal(works: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(work_ref, duplicate_similarity, duplicate_partner): each work's best concerning pair."""
+    pairs = work_pairs(works, texts)
+    focus = cut(pairs.where(concerning(pairs)).select("a", "b", "similarity"))
+    return best_partner(focus.select("a", "b", "similarity")).select(F.col("ref").alias("work_ref"), F.col("similarity").alias("duplicate_similarity"), F.col("partner").alias("duplicate_partner"))
 
 
 def level(distance: Column) -> Column:
@@ -81,6 +166,21 @@ def level(distance: Column) -> Column:
     return out
 
 
+def reuse_report(prints: DataFrame, key: str, signature: str, source: str, most: int = 14) -> DataFrame:
+    """(head, uses, sources, signatures, level) of fingerprints that more than one row shows.
+
+    Rows join the first cluster, in order of ``key``, whose head is within ``most`` bits. ``level`` is the strongest between a member and
+    its head. Equal signatures are one node, so a picture that a third of all rows show makes no pairs.
+    """
+    nodes = cut(prints.where(F.col(signature).isNotNull()).groupBy(F.col(signature).alias("_s")).agg(F.min(key).alias("node")))
+    pairs = cut(hamming_pairs(nodes, "node", "_s", most))
+    heads = greedy_heads(nodes, pairs).join(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "distance"), ["head", "node"], "left")
+    named = nodes.join(heads, "node").select("_s", "head", F.coalesce("distance", F.lit(0)).alias("distance"))
+    rows = prints.select(key, source, F.col(signature).alias("_s")).join(named, "_s")
+    out = rows.groupBy("head").agg(F.count("*").alias("uses"), F.count_distinct(source).alias("sources"), F.count_distinct("_s").alias("signatures"), F.min("distance").alias("distance"))
+    return out.where("uses > 1").select("head", "uses", "sources", "signatures", level(F.col("distance")).alias("level"))
+
+
 def simhash(text: Column, bits: int = 64) -> Column:
     """A 64-bit fingerprint of a text's words."""
     hashes = F.transform(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")), lambda w: F.xxhash64(w))

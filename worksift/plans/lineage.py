@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes that a broadcast side may have, by its counted rows.
+BROADCAST_BYTES = 64 << 20
 
 
 def _base(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="worksift-")
+    """The folder that spark.checkpoint.dir names, or the warehouse: both are shared by all executors."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see; on the local disk it is removed when the driver's Python ends."""
+    path = f"{_base(spark)}/_worksift_{uuid.uuid4().hex}"
+    if path.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise rows that an iteration or several branches read, in the session's checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_base(df.sparkSession))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    return f"{_base(spark)}/worksift-{uuid.uuid4().hex}"
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A materialised side of a join, marked for broadcast if its counted rows fit ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

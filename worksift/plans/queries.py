@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from worksift.config import CONFIG
 from worksift.functions import text as tx
 from worksift.operators import fusion, models, peers, series, similarity, validation
 from worksift.plans import search
 from worksift.plans.lineage import cut, shared_folder
-from worksift.plans.scored import FEATURES_SQL, KM_SQL, SCORED_SQL, YEARS_SQL, compared, featured, peers_sql, scored, score
+from worksift.plans.scored import FEATURES_SQL, KM_SQL, PAIRS_SQL, SCORED_SQL, YEARS_SQL, compared, featured, modelled, peers_sql, score, scored, stored_full, stored_scored
 from worksift.sources import ingest
 from worksift.sources.adapters import WORKS_SQL, raw_stages, table, verification, works
 from worksift.streaming import live
@@ -264,31 +265,31 @@ def m9_survival_risk(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL} SELECT work_ref, compliance_flags, compliance_severity, c7 AS stalled, c8 AS outlier FROM scored")
 def b16_b17_checks(spark, sf_dir):
-    return scored(spark, sf_dir).select("work_ref", "compliance_flags", "compliance_severity", F.col("chk_stalled_beyond_peer_norm").alias("stalled"), F.col("chk_amount_outlier_vs_peers").alias("outlier"))
+    return stored_scored(spark, sf_dir).select("work_ref", "compliance_flags", "compliance_severity", F.col("chk_stalled_beyond_peer_norm").alias("stalled"), F.col("chk_amount_outlier_vs_peers").alias("outlier"))
 
 
 @query(f"WITH {SCORED_SQL}, c AS (SELECT " + ", ".join(f"count_if(c{k + 1}) AS {name}" for k, name in enumerate(fusion.CHECKS)) + f", count(*) AS total FROM scored) SELECT check_name, n, round(n / total, 6) AS share FROM (UNPIVOT c ON {', '.join(fusion.CHECKS)} INTO NAME check_name VALUE n)")
 def d5_check_summary(spark, sf_dir):
     names = list(fusion.CHECKS)
-    sums = scored(spark, sf_dir).agg(F.count("*").alias("total"), *(F.count_if(F.col(f"chk_{k}")).alias(k) for k in names))
+    sums = stored_scored(spark, sf_dir).agg(F.count("*").alias("total"), *(F.count_if(F.col(f"chk_{k}")).alias(k) for k in names))
     return sums.unpivot(["total"], names, "check_name", "n").select("check_name", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@query(f"WITH {SCORED_SQL} SELECT work_ref, round(risk_score, 6) AS risk_score, round(s1, 6) AS sig_peer_amount, round(s2, 6) AS sig_peer_duration, round(s3, 6) AS sig_completion_risk, round(s4, 6) AS sig_conformance, round(s5, 6) AS sig_change_point, round(priority, 6) AS priority, n_families, band, round(rs_exposure, 2) AS rs_exposure, round(audit_roi, 2) AS audit_roi FROM scored")
+@query(f"WITH {SCORED_SQL} SELECT work_ref, round(risk_score, 6) AS risk_score, round(s1, 6) AS sig_peer_amount, round(s2, 6) AS sig_peer_duration, round(s3, 6) AS sig_completion_risk, round(s4, 6) AS sig_conformance, round(s5, 6) AS sig_change_point, s7 AS sig_duplicate, round(priority, 6) AS priority, n_families, band, round(rs_exposure, 2) AS rs_exposure, round(audit_roi, 2) AS audit_roi FROM scored")
 def b10_b15_fusion(spark, sf_dir):
     """Signals, noisy-or priority, families, band, exposure and return."""
-    return scored(spark, sf_dir).select("work_ref", *(r(c) for c in ("risk_score", "sig_peer_amount", "sig_peer_duration", "sig_completion_risk", "sig_conformance", "sig_change_point", "priority")), "n_families", "band", r("rs_exposure", 2), r("audit_roi", 2))
+    return scored(spark, sf_dir).select("work_ref", *(r(c) for c in ("risk_score", "sig_peer_amount", "sig_peer_duration", "sig_completion_risk", "sig_conformance", "sig_change_point", "sig_duplicate", "priority")), "n_families", "band", r("rs_exposure", 2), r("audit_roi", 2))
 
 
 @query(f"WITH {SCORED_SQL} SELECT work_ref, round(peer_median_days, 4) AS peer_median_days, round(stall_ratio, 6) AS stall_ratio, round(early_warning_score, 6) AS early_warning_score, early_warning_level FROM scored")
 def b18_c5_early_warning(spark, sf_dir):
-    return scored(spark, sf_dir).select("work_ref", r("peer_median_days", 4), r("stall_ratio"), r("early_warning_score"), "early_warning_level")
+    return stored_scored(spark, sf_dir).select("work_ref", r("peer_median_days", 4), r("stall_ratio"), r("early_warning_score"), "early_warning_level")
 
 
 @query(f"WITH {SCORED_SQL}, l AS (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS early_warning_level) SELECT l.early_warning_level, count(work_ref) AS works, round(coalesce(sum(rs_exposure), 0), 2) AS exposure FROM l LEFT JOIN scored s ON s.early_warning_level = l.early_warning_level AND is_open GROUP BY ALL")
 def d6_warning_summary(spark, sf_dir):
     levels = spark.range(1).select(F.explode(F.array(*map(F.lit, fusion.LEVELS))).alias("early_warning_level"))
-    found = scored(spark, sf_dir).where("is_open").groupBy("early_warning_level").agg(F.count("*").alias("works"), F.sum("rs_exposure").alias("exposure"))
+    found = stored_scored(spark, sf_dir).where("is_open").groupBy("early_warning_level").agg(F.count("*").alias("works"), F.sum("rs_exposure").alias("exposure"))
     return levels.join(found, "early_warning_level", "left").select("early_warning_level", F.coalesce("works", F.lit(0)).alias("works"), F.round(F.coalesce("exposure", F.lit(0.0)), 2).alias("exposure"))
 
 
@@ -297,17 +298,24 @@ def d15_peer_medians(spark, sf_dir):
     return featured(spark, sf_dir).where("is_completed").groupBy("activity_category", "state_name").agg(F.count("*").alias("n"), F.round(F.median("duration_days"), 4).alias("peer_median_days"))
 
 
-@query(f"WITH {SCORED_SQL} SELECT work_ref, band, round(audit_roi, 2) AS audit_roi, (s1 > 0)::INT + (s2 > 0)::INT + (s3 > 0)::INT + (s4 > 0)::INT + (s5 > 0)::INT AS n_evidence, compliance_flags AS n_findings, CASE WHEN is_backdated OR completed_without_sanction OR is_future_dated THEN 'check lifecycle dates' WHEN s1 > 0 THEN 'verify estimate' WHEN s3 > 0 OR s2 > 0 THEN 'request progress' ELSE 'review evidence' END AS next_step, 1 + (compliance_flags > 0)::INT + (s1 > 0)::INT + (early_warning_level IN ('HIGH', 'CRITICAL'))::INT AS n_actions FROM scored WHERE band IN ('MEDIUM', 'HIGH')")
+@query(f"WITH {SCORED_SQL} SELECT work_ref, band, round(audit_roi, 2) AS audit_roi, (s1 > 0)::INT + (s2 > 0)::INT + (s3 > 0)::INT + (s4 > 0)::INT + (s5 > 0)::INT + (s7 > 0)::INT AS n_evidence, compliance_flags AS n_findings, CASE WHEN is_backdated OR completed_without_sanction OR is_future_dated THEN 'check lifecycle dates' WHEN s1 > 0 THEN 'verify estimate' WHEN s3 > 0 OR s2 > 0 THEN 'request progress' ELSE 'review evidence' END AS next_step, 1 + (compliance_flags > 0)::INT + (s1 > 0)::INT + (s7 > 0)::INT + (early_warning_level IN ('HIGH', 'CRITICAL'))::INT AS n_actions FROM scored WHERE band IN ('MEDIUM', 'HIGH')")
 def a7_b29_h9_case_files(spark, sf_dir):
     """Nested case files, flattened for comparison."""
-    rows = scored(spark, sf_dir).where(leads())
+    rows = stored_scored(spark, sf_dir).where(leads())
     return rows.select("work_ref", "band", r("audit_roi", 2), F.size(fusion.evidence()).alias("n_evidence"), F.size(fusion.findings()).alias("n_findings"), fusion.next_step().alias("next_step"), F.size(fusion.suggested_actions()).alias("n_actions"))
 
 
+@query()
+def b11_b13_all_signals(spark, sf_dir):
+    """How often each of the seven signals fires, its mean, and the works and leads with it, in the portfolio scored with both models."""
+    rows = stored_full(spark, sf_dir).select("band", F.explode(F.array(*(F.struct(F.lit(k).alias("signal"), F.lit(CONFIG.families[k]).alias("family"), F.col(f"sig_{k}").alias("value")) for k in fusion.SIGNALS))).alias("x"))
+    return rows.groupBy("x.signal", "x.family").agg(F.count_if(F.col("x.value") > 0).alias("works"), F.round(F.avg("x.value"), 6).alias("mean"), F.count_if((F.col("x.value") > 0) & leads()).alias("leads"))
+
+
 @query()
 def a7_case_file_json(spark, sf_dir):
     """The case files as JSON documents."""
-    cases = fusion.case_files(scored(spark, sf_dir))
+    cases = fusion.case_files(stored_scored(spark, sf_dir))
     return cases.select("work_ref", F.to_json(F.struct(*cases.columns)).alias("document"))
 
 
@@ -316,7 +324,7 @@ def a7_case_file_json(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL} SELECT count(*) AS total_works, count_if(is_completed) AS completed, count_if(is_open) AS open_works, count(DISTINCT state_name) AS states, count(DISTINCT constituency) AS constituencies, count(DISTINCT implementing_agency) AS agencies, round(sum(recommended_amount), 2) AS recommended, round(sum(rs_exposure), 2) AS exposure, count_if(band IN ('MEDIUM', 'HIGH')) AS leads, count_if(band = 'HIGH') AS high FROM scored")
 def d1_d25_national_stats(spark, sf_dir):
-    return _stats(scored(spark, sf_dir))
+    return _stats(stored_scored(spark, sf_dir))
 
 
 def _stats(df):
@@ -325,30 +333,30 @@ def _stats(df):
 
 @query(SQL["d1_d25_national_stats"] + " WHERE state_name = 'NATION_5'")
 def d20_b19_scoped_stats(spark, sf_dir):
-    return _stats(search.visible(scored(spark, sf_dir), "state", "NATION_5"))
+    return _stats(search.visible(stored_scored(spark, sf_dir), "state", "NATION_5"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT state_name, count(*) AS works, round(sum(rs_exposure), 2) AS exposure, count_if(band IN ('MEDIUM', 'HIGH')) AS leads FROM scored GROUP BY ALL")
 def d2_by_state(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("state_name").agg(F.count("*").alias("works"), F.round(F.sum("rs_exposure"), 2).alias("exposure"), F.count_if(leads()).alias("leads")).orderBy(F.desc("exposure"), "state_name")
+    return stored_scored(spark, sf_dir).groupBy("state_name").agg(F.count("*").alias("works"), F.round(F.sum("rs_exposure"), 2).alias("exposure"), F.count_if(leads()).alias("leads")).orderBy(F.desc("exposure"), "state_name")
 
 
 @query(f"WITH {SCORED_SQL} SELECT activity_category, count(*) AS n_works, count(DISTINCT state_name) AS states, count(DISTINCT implementing_agency) AS agencies, round(median(recommended_amount), 4) AS median_amount, round(avg(is_completed::INT), 6) AS completion_rate, round(median(duration_days) FILTER (is_completed), 4) AS median_days, round(avg((band IN ('MEDIUM', 'HIGH'))::INT), 6) AS lead_rate, (SELECT state_name FROM scored t WHERE t.activity_category = s.activity_category GROUP BY state_name ORDER BY count(*) DESC, state_name LIMIT 1) AS top_state FROM scored s GROUP BY activity_category")
 def d3_archetype_profiles(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = stored_scored(spark, sf_dir)
     return rows.groupBy("activity_category").agg(F.count("*").alias("n_works"), F.count_distinct("state_name").alias("states"), F.count_distinct("implementing_agency").alias("agencies"), F.round(F.median("recommended_amount"), 4).alias("median_amount"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.round(F.median(F.when(F.col("is_completed"), F.col("duration_days"))), 4).alias("median_days"), F.round(F.avg(leads().cast("int")), 6).alias("lead_rate"), F.mode("state_name", True).alias("top_state"))
 
 
-@query(f"WITH {SCORED_SQL}, a AS (SELECT avg(is_completed::INT) AS completion, 1 - avg((compliance_flags > 0)::INT) AS clean, 1 - avg((band IN ('MEDIUM', 'HIGH'))::INT) AS lead_free, 1.0::DOUBLE AS unique_works, avg((work_description IS NOT NULL)::INT) AS complete FROM scored) SELECT round(100 * (0.3 * round(completion, 3) + 0.25 * round(clean, 3) + 0.2 * round(lead_free, 3) + 0.15 * unique_works + 0.1 * round(complete, 3)), 1) AS score, round(completion, 3) AS completion, round(clean, 3) AS clean, round(lead_free, 3) AS lead_free FROM a")
+@query(f"WITH {SCORED_SQL}, a AS (SELECT avg(is_completed::INT) AS completion, 1 - avg((compliance_flags > 0)::INT) AS clean, 1 - avg((band IN ('MEDIUM', 'HIGH'))::INT) AS lead_free, 1 - avg((s7 > 0)::INT) AS unique_works, avg((work_description IS NOT NULL)::INT) AS complete FROM scored) SELECT round(100 * (0.3 * round(completion, 3) + 0.25 * round(clean, 3) + 0.2 * round(lead_free, 3) + 0.15 * round(unique_works, 3) + 0.1 * round(complete, 3)), 1) AS score, round(completion, 3) AS completion, round(clean, 3) AS clean, round(lead_free, 3) AS lead_free, round(unique_works, 3) AS unique_works FROM a")
 def d4_health_index(spark, sf_dir):
-    a = scored(spark, sf_dir).agg(F.round(F.avg(F.col("is_completed").cast("int")), 3).alias("completion"), F.round(1 - F.avg((F.col("compliance_flags") > 0).cast("int")), 3).alias("clean"), F.round(1 - F.avg(leads().cast("int")), 3).alias("lead_free"), F.round(F.avg(F.col("work_description").isNotNull().cast("int")), 3).alias("complete"))
-    index = 0.3 * F.col("completion") + 0.25 * F.col("clean") + 0.2 * F.col("lead_free") + 0.15 + 0.1 * F.col("complete")
-    return a.select(F.round(100 * index, 1).alias("score"), "completion", "clean", "lead_free")
+    a = stored_scored(spark, sf_dir).agg(F.round(F.avg(F.col("is_completed").cast("int")), 3).alias("completion"), F.round(1 - F.avg((F.col("compliance_flags") > 0).cast("int")), 3).alias("clean"), F.round(1 - F.avg(leads().cast("int")), 3).alias("lead_free"), F.round(1 - F.avg((F.col("sig_duplicate") > 0).cast("int")), 3).alias("unique_works"), F.round(F.avg(F.col("work_description").isNotNull().cast("int")), 3).alias("complete"))
+    index = 0.3 * F.col("completion") + 0.25 * F.col("clean") + 0.2 * F.col("lead_free") + 0.15 * F.col("unique_works") + 0.1 * F.col("complete")
+    return a.select(F.round(100 * index, 1).alias("score"), "completion", "clean", "lead_free", "unique_works")
 
 
 @query(f"WITH {SCORED_SQL} SELECT activity_category, count(*) AS works, round(sum(recommended_amount), 2) AS total, round(avg(is_completed::INT), 6) AS completion_rate, count_if(band <> 'NONE') AS leads FROM scored GROUP BY ALL ORDER BY works DESC, activity_category LIMIT 10")
 def d8_category_breakdown(spark, sf_dir):
-    rows = scored(spark, sf_dir).groupBy("activity_category").agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.count_if(F.col("band") != "NONE").alias("leads"))
+    rows = stored_scored(spark, sf_dir).groupBy("activity_category").agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.count_if(F.col("band") != "NONE").alias("leads"))
     return rows.orderBy(F.desc("works"), "activity_category").limit(10)
 
 
@@ -363,17 +371,17 @@ def _entity(df, column: str, part: str):
 
 @query(_entity_sql("implementing_agency", "nation_5/"))
 def d9_agency_profile(spark, sf_dir):
-    return _entity(scored(spark, sf_dir), "implementing_agency", "nation_5/")
+    return _entity(stored_scored(spark, sf_dir), "implementing_agency", "nation_5/")
 
 
 @query(_entity_sql("mp_name", "000001"))
 def d10_mp_profile(spark, sf_dir):
-    return _entity(scored(spark, sf_dir), "mp_name", "000001")
+    return _entity(stored_scored(spark, sf_dir), "mp_name", "000001")
 
 
 @query(f"WITH {SCORED_SQL} SELECT state_name, count(*) AS works, round(sum(recommended_amount), 2) AS total, count_if(is_completed) AS completed, count_if(band IN ('MEDIUM', 'HIGH')) AS leads, round(coalesce(sum(rs_exposure) FILTER (band IN ('MEDIUM', 'HIGH')), 0), 2) AS lead_exposure FROM scored WHERE state_name = 'NATION_6' GROUP BY ALL")
 def d11_state_answer(spark, sf_dir):
-    rows = search.visible(scored(spark, sf_dir), "state", "NATION_6").groupBy("state_name")
+    rows = search.visible(stored_scored(spark, sf_dir), "state", "NATION_6").groupBy("state_name")
     return rows.agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.count_if("is_completed").alias("completed"), F.count_if(leads()).alias("leads"), F.round(F.coalesce(F.sum(F.when(leads(), F.col("rs_exposure"))), F.lit(0.0)), 2).alias("lead_exposure"))
 
 
@@ -386,22 +394,31 @@ def d16_completeness(spark, sf_dir):
     return sums.unpivot([], _FIELDS, "field", "filled")
 
 
-@query("SELECT event_type AS outcome, count(*) AS records, count(DISTINCT user_id) AS works, count_if(event_type = 'purchase') AS confirmed, greatest(500 - count_if(event_type = 'purchase'), 0) AS to_go FROM events GROUP BY event_type")
+@query("""WITH v AS (SELECT * FROM events WHERE user_id % 10 <> 0)
+SELECT 'all' AS outcome, count(*) AS records, count(DISTINCT user_id) AS works, count_if(event_type = 'purchase') AS confirmed, greatest(500 - count(*), 0) AS to_go, (SELECT count(*) FROM events WHERE user_id % 10 = 0) AS demo FROM v
+UNION ALL SELECT event_type, count(*), count(DISTINCT user_id), count_if(event_type = 'purchase'), NULL, NULL FROM v GROUP BY event_type""")
 def d17_label_readiness(spark, sf_dir):
-    done = F.count_if(F.col("outcome") == "purchase")
-    return verification(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("records"), F.count_distinct("work_ref").alias("works"), done.alias("confirmed"), F.greatest(500 - done, F.lit(0)).cast("long").alias("to_go"))
+    """Verifications without demonstration records, all and by outcome, and how many are still needed to fit weights."""
+    rows = verification(spark, sf_dir).withColumn("demo", F.substring("work_ref", 2, 20).cast("long") % 10 == 0)
+    real = rows.where("not demo")
+    sums = [F.count("*").alias("records"), F.count_distinct("work_ref").alias("works"), F.count_if(F.col("outcome") == "purchase").alias("confirmed")]
+    to_go = F.greatest(CONFIG.labels_needed - F.col("records"), F.lit(0)).cast("long")
+    whole = real.agg(*sums).select(F.lit("all").alias("outcome"), "records", "works", "confirmed", to_go.alias("to_go")).crossJoin(F.broadcast(rows.agg(F.count_if("demo").alias("demo"))))
+    return whole.unionByName(real.groupBy("outcome").agg(*sums), allowMissingColumns=True)
 
 
-@query(f"WITH {WORKS_SQL} SELECT kind, name FROM (SELECT DISTINCT 'state' AS kind, state_name AS name FROM works UNION SELECT DISTINCT 'agency', implementing_agency FROM works) ORDER BY kind, name LIMIT 600")
+@query(f"WITH {WORKS_SQL} SELECT kind, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) AS q FROM (SELECT DISTINCT 'state' AS kind, state_name AS name FROM works UNION SELECT DISTINCT 'agency', implementing_agency FROM works)) WHERE kind = 'state' OR q <= 600")
 def d19_scope_lists(spark, sf_dir):
+    """All states, and the first 600 agencies."""
     rows = works(spark, sf_dir)
-    both = rows.select(F.lit("state").alias("kind"), F.col("state_name").alias("name")).unionByName(rows.select(F.lit("agency").alias("kind"), F.col("implementing_agency").alias("name")))
-    return both.distinct().orderBy("kind", "name").limit(600)
+    states = rows.select(F.lit("state").alias("kind"), F.col("state_name").alias("name")).distinct()
+    agencies = rows.select(F.lit("agency").alias("kind"), F.col("implementing_agency").alias("name")).distinct().orderBy("name").limit(600)
+    return states.unionByName(agencies)
 
 
 @query(f"WITH {SCORED_SQL} SELECT 'band' AS what, band AS value, count(*) AS n FROM scored GROUP BY ALL UNION ALL SELECT 'peer_level', peer_level, count(*) FROM scored GROUP BY ALL UNION ALL SELECT 'severity', compliance_severity, count(*) FROM scored GROUP BY ALL")
 def d23_d24_value_counts(spark, sf_dir):
-    rows = scored(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(w).alias("what"), F.col(c).alias("value")) for w, c in (("band", "band"), ("peer_level", "peer_level"), ("severity", "compliance_severity"))))).alias("x"))
+    rows = stored_scored(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(w).alias("what"), F.col(c).alias("value")) for w, c in (("band", "band"), ("peer_level", "peer_level"), ("severity", "compliance_severity"))))).alias("x"))
     return rows.groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
 
 
@@ -416,12 +433,12 @@ def _row(df):
 
 @query(f"WITH {SCORED_SQL} {_ROW} WHERE band IN ('MEDIUM', 'HIGH')")
 def f1_worklist(spark, sf_dir):
-    return _row(search.worklist(scored(spark, sf_dir)).orderBy(F.desc("audit_roi"), "work_ref"))
+    return _row(search.worklist(stored_scored(spark, sf_dir)).orderBy(F.desc("audit_roi"), "work_ref"))
 
 
 @query(f"WITH {SCORED_SQL} {_ROW} WHERE band = 'HIGH' AND s4 > 0 AND contains(lower(work_description), 'urgent')")
 def b20_worklist_filters(spark, sf_dir):
-    return _row(search.worklist(scored(spark, sf_dir), band="HIGH", signal="conformance", text="urgent"))
+    return _row(search.worklist(stored_scored(spark, sf_dir), band="HIGH", signal="conformance", text="urgent"))
 
 
 _SEARCH = "contains(lower(concat_ws(' ', work_ref, work_description, state_name, constituency, implementing_agency, mp_name, activity_category)), 'furniture') AND contains(lower(concat_ws(' ', work_ref, work_description, state_name, constituency, implementing_agency, mp_name, activity_category)), 'high') AND NOT is_completed"
@@ -429,39 +446,39 @@ _SEARCH = "contains(lower(concat_ws(' ', work_ref, work_description, state_name,
 
 @query(f"WITH {SCORED_SQL} {_ROW} WHERE {_SEARCH}")
 def b21_search(spark, sf_dir):
-    return _row(search.search(scored(spark, sf_dir), "high FURNITURE works", completed=False))
+    return _row(search.search(stored_scored(spark, sf_dir), "high FURNITURE works", completed=False))
 
 
 @query(f"WITH {SCORED_SQL} SELECT count(*) AS matches, round(sum(recommended_amount), 2) AS total, count_if(band <> 'NONE') AS leads FROM scored WHERE {_SEARCH}")
 def d22_search_aggregates(spark, sf_dir):
-    return search.search(scored(spark, sf_dir), "high FURNITURE works", completed=False).agg(F.count("*").alias("matches"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.count_if(F.col("band") != "NONE").alias("leads"))
+    return search.search(stored_scored(spark, sf_dir), "high FURNITURE works", completed=False).agg(F.count("*").alias("matches"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.count_if(F.col("band") != "NONE").alias("leads"))
 
 
 @query(f"WITH {SCORED_SQL} {_ROW} WHERE {_SEARCH} ORDER BY scored.audit_roi DESC, work_ref LIMIT 8")
 def f3_search_top(spark, sf_dir):
-    return _row(search.top(search.search(scored(spark, sf_dir), "high FURNITURE works", completed=False), 8))
+    return _row(search.top(search.search(stored_scored(spark, sf_dir), "high FURNITURE works", completed=False), 8))
 
 
 @query(f"WITH {SCORED_SQL} {_ROW} WHERE band IN ('MEDIUM', 'HIGH') ORDER BY scored.audit_roi DESC, work_ref LIMIT 50 OFFSET 100")
 def f2_paging(spark, sf_dir):
-    return _row(search.top(search.worklist(scored(spark, sf_dir)), 50, 100))
+    return _row(search.top(search.worklist(stored_scored(spark, sf_dir)), 50, 100))
 
 
 @query(f"WITH {SCORED_SQL} {_ROW} WHERE state_name = 'NATION_7' AND band IN ('MEDIUM', 'HIGH') ORDER BY scored.audit_roi DESC, work_ref LIMIT 20")
 def f4_top_leads_of_state(spark, sf_dir):
-    return _row(search.top(search.worklist(scored(spark, sf_dir), state="NATION_7"), 20))
+    return _row(search.top(search.worklist(stored_scored(spark, sf_dir), state="NATION_7"), 20))
 
 
 @query(f"WITH {SCORED_SQL}, a AS ({_ROW} WHERE band = 'HIGH' ORDER BY scored.audit_roi DESC, work_ref LIMIT 2), b AS ({_ROW} WHERE band = 'NONE' ORDER BY work_ref LIMIT 2) SELECT * FROM a UNION ALL SELECT * FROM b")
 def f6_sample_pick(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = stored_scored(spark, sf_dir)
     return _row(search.top(rows.where("band = 'HIGH'"), 2)).unionByName(_row(rows.where("band = 'NONE'").orderBy("work_ref").limit(2)))
 
 
 @query(f"WITH {SCORED_SQL} SELECT work_ref, band, CASE WHEN band IN ('MEDIUM', 'HIGH') THEN 'case' ELSE 'clear' END AS record FROM scored WHERE work_ref = (SELECT min(work_ref) FROM works)")
 def b22_lookup(spark, sf_dir):
     ref = works(spark, sf_dir).agg(F.min("work_ref")).first()[0]
-    return search.lookup(scored(spark, sf_dir), ref).select("work_ref", "band", "record")
+    return search.lookup(stored_scored(spark, sf_dir), ref).select("work_ref", "band", "record")
 
 
 @query("SELECT event_id AS id, event_type AS outcome FROM events ORDER BY event_id DESC LIMIT 25")
@@ -478,7 +495,7 @@ def e14_history(spark, sf_dir):
 
 _VEC = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, e, greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-9) AS n FROM v),
 p AS (SELECT a.label, a.vec_id AS x, b.vec_id AS y, round(list_dot_product(a.e, b.e) / (a.n * b.n), 4) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS q FROM p WHERE s >= 0.2), prs AS (SELECT DISTINCT label, least(x, y) AS a, greatest(x, y) AS b, s AS similarity FROM k WHERE q <= 5)"""
+k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS q FROM p WHERE s >= 0.2), prs AS (SELECT label, x AS a, y AS b, s AS similarity FROM k WHERE q <= 5 AND x < y)"""
 
 
 def _vectors(spark, sf_dir):
@@ -505,16 +522,35 @@ def d7_b23_pair_summary(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy("label").agg(F.count("*").alias("pairs"), F.count_if(F.col("similarity") >= 0.3).alias("close_pairs"), F.round(F.max("similarity"), 4).alias("most"))
 
 
-@query(f"""WITH {WORKS_SQL}, q AS (SELECT mp_id, work_ref, implementing_agency, recommended_amount, activity_name FROM works)
-SELECT a.work_ref AS a, b.work_ref AS b, abs(a.recommended_amount - b.recommended_amount) <= 0.02 * greatest(a.recommended_amount, b.recommended_amount, 1) AND a.implementing_agency = b.implementing_agency AS concerning
-FROM q a JOIN q b ON a.mp_id = b.mp_id AND a.work_ref < b.work_ref""")
+def _work_pairs(spark, sf_dir):
+    pairs = similarity.work_pairs(featured(spark, sf_dir))
+    return pairs.withColumn("concerning", similarity.concerning(pairs))
+
+
+@query(f"WITH {FEATURES_SQL} {PAIRS_SQL} SELECT a, b, 1.0::DOUBLE AS similarity, 'EXACT' AS classification, same_agency, same_constituency, same_mp, true AS identical_text, round(ax, 2) AS amount_a, round(ay, 2) AS amount_b, concerning FROM wp")
 def b24_f5_concerning_pairs(spark, sf_dir):
-    """Pairs of one member's works, with the concerning predicate."""
-    q = works(spark, sf_dir).select("mp_id", "work_ref", "implementing_agency", "recommended_amount")
-    left = q.select("mp_id", F.col("work_ref").alias("a"), F.col("implementing_agency").alias("ga"), F.col("recommended_amount").alias("amount_a"))
-    right = q.select("mp_id", F.col("work_ref").alias("b"), F.col("implementing_agency").alias("gb"), F.col("recommended_amount").alias("amount_b"))
-    pairs = left.join(right, "mp_id").where("a < b").withColumns({"similarity": F.lit(1.0), "same_agency": F.col("ga") == F.col("gb")})
-    return pairs.select("a", "b", similarity.concerning(pairs).alias("concerning"))
+    """The pair table, most similar and most closely related first, with the concerning predicate."""
+    pairs = _work_pairs(spark, sf_dir).orderBy(F.desc("similarity"), F.desc("same_agency"), F.desc("same_constituency"), "a", "b")
+    return pairs.select("a", "b", "similarity", "classification", "same_agency", "same_constituency", "same_mp", "identical_text", r("amount_a", 2), r("amount_b", 2), "concerning")
+
+
+@query(f"WITH {FEATURES_SQL} {PAIRS_SQL}, p AS (SELECT wp.*, state_name FROM wp JOIN feat ON a = work_ref) SELECT state_name, 'EXACT' AS classification, count(*) AS pairs, count_if(same_agency) AS same_agency, count(*) AS identical_text, count_if(concerning) AS concerning FROM p GROUP BY state_name")
+def d7_work_pair_summary(spark, sf_dir):
+    """Pairs by state and class: same agency, identical text, concerning."""
+    pairs = _work_pairs(spark, sf_dir).groupBy(F.col("state_a").alias("state_name"), "classification")
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if("same_agency").alias("same_agency"), F.count_if("identical_text").alias("identical_text"), F.count_if("concerning").alias("concerning"))
+
+
+@query(f"WITH {FEATURES_SQL} {PAIRS_SQL}, p AS (SELECT wp.*, state_name FROM wp JOIN feat ON a = work_ref) SELECT a, b, round(ax, 2) AS amount_a, round(ay, 2) AS amount_b FROM p WHERE concerning AND state_name = 'NATION_7' ORDER BY a, b LIMIT 100")
+def b23_pairs_of_state(spark, sf_dir):
+    """Concerning exact pairs of a state: the first hundred."""
+    pairs = search.pairs(_work_pairs(spark, sf_dir), state="NATION_7", classification="EXACT", concerning=True)
+    return pairs.orderBy("a", "b").limit(100).select("a", "b", r("amount_a", 2), r("amount_b", 2))
+
+
+@query(f"WITH {FEATURES_SQL} {PAIRS_SQL} SELECT work_ref, 1.0::DOUBLE AS duplicate_similarity, duplicate_partner FROM ds")
+def c7_duplicate_signal(spark, sf_dir):
+    return similarity.duplicate_signal(featured(spark, sf_dir))
 
 
 _SIGN = "(" + " | ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)::BIGINT" for i in range(63)) + ")"
@@ -532,12 +568,9 @@ def c10_h14_hamming_pairs(spark, sf_dir):
 
 @query()
 def d18_reuse_report(spark, sf_dir):
-    """Groups of documents with near fingerprints: copies by text digest, and near ones by SimHash of their words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", similarity.simhash(F.col("text")).alias("sig"))
-    pairs = similarity.hamming_pairs(docs, "doc_id", "sig", 2)
-    heads = docs.groupBy("sig").agg(F.min("doc_id").alias("head"), F.count("*").alias("uses"), F.count_distinct("source").alias("sources"))
-    near = pairs.groupBy(F.col("a").alias("head")).agg(F.min("distance").alias("nearest"), F.count("*").alias("near"))
-    return heads.join(near, "head", "left").where("uses > 1 or near is not null").select("head", "uses", "sources", F.coalesce("near", F.lit(0)).alias("near"), similarity.level(F.coalesce("nearest", F.lit(0))).alias("level"))
+    """Fingerprints (SimHash of a document's words) that more than one document shows: greedy clusters within 14 bits of their head."""
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", similarity.simhash(F.col("text")).alias("sig")))
+    return similarity.reuse_report(docs, "doc_id", "sig", "source")
 
 
 def _boards(spark, sf_dir):
@@ -586,18 +619,20 @@ def h11_h12_dates_and_math(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.trunc("ts", "month").alias("month"), F.year("ts").alias("year"), F.date_sub("ts", 30).alias("before"), F.date_format("ts", "yyyy-MM-dd").alias("iso"), F.round(F.log1p(F.abs("value")), 6).alias("logged"), F.round(1 / (1 + F.exp(-fusion.clip(F.col("value") - 2, -6.0, 6.0))), 6).alias("squashed"))
 
 
-@query("SELECT event_id AS seq, event_id % 1000 = 500 AS content_broken, (event_id - 1) % 1000 = 500 AND event_id > 0 AS link_broken FROM events WHERE event_id % 1000 = 500 OR ((event_id - 1) % 1000 = 500 AND event_id > 0)")
+@query("""WITH e AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events), b AS (
+  SELECT user_id, event_id AS seq, 'content' AS reason FROM e WHERE event_id % 1000 = 500 UNION ALL SELECT user_id, next, 'link' FROM e WHERE event_id % 1500 = 700 AND next IS NOT NULL),
+f AS (SELECT user_id, min(seq) AS broken_at_seq, arg_min(reason, (seq, reason = 'content')) AS reason FROM b GROUP BY user_id)
+SELECT 'W' || user_id AS work_ref, count(*) AS entries, broken_at_seq IS NULL AS valid, broken_at_seq, reason FROM events LEFT JOIN f USING (user_id) GROUP BY user_id, broken_at_seq, reason""")
 def e15_chain(spark, sf_dir):
-    """A log whose rows carry their own and their predecessor's hash; every thousandth row is altered afterwards."""
-    log = verification(spark, sf_dir).select(F.col("id").alias("seq"), "outcome", F.col("notes").cast("string").alias("detail"))
-    content = lambda detail: tx.row_hash(F.col("seq").cast("string"), F.col("outcome"), detail)
-    rows = log.withColumn("row_hash", content(F.col("detail")))
-    rows = rows.join(rows.select((F.col("seq") + 1).alias("seq"), F.col("row_hash").alias("prev_hash")), "seq", "left")
-    altered = F.col("seq") % 1000 == 500
-    rows = rows.withColumns({"detail": F.when(altered, "altered").otherwise(F.col("detail"))}).withColumn("now", content(F.col("detail")))
-    before = rows.select((F.col("seq") + 1).alias("seq"), F.col("now").alias("before"))
-    checked = rows.join(before, "seq", "left").select("seq", (F.col("now") != F.col("row_hash")).alias("content_broken"), F.coalesce(F.col("before") != F.col("prev_hash"), F.lit(False)).alias("link_broken"))
-    return checked.where("content_broken or link_broken")
+    """Logs of works whose rows hash their predecessor's hash too. Some rows are altered afterwards, and some altered and hashed anew;
+    the first break of each log and its reason are found.
+    """
+    log = verification(spark, sf_dir).select("work_ref", F.col("id").alias("seq"), "outcome", F.col("notes").cast("string").alias("detail"))
+    chained = fusion.chain(log, "work_ref", "seq", ["outcome", "detail"])
+    altered, anew = F.col("seq") % 1000 == 500, F.col("seq") % 1500 == 700
+    chained = chained.withColumn("detail", F.when(altered | anew, "altered").otherwise(F.col("detail")))
+    chained = chained.withColumn("row_hash", F.when(anew, fusion.chain_hash(["outcome", "detail"])).otherwise(F.col("row_hash")))
+    return fusion.first_break(chained, "work_ref", "seq", ["outcome", "detail"])
 
 
 @query("""WITH f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY label), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], first::DOUBLE[]), 4) AS similarity FROM embeddings JOIN f USING (label))
@@ -668,7 +703,7 @@ def g5_set_intersection(spark, sf_dir):
 
 @query()
 def m1_clusters(spark, sf_dir):
-    return models.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (8, 10, 12))
+    return models.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @query()
@@ -678,24 +713,32 @@ def m2_m3_cluster_labels(spark, sf_dir):
     return terms.join(labels, "lang")
 
 
-@query(f"""WITH {FEATURES_SQL}, d AS (SELECT * FROM feat WHERE duration_days >= 1), b AS (SELECT state_name FROM d GROUP BY 1 ORDER BY count(*) DESC, state_name LIMIT 15)
-SELECT work_ref, duration_days, event_observed, round(coalesce(log_amount, (SELECT median(log_amount) FROM d)), 6) AS log_amount, is_sanctioned::INT::DOUBLE AS sanctioned, coalesce(b.state_name, 'OTHER') AS bucket
-FROM d LEFT JOIN b ON d.state_name = b.state_name""")
+@query(f"""WITH {FEATURES_SQL}, d AS (SELECT * FROM feat WHERE duration_days >= 1), b AS (SELECT state_name, row_number() OVER (ORDER BY count(*) DESC, state_name) - 1 AS k FROM d GROUP BY 1), c AS (SELECT activity_category, row_number() OVER (ORDER BY count(*) DESC, activity_category) - 1 AS k FROM d GROUP BY 1)
+SELECT work_ref, duration_days, event_observed, round(coalesce(log_amount, (SELECT median(log_amount) FROM d)), 6) AS log_amount, is_sanctioned::INT::DOUBLE AS sanctioned, CASE WHEN b.k BETWEEN 1 AND 14 THEN b.k ELSE 0 END AS state_dummy, CASE WHEN c.k BETWEEN 1 AND 19 THEN c.k ELSE 0 END AS category_dummy
+FROM d LEFT JOIN b ON d.state_name = b.state_name LEFT JOIN c ON d.activity_category = c.activity_category""")
 def m4_b26_b27_survival_frame(spark, sf_dir):
-    return models.survival_frame(featured(spark, sf_dir)).withColumn("log_amount", r("log_amount"))
+    """Design rows; of the dummies the place of the one that is set."""
+    rows, covariates = models.survival_frame(featured(spark, sf_dir))
+
+    def place(prefix: str):
+        return F.greatest(F.lit(0), F.lit(0), *(F.when(F.col(c) == 1, int(c.rsplit("_", 1)[1])).otherwise(0) for c in covariates if c.startswith(prefix))).cast("long")
+
+    return rows.select("work_ref", "duration_days", "event_observed", r("log_amount"), "sanctioned", place("state_name").alias("state_dummy"), place("activity_category").alias("category_dummy"))
 
 
 @query()
 def m5_m6_h13_cox_risk(spark, sf_dir):
-    rows = cut(models.survival_frame(featured(spark, sf_dir)))
-    return models.cox_risk(rows, ["log_amount", "sanctioned"]).select("work_ref", "cox_risk")
+    """Risks of all works, of a model that two thirds of them fitted."""
+    rows, covariates = models.survival_frame(featured(spark, sf_dir))
+    return models.cox_risk(cut(rows), covariates, fitted=~models.held_out()).select("work_ref", "cox_risk")
 
 
 @query()
 def m7_concordance(spark, sf_dir):
-    """The Cox risk's concordance on works held out by hash."""
-    risk = models.cox_risk(cut(models.survival_frame(featured(spark, sf_dir))), ["log_amount", "sanctioned"])
-    return models.concordance(risk.where(F.pmod(F.xxhash64("work_ref"), F.lit(3)) == 0).withColumn("hazard", F.col("cox_risk")), "hazard")
+    """The Cox risk's concordance on works held out by hash: the model was fitted on the others."""
+    rows, covariates = models.survival_frame(featured(spark, sf_dir))
+    risk = models.cox_risk(cut(rows), covariates, fitted=~models.held_out())
+    return models.concordance(risk.where(models.held_out()).withColumn("hazard", F.col("cox_risk")), "hazard")
 
 
 @query()
@@ -730,6 +773,5 @@ def k2_live_counters(spark, sf_dir):
 @query("WITH e AS (SELECT *, floor(value * 100)::BIGINT AS fp FROM events), f AS (SELECT fp, arg_min(user_id, (ts, 'W' || user_id)) AS u FROM e GROUP BY fp) SELECT count(*) AS reuses, count(DISTINCT fp) AS fingerprints FROM e JOIN f USING (fp) WHERE user_id <> u")
 def k1_reused_fingerprints(spark, sf_dir):
     rows = _stream(spark, sf_dir).select(F.floor(F.col("value") * 100).alias("fingerprint"), F.concat(F.lit("W"), F.col("user_id").cast("string")).alias("work_ref"), F.col("ts").alias("at"))
-    name = f"reuse_{uuid.uuid4().hex}"
-    live.run_available(live.reused_fingerprints(rows), name, "append", shared_folder(spark))
-    return spark.table(name).agg(F.count("*").alias("reuses"), F.count_distinct("fingerprint").alias("fingerprints"))
+    found = live.reused_fingerprints(rows, shared_folder(spark))
+    return found.agg(F.count("*").alias("reuses"), F.count_distinct("fingerprint").alias("fingerprints"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worksift.operators import fusion, peers, series
+from worksift.operators import fusion, models, peers, series, similarity
+from worksift.plans.lineage import cut, shared_folder, small
 from worksift.sources.adapters import WORKS_SQL, works
 
 
@@ -16,12 +18,18 @@ def compared(spark: SparkSession, sf_dir: str, min_peers: int | None = None) ->
     return peers.add_peers(featured(spark, sf_dir), min_peers=min_peers)
 
 
-def score(base: DataFrame, extra=lambda df: df) -> DataFrame:
-    """Category to early warning, for any rows in the shape of the works view; ``extra`` may attach more signals."""
-    rows = peers.add_peers(peers.add_features(peers.add_category(base)))
-    rows = peers.add_risk(rows, peers.survival_risk(rows))
+def score(base: DataFrame, risk: DataFrame | None = None, anomaly: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Category to early warning, for any rows in the shape of the works view: seven signals in six families.
+
+    ``risk`` (work_ref, cox_risk) and ``anomaly`` (work_ref, anomaly_flag) are model tables. Without them the risk is Kaplan-Meier by
+    category, and no work is flagged. ``texts`` (text_a, text_b, similarity) are similar descriptions.
+    """
+    rows = compared_ = cut(peers.add_peers(peers.add_features(peers.add_category(base))))
+    rows = peers.add_risk(rows, peers.survival_risk(rows)) if risk is None else peers.add_risk(rows, risk, "work_ref", "cox_risk")
     moved = series.change_points(rows).select("implementing_agency", "change_point")
-    rows = extra(rows.join(moved, "implementing_agency", "left").na.fill(0.0, ["change_point"]))
+    rows = rows.join(small(cut(moved)), "implementing_agency", "left").na.fill(0.0, ["change_point"])
+    rows = rows.withColumn("anomaly_flag", F.lit(0.0)) if anomaly is None else rows.join(anomaly.select("work_ref", "anomaly_flag"), "work_ref", "left").na.fill(0.0, ["anomaly_flag"])
+    rows = rows.join(similarity.duplicate_signal(compared_, texts), "work_ref", "left")
     return fusion.add_early_warning(fusion.add_fusion(fusion.add_checks(rows)))
 
 
@@ -29,6 +37,48 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(works(spark, sf_dir))
 
 
+#: Stored tables of this session, by application, table folder and kind.
+_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED:
+        rows, path = make(), shared_folder(spark)
+        rows.repartitionByRange("state_name", "work_ref").sortWithinPartitions("state_name", "work_ref").write.partitionBy("state_name").parquet(path)
+        _STORED[key] = (path, rows.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def stored_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored portfolio as a table: made once a session, by state and sorted by reference; lookups and reports prune it.
+
+    The tables below ``sf_dir`` are taken as unchanged until ``forget`` is called.
+    """
+    return _stored(spark, sf_dir, "scored", lambda: scored(spark, sf_dir))
+
+
+def modelled(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(risk, anomaly): a Cox model fitted on works that aren't held out, and an isolation forest, both over all works."""
+    rows = cut(peers.add_features(peers.add_category(base)))
+    frame, covariates = models.survival_frame(rows)
+    risk = models.cox_risk(cut(frame), covariates, fitted=~models.held_out())
+    ages = rows.select("work_ref", "log_amount", F.coalesce("duration_days", F.lit(0.0)).alias("age"))
+    return cut(risk.select("work_ref", "cox_risk")), cut(models.isolation_forest(ages, "work_ref", ["log_amount", "age"]).select("work_ref", "anomaly_flag"))
+
+
+def stored_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio scored with both models, as a stored table."""
+    return _stored(spark, sf_dir, "full", lambda: score(works(spark, sf_dir), *modelled(works(spark, sf_dir))))
+
+
+def forget(sf_dir: str) -> None:
+    """Score anew when ``sf_dir`` is asked for next."""
+    for key in [k for k in _STORED if k[1] == sf_dir]:
+        del _STORED[key]
+
+
 FEATURES_SQL = (
     WORKS_SQL
     + r""",
@@ -71,14 +121,25 @@ kd AS (SELECT activity_category, duration_days, sum(event_observed) AS d, count(
 kr AS (SELECT *, sum(n) OVER (PARTITION BY activity_category ORDER BY duration_days DESC) AS at_risk FROM kd),
 km AS (SELECT activity_category, CASE WHEN max((d = at_risk)::INT) = 1 THEN 1.0 ELSE 1 - exp(sum(CASE WHEN d = at_risk THEN 0 ELSE ln(1 - d / at_risk) END)) END AS km_risk FROM kr WHERE duration_days <= 365 GROUP BY activity_category)"""
 
+PAIRS_SQL = """,
+dr AS (SELECT work_ref, state_name, activity_category, work_description, implementing_agency, constituency, mp_name, recommended_amount AS amt,
+    row_number() OVER (PARTITION BY state_name, activity_category, work_description ORDER BY recommended_amount, work_ref) AS r FROM feat WHERE work_description IS NOT NULL AND recommended_amount IS NOT NULL),
+dl AS (
+  SELECT a.work_ref AS a, b.work_ref AS b, a.amt AS ax, b.amt AS ay, a.implementing_agency = b.implementing_agency AS same_agency, a.constituency = b.constituency AS same_constituency, a.mp_name = b.mp_name AS same_mp,
+    row_number() OVER (PARTITION BY a.work_ref ORDER BY abs(a.amt - b.amt), b.work_ref) AS n
+  FROM dr a JOIN dr b ON a.state_name = b.state_name AND a.activity_category = b.activity_category AND a.work_description = b.work_description AND a.r <> b.r AND b.r BETWEEN a.r - 5 AND a.r + 5),
+wp AS (SELECT *, same_agency AND abs(ax - ay) <= 0.02 * greatest(abs(ax), abs(ay), 1.0) AS concerning FROM dl WHERE n <= 5 AND a < b),
+ds AS (SELECT work_ref, min(partner) AS duplicate_partner FROM (SELECT a AS work_ref, b AS partner FROM wp WHERE concerning UNION ALL SELECT b, a FROM wp WHERE concerning) GROUP BY work_ref)"""
+
 SCORED_SQL = (
     peers_sql()
     + YEARS_SQL
     + KM_SQL
+    + PAIRS_SQL
     + """,
 base AS (
-  SELECT p.*, coalesce(cp.change_point, 0) AS change_point, CASE WHEN is_completed THEN 0 ELSE least(greatest(coalesce(km_risk, 0), 0), 1) END AS risk_score
-  FROM peers p LEFT JOIN cp USING (implementing_agency) LEFT JOIN km USING (activity_category)),
+  SELECT p.*, (ds.work_ref IS NOT NULL)::INT::DOUBLE AS s7, coalesce(cp.change_point, 0) AS change_point, CASE WHEN is_completed THEN 0 ELSE least(greatest(coalesce(km_risk, 0), 0), 1) END AS risk_score
+  FROM peers p LEFT JOIN cp USING (implementing_agency) LEFT JOIN km USING (activity_category) LEFT JOIN ds ON ds.work_ref = p.work_ref),
 checks AS (
   SELECT *, completed_without_sanction AS c1, is_backdated AS c2, is_future_dated AS c3, is_orphan AS c4, has_nonpositive_amount AS c5, work_description IS NULL AS c6,
     coalesce(is_open AND open_duration_pct >= 0.99, false) AS c7, coalesce(amount_pct >= 0.99, false) AS c8 FROM base),
@@ -88,8 +149,8 @@ sig AS (
     CASE WHEN amount_pct >= 0.9 THEN 1 / (1 + exp(-least(greatest(amount_z - 2, -6), 6))) ELSE 0 END AS s1, CASE WHEN open_duration_pct >= 0.9 THEN open_duration_pct ELSE 0 END AS s2,
     CASE WHEN risk_score >= 0.6 THEN risk_score ELSE 0 END AS s3, CASE WHEN is_backdated OR completed_without_sanction OR is_future_dated OR is_orphan THEN 0.9 ELSE 0 END AS s4, change_point AS s5 FROM checks),
 fused AS (
-  SELECT *, 1 - (1 - 0.6 * s1) * (1 - 0.55 * s2) * (1 - 0.6 * s3) * (1 - 0.75 * s4) * (1 - 0.5 * s5) AS priority,
-    (s1 > 0)::INT + (s2 > 0 OR s3 > 0)::INT + (s4 > 0)::INT + (s5 > 0)::INT AS n_families, recommended_amount * risk_score AS rs_exposure FROM sig),
+  SELECT *, 1 - (1 - 0.6 * s1) * (1 - 0.55 * s2) * (1 - 0.6 * s3) * (1 - 0.75 * s4) * (1 - 0.5 * s5) * (1 - 0.65 * s7) AS priority,
+    (s1 > 0)::INT + (s2 > 0 OR s3 > 0)::INT + (s4 > 0)::INT + (s5 > 0)::INT + (s7 > 0)::INT AS n_families, recommended_amount * risk_score AS rs_exposure FROM sig),
 pm AS (SELECT activity_category, state_name, median(duration_days) AS pm FROM feat WHERE is_completed GROUP BY ALL),
 nm AS (SELECT CASE WHEN median(duration_days) = 0 THEN 400 ELSE median(duration_days) END AS nm FROM feat WHERE is_completed),
 stall AS (

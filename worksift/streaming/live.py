@@ -1,37 +1,44 @@
-"""Incremental forms: first-seen fingerprints on arrival, live verification counters, hash-chain checks."""
+"""Incremental forms: first-seen fingerprints on arrival, live verification counters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 REUSE = "fingerprint bigint, work_ref string, first_work string, at timestamp"
-
-
-def reused_fingerprints(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """For (fingerprint, work_ref, at) rows, those whose fingerprint another work showed first; state is one work each."""
-
-    def check(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(batches).sort_values(["at", "work_ref"])
-        first = state.get[0] if state.exists else rows["work_ref"].iloc[0]
-        state.update((first,))
-        if keep_ms:
-            state.setTimeoutDuration(keep_ms)
-        again = rows[rows["work_ref"] != first]
-        if len(again):
-            yield pd.DataFrame({"fingerprint": key[0], "work_ref": again["work_ref"], "first_work": first, "at": again["at"]})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
-    return stream.groupBy("fingerprint").applyInPandasWithState(check, REUSE, "first string", "append", timeout)
+FIRST = "fingerprint bigint, first_work string"
+
+
+def reused_fingerprints(stream: DataFrame, folder: str) -> DataFrame:
+    """Processes what is there of (fingerprint, work_ref, at), and gives all rows whose fingerprint another work showed first.
+
+    The state is a table of each fingerprint's first work below ``folder``, beside the rows found; a batch adds a part to either
+    and overwrites it if it runs again. Firsts are combinable aggregates and reuses a join, so no key's rows meet in Python.
+    """
+    spark = stream.sparkSession
+    firsts, found = f"{folder}/firsts", f"{folder}/found"
+
+    def read(path: str, schema: str, batch: int | None = None) -> DataFrame:
+        try:
+            rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+        except Exception as missing:  # no batch has ended yet
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            rows = spark.createDataFrame([], f"{schema}, batch bigint")
+        return (rows if batch is None else rows.where(F.col("batch") < batch)).drop("batch")
+
+    def step(rows: DataFrame, batch: int) -> None:
+        known = read(firsts, FIRST, batch)
+        new = rows.groupBy("fingerprint").agg(F.min(F.struct("at", "work_ref")).alias("f")).select("fingerprint", F.col("f.work_ref").alias("first_work"))
+        new.join(known, "fingerprint", "left_anti").write.mode("overwrite").parquet(f"{firsts}/batch={batch}")
+        all_firsts = known.unionByName(spark.read.schema(FIRST).parquet(f"{firsts}/batch={batch}"))
+        again = rows.join(all_firsts, "fingerprint").where("work_ref <> first_work").select("fingerprint", "work_ref", "first_work", "at")
+        again.write.mode("overwrite").parquet(f"{found}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read(found, REUSE)
 
 
 def live_counters(stream: DataFrame) -> DataFrame:
