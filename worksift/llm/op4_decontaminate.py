@@ -118,14 +118,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         sent, name = spark.sparkContext.broadcast([(r.item, r.text) for r in part]), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if name not in _READY:
-                _READY.clear()
-                _READY[name] = searchers(sent.value, window)
+            from worksift.llm import op4_decontaminate as own  # the worker's module, which outlives this task
+
+            ready = own._READY
+            if name not in ready:
+                ready.clear()
+                ready[name] = searchers(sent.value, window)
             for batch in batches:
                 out = []
                 for text in batch["text"]:
                     words = words_of_bytes(text)
-                    spans, found = find(words, _READY[name])
+                    spans, found = find(words, ready[name])
                     out.append((len(words), [{"start": a, "end": b} for a, b in spans], found))
                 yield pd.concat([batch.drop(columns="text"), pd.DataFrame(out, columns=["n_words", "spans", "items"], index=batch.index)], axis=1)
 
