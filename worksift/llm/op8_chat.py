@@ -26,6 +26,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -66,6 +67,7 @@ def parse(formatted: str) -> tuple[str, str]:
     return unescape(head[len(START) :]), unescape(rest[: -len(END) - 1])
 
 
+@lru_cache(maxsize=2)
 def _encoding(ranks_file: str, pattern: str):
     import tiktoken
 
@@ -118,7 +120,7 @@ def prefix_forest(conversations: DataFrame, ranks_file: str | None = None) -> tu
     texts = texts.withColumns({name: F.xxhash64(F.lit(seed), "role", "text") for seed, name in enumerate(SEGMENT)})
     segments = _tokens(texts.groupBy(*SEGMENT).agg(F.first("role").alias("role"), F.first("text").alias("text")), file, True)
 
-    turns = running_sum(_tokens(texts, file, False), ["conv_id"], ["turn", *SEGMENT], F.lit(1).cast("long"), "idx").drop("turn")
+    turns = running_sum(cut(_tokens(texts, file, False)), ["conv_id"], ["turn", *SEGMENT], F.lit(1).cast("long"), "idx").drop("turn")
 
     def hashed(seed: int):  # 38 bits, so that sums over a conversation don't overflow
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "idx", *SEGMENT), 26)
