@@ -14,7 +14,6 @@ window; repeated items count once by id; repeated documents give a row each; ext
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -97,10 +96,6 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: The searchers of the block that this Python worker used last, by the block's name.
-_READY: dict[str, list[Searcher]] = {}
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its text, with n_words, spans and items: merged hit spans in words, and ids of items that occur.
 
@@ -115,20 +110,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def searched(rows: DataFrame, k: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
-        sent, name = spark.sparkContext.broadcast([(r.item, r.text) for r in part]), uuid.uuid4().hex
+        sent = spark.sparkContext.broadcast({"items": [(r.item, r.text) for r in part]})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from worksift.llm import op4_decontaminate as own  # the worker's module, which outlives this task
-
-            ready = own._READY
-            if name not in ready:
-                ready.clear()
-                ready[name] = searchers(sent.value, window)
+            own = sent.value  # the worker's copy, which outlives this task: its searchers are built once a worker
+            if "searchers" not in own:
+                own["searchers"] = searchers(own["items"], window)
             for batch in batches:
                 out = []
                 for text in batch["text"]:
                     words = words_of_bytes(text)
-                    spans, found = find(words, ready[name])
+                    spans, found = find(words, own["searchers"])
                     out.append((len(words), [{"start": a, "end": b} for a, b in spans], found))
                 yield pd.concat([batch.drop(columns="text"), pd.DataFrame(out, columns=["n_words", "spans", "items"], index=batch.index)], axis=1)
 
