@@ -26,7 +26,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -67,7 +66,6 @@ def parse(formatted: str) -> tuple[str, str]:
     return unescape(head[len(START) :]), unescape(rest[: -len(END) - 1])
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks_file: str, pattern: str):
     import tiktoken
 
