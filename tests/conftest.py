@@ -1,3 +1,4 @@
+import contextlib
 import sys
 import tempfile
 from pathlib import Path
@@ -13,7 +14,8 @@ def spark():
     with tempfile.TemporaryDirectory(prefix="worksift-tests-") as folder:
         conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g"}
         conf |= {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse"}
-        session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+        with contextlib.chdir(folder):  # Python workers start where the JVM did: they find no copy of the package there
+            session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
         session.sparkContext.setLogLevel("OFF")
         yield session
         session.stop()
