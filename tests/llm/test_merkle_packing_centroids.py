@@ -180,7 +180,7 @@ def test_index_equals_bm25():
     held = collections.Counter(t for d in docs for t in set(d.tolist()))
     weights = np.log1p([(50 - held[t] + 0.5) / (held[t] + 0.5) for t in range(packing.VOCABULARY)])
     mean = sum(map(len, docs)) / 50
-    index = packing.Index(docs, weights, mean)
+    index = packing.Index.of(docs, weights, mean)
     for q in docs[:10]:
         want = []
         for d in docs:
@@ -191,6 +191,7 @@ def test_index_equals_bm25():
         used = rng.random(50) < 0.3
         ranked = sorted((i for i in range(50) if not used[i]), key=lambda i: (-scores[i], i))
         assert list(packing.best_unused(scores, used)) == ranked
+        assert np.allclose(index.only(~used).scores(np.unique(q)), scores[~used])
     many = np.repeat([1.0, 2.0], 400)
     assert list(packing.best_unused(many, np.zeros(800, dtype=bool))) == [*range(400, 800), *range(400)]
 

@@ -51,14 +51,17 @@ def _checksum(ids: np.ndarray) -> int:
 
 
 def tokenised(docs: DataFrame, ranks_file: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, doc_tokens, windows, rest, terms): a row for each document.
+    """(doc_id, doc_tokens, windows, leading, rest, terms): a row for each document.
 
-    ``windows`` are its leading full windows (ids_crc32, ids if wanted), ``rest`` the ids after these, ``terms`` its different ids.
+    ``windows`` are the checksums of its leading full windows, ``leading`` the ids of these if wanted, ``rest`` the ids after them,
+    ``terms`` its different ids.
     """
     import public_tokenizers
 
     path, pattern = ranks_file or public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN
-    window = pa.struct([("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def lists(arrays: list, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays), kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -71,12 +74,13 @@ def tokenised(docs: DataFrame, ranks_file: str | None = None, with_ids: bool = F
                 batch = whole.slice(at, BATCH)
                 rows = [np.append(encoding.encode_to_numpy(t.as_py() or "", allowed_special="all"), END_ID).astype(np.int32) for t in batch.column("text")]
                 cuts = [len(r) - len(r) % CAPACITY for r in rows]
-                full = [[{"ids_crc32": _checksum(r[k : k + CAPACITY]), "ids": r[k : k + CAPACITY].tolist() if with_ids else None} for k in range(0, c, CAPACITY)] for r, c in zip(rows, cuts, strict=True)]
-                lists = ([r[c:] for r, c in zip(rows, cuts, strict=True)], [np.unique(r) for r in rows])
-                rest, terms = (pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in lists)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(full, pa.list_(window)), rest, terms], ["doc_id", "doc_tokens", "windows", "rest", "terms"])
+                sums = [np.array([_checksum(r[k : k + CAPACITY]) for k in range(0, c, CAPACITY)], np.int64) for r, c in zip(rows, cuts, strict=True)]
+                leading = [r[:c] if with_ids else r[:0] for r, c in zip(rows, cuts, strict=True)]
+                rest, terms = [r[c:] for r, c in zip(rows, cuts, strict=True)], [np.unique(r) for r in rows]
+                columns = [pa.array([len(r) for r in rows], pa.int64()), lists(sums, pa.int64()), *(lists(x, pa.int32()) for x in (leading, rest, terms))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "doc_tokens", "windows", "leading", "rest", "terms"])
 
-    schema = "doc_id long, doc_tokens long, windows array<struct<ids_crc32: long, ids: array<int>>>, rest array<int>, terms array<int>"
+    schema = "doc_id long, doc_tokens long, windows array<long>, leading array<int>, rest array<int>, terms array<int>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -109,26 +113,44 @@ def near_keys(made: DataFrame, weights: np.ndarray) -> list:
 
 
 class Index:
-    """Inverted BM25 index of a shard's documents, given as their ids."""
+    """Inverted BM25 index: the impact of each (term, document), sorted by term. Terms that many documents hold are rows of a matrix."""
 
-    def __init__(self, docs: list[np.ndarray], weights: np.ndarray, mean: float) -> None:
-        n, self.n = len(docs), len(docs)
-        lengths = np.array([len(d) for d in docs])
-        pairs = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
+    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, n: int) -> None:
+        self.term, self.doc, self.impact, self.n = term, doc, impact, n
+        self.begin = np.searchsorted(term, np.arange(VOCABULARY + 1))
+        self.common = np.flatnonzero(np.diff(self.begin) * 8 > n)
+        self.row = np.full(VOCABULARY, -1)
+        self.row[self.common] = np.arange(len(self.common))
+        self.matrix = np.zeros((len(self.common), n))
+        rows = self.row[term]
+        self.matrix[rows[rows >= 0], doc[rows >= 0]] = impact[rows >= 0]
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray], weights: np.ndarray, mean: float) -> Index:
+        """The index of documents given as their ids."""
+        n, lengths = len(docs), np.array([len(d) for d in docs])
+        pairs = np.concatenate(docs).astype(np.int32) * n + np.repeat(np.arange(n, dtype=np.int32), lengths)  # below 2^31: n <= SHARD_DOCS
         pairs.sort()
         first = np.flatnonzero(np.diff(pairs, prepend=-1))
         count = np.diff(first, append=len(pairs))
-        term, self.doc = np.divmod(pairs[first], n)
-        saturated = count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[self.doc] / mean))
-        self.impact = weights[term] * saturated
-        self.begin = np.searchsorted(term, np.arange(VOCABULARY + 1))
+        term, doc = (x.astype(np.int64) for x in np.divmod(pairs[first], n))
+        return cls(term, doc, weights[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[doc] / mean)), n)
+
+    def only(self, kept: np.ndarray) -> Index:
+        """The index of the documents where ``kept``, numbered anew."""
+        some = kept[self.doc]
+        return Index(self.term[some], (np.cumsum(kept) - 1)[self.doc[some]], self.impact[some], int(kept.sum()))
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """The score of each document for the different ids of ``query``."""
+        rows = self.row[query]
+        asked = np.zeros(len(self.common))
+        asked[rows[rows >= 0]] = 1
+        query = query[rows < 0]
         a, b = self.begin[query], self.begin[query + 1]
         sizes = b - a
         at = np.repeat(a - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.doc[at], weights=self.impact[at], minlength=self.n)
+        return np.bincount(self.doc[at], weights=self.impact[at], minlength=self.n) + asked @ self.matrix
 
 
 def best_unused(scores: np.ndarray, used: np.ndarray) -> Iterator[int]:
@@ -143,8 +165,8 @@ def best_unused(scores: np.ndarray, used: np.ndarray) -> Iterator[int]:
 
 
 def windows_of(docs: list[np.ndarray], index: Index, capacity: int = CAPACITY) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows as lists of (document, from, to); all are full but perhaps the last one."""
-    used, scan, rest = np.zeros(len(docs), dtype=bool), 0, None
+    """Windows as lists of (document, from, to); all are full but perhaps the last one. Used documents leave the index now and then."""
+    names, used, scan, rest = np.arange(len(docs)), np.zeros(len(docs), dtype=bool), 0, None
     while True:
         if rest is None:
             while scan < len(docs) and used[scan]:
@@ -153,7 +175,14 @@ def windows_of(docs: list[np.ndarray], index: Index, capacity: int = CAPACITY) -
                 return
             used[scan], rest = True, (scan, 0, len(docs[scan]))
         window, room, rest = [rest], capacity - (rest[2] - rest[1]), None
-        for other in best_unused(index.scores(np.unique(docs[window[0][0]])), used) if room else ():
+        gone = used[names]
+        if 5 * gone.sum() > len(names):
+            index, names = index.only(~gone), names[~gone]
+            gone = used[names]
+        asked = np.zeros(VOCABULARY, dtype=bool)
+        asked[docs[window[0][0]]] = True
+        for near in best_unused(index.scores(np.flatnonzero(asked)), gone) if room and len(names) else ():
+            other = names[near]
             used[other] = True
             size = len(docs[other])
             window.append((other, 0, min(size, room)))
@@ -200,7 +229,7 @@ def pack_by_retrieval(docs: DataFrame, ranks_file: str | None = None, with_ids:
             nonlocal sequence
             ids = [r[3] for r in shard]
             out, left = [], []
-            for window in windows_of(ids, Index(ids, weights, mean)):
+            for window in windows_of(ids, Index.of(ids, weights, mean)):
                 full = sum(b - a for _, a, b in window) == CAPACITY
                 if not full and not last:
                     left = [(shard[d][0], shard[d][1] + a, shard[d][2], ids[d][a:b]) for d, a, b in window]
@@ -236,9 +265,10 @@ def pack_by_retrieval(docs: DataFrame, ranks_file: str | None = None, with_ids:
     rests = rests.repartitionByRange("near", "row").sortWithinPartitions("near", "row").drop("near", "row")
     schema = PIECE + ", ids array<int>"
     packed = rests.mapInArrow(run, schema)
-    full = made.select("doc_id", "doc_tokens", F.posexplode("windows").alias("k", "w"))
+    full = made.select("doc_id", "doc_tokens", *(["leading"] if with_ids else []), F.posexplode("windows").alias("k", "ids_crc32"))
+    ids = F.slice("leading", F.col("k") * CAPACITY + 1, CAPACITY) if with_ids else F.lit(None).cast("array<int>")
     number = -1 - F.monotonically_increasing_id()  # sequences of one piece each have numbers below zero
-    full = full.select("doc_id", (F.col("k") * F.lit(CAPACITY).cast("long")).alias("start"), F.lit(CAPACITY).cast("long").alias("length"), "w.ids_crc32", "doc_tokens", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "w.ids")
+    full = full.select("doc_id", (F.col("k") * F.lit(CAPACITY).cast("long")).alias("start"), F.lit(CAPACITY).cast("long").alias("length"), "ids_crc32", "doc_tokens", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), ids.alias("ids"))
     out = packed.unionByName(full)
     return out if with_ids else out.drop("ids")
 
