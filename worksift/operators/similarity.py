@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksift.operators.peers import ordered
+from worksift.operators.text_similarity import similar_texts
 from worksift.plans.lineage import cut
 
 #: Least similarity of each class, and least distance level of fingerprints.
@@ -110,40 +111,81 @@ def greedy_heads(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return heads.select("node", F.col("node").alias("head")).unionByName(follows.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head")))
 
 
-def same_text_neighbours(works: DataFrame, k: int = 5) -> DataFrame:
-    """(a, b) for works with one description in a block (state and category): each lists its ``k`` nearest by amount.
+#: What a work must share with another to be compared with it.
+BLOCK = ["state_name", "activity_category"]
 
-    Equal texts are equally similar, so the amount tells which are nearest; ties go to the smaller reference. A pair is kept
-    if its smaller end lists the larger. Works are numbered by amount, and meet those up to ``k`` places away, so the table grows with
-    the works, not with the square of a text's share.
+
+def by_amount(works: DataFrame) -> DataFrame:
+    """(block, work_description, work_ref, recommended_amount, _r): works with one description in a block, numbered by amount and reference.
+
+    No window spans a description: amounts are counted first, and only works with one amount are numbered together.
     """
-    keys = ["state_name", "activity_category", "work_description"]
+    keys = [*BLOCK, "work_description"]
     rows = cut(works.where("work_description is not null and recommended_amount is not null").select(*keys, "work_ref", "recommended_amount"))
     counts = rows.groupBy(*keys, "recommended_amount").agg(F.count("*").alias("c"))
     before = ordered(counts, keys, "recommended_amount").select(*keys, "recommended_amount", "before")
     inside = F.row_number().over(Window.partitionBy(*keys, "recommended_amount").orderBy("work_ref"))
-    rows = cut(rows.withColumn("_i", inside).join(before, [*keys, "recommended_amount"]).withColumn("_r", F.col("before") + F.col("_i")).drop("before", "_i"))
+    return cut(rows.withColumn("_i", inside).join(before, [*keys, "recommended_amount"]).withColumn("_r", F.col("before") + F.col("_i")).drop("before", "_i"))
+
+
+def _listed(met: DataFrame, k: int) -> DataFrame:
+    """(a, b, similarity): of the works y that x met, the ``k`` most similar, then nearest in amount, where x is the smaller one."""
+    order = [F.desc("similarity"), F.abs(F.col("ax") - F.col("ay")), F.col("y")]
+    listed = met.withColumn("_n", F.row_number().over(Window.partitionBy("x").orderBy(*order))).where(F.col("_n") <= k)
+    return listed.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+
+
+def same_text_neighbours(numbered: DataFrame, k: int = 5) -> DataFrame:
+    """(a, b, similarity 1) for works with one description in a block: each lists its ``k`` nearest by amount.
+
+    Equal texts are equally similar, so the amount tells which are nearest; ties go to the smaller reference. A pair is kept
+    if its smaller end lists the larger. Works of ``by_amount`` meet those up to ``k`` places away, so the table grows with
+    the works, not with the square of a text's share.
+    """
+    keys = [*BLOCK, "work_description"]
     near = F.explode(F.array(*(F.col("_r") + d for d in range(-k, k + 1) if d)))
-    asked = rows.select(*keys, F.col("work_ref").alias("x"), F.col("recommended_amount").alias("ax"), near.alias("_r"))
-    met = asked.join(rows.select(*keys, F.col("work_ref").alias("y"), F.col("recommended_amount").alias("ay"), "_r"), [*keys, "_r"])
-    listed = met.withColumn("_n", F.row_number().over(Window.partitionBy("x").orderBy(F.abs(F.col("ax") - F.col("ay")), "y"))).where(F.col("_n") <= k)
-    return listed.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    asked = numbered.select(*keys, F.col("work_ref").alias("x"), F.col("recommended_amount").alias("ax"), near.alias("_r"))
+    met = asked.join(numbered.select(*keys, F.col("work_ref").alias("y"), F.col("recommended_amount").alias("ay"), "_r"), [*keys, "_r"])
+    return _listed(met.withColumn("similarity", F.lit(1.0)), k)
+
+
+def similar_text_neighbours(numbered: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+    """(a, b, similarity) for works of a block with similar descriptions ``texts`` (text_a, text_b, similarity): each lists ``k``.
+
+    A work takes its place among the amounts of each similar description and meets the ``k`` works below it and the ``k`` from it
+    on, so a pair of descriptions that many works share costs as many rows as there are works. Places come from counts of
+    amounts; no window spans a description.
+    """
+    texts = texts.where("text_a <> text_b")
+    both = texts.unionByName(texts.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "similarity"))
+    pair = [*BLOCK, "text_a", "text_b"]
+    counts = numbered.groupBy(*BLOCK, F.col("work_description").alias("text"), F.col("recommended_amount").alias("amount")).agg(F.count("*").alias("c"))
+    shared = counts.select(*BLOCK, F.col("text").alias("text_b")).distinct()
+    asking = counts.withColumnRenamed("text", "text_a").join(both, "text_a").join(shared, [*BLOCK, "text_b"]).select(*pair, "amount", "similarity", F.lit(0).cast("long").alias("c"))
+    asking = cut(asking)
+    there = counts.withColumnRenamed("text", "text_b").join(both.select("text_a", "text_b"), "text_b").select(*pair, "amount", "c")
+    all_ = asking.select(*pair, "amount", "c").unionByName(there).groupBy(*pair, "amount").agg(F.sum("c").alias("c"))
+    places = ordered(all_, pair, "amount").select(*pair, "amount", "before")
+    places = asking.drop("c").join(places, [*pair, "amount"])
+    x = numbered.select(*BLOCK, F.col("work_description").alias("text_a"), F.col("recommended_amount").alias("amount"), F.col("work_ref").alias("x"))
+    near = F.explode(F.sequence(F.col("before") - (k - 1), F.col("before") + k)).alias("_r")
+    asked = x.join(places, [*BLOCK, "text_a", "amount"]).select(*BLOCK, "text_b", "similarity", "x", F.col("amount").alias("ax"), near)
+    y = numbered.select(*BLOCK, F.col("work_description").alias("text_b"), F.col("work_ref").alias("y"), F.col("recommended_amount").alias("ay"), "_r")
+    return _listed(asked.join(y, [*BLOCK, "text_b", "_r"]), k)
 
 
 def work_pairs(works: DataFrame, texts: DataFrame | None = None, k: int = 5) -> DataFrame:
     """The pair table: similarity, class, relation flags, amounts and an explanation, for near-identical works of a block.
 
-    ``texts`` (text_a, text_b, similarity) may add pairs of similar descriptions; for these the works of both are compared.
+    A work lists ``k`` works with its description and ``k`` with similar ones. ``texts`` (text_a, text_b, similarity) are the similar
+    descriptions; if they aren't given they are found by their words.
     """
-    works = cut(works.select("work_ref", "state_name", "activity_category", "implementing_agency", "constituency", "recommended_amount", "mp_name", "work_description"))
+    works = cut(works.select("work_ref", *BLOCK, "implementing_agency", "constituency", "recommended_amount", "mp_name", "work_description"))
+    if texts is None:
+        texts = similar_texts(works, BLOCK, "work_description", CLASSES[-1][1])
+    texts, numbered = cut(texts), by_amount(works)
     ends = [works.select(F.col("work_ref").alias(e), *(F.col(c).alias(f"{n}_{e}") for c, n in (("state_name", "state"), ("activity_category", "category"), ("implementing_agency", "agency"), ("constituency", "constituency"), ("recommended_amount", "amount"), ("mp_name", "mp"), ("work_description", "description")))) for e in "ab"]
-    pairs = same_text_neighbours(works, k).withColumn("similarity", F.lit(1.0))
-    if texts is not None:
-        x, y = (works.select(F.col("work_ref").alias(n), F.col("work_description").alias(f"text_{e}"), "state_name", "activity_category", F.col("recommended_amount").alias(f"m_{n}")) for n, e in (("x", "a"), ("y", "b")))
-        met = texts.where("text_a <> text_b").join(x, "text_a").join(y, ["text_b", "state_name", "activity_category"])
-        listed = [F.row_number().over(Window.partitionBy(e).orderBy(F.desc("similarity"), F.abs(F.col("m_x") - F.col("m_y")), o)) <= k for e, o in (("x", "y"), ("y", "x"))]
-        met = met.withColumns({"_x": listed[0], "_y": listed[1]}).where(F.when(F.col("x") < F.col("y"), F.col("_x")).otherwise(F.col("_y")))
-        pairs = pairs.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    pairs = same_text_neighbours(numbered, k).unionByName(similar_text_neighbours(numbered, texts, k))
     out = pairs.join(ends[0], "a").join(ends[1], "b")
     same = {n: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False)) for n, c in (("same_agency", "agency"), ("same_constituency", "constituency"), ("identical_text", "description"), ("same_mp", "mp"))}
     out = out.withColumns({"classification": classify(F.col("similarity")), **same})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from worksift.config import CONFIG
 from worksift.functions import text as tx
 from worksift.operators import fusion, models, peers, series, similarity, validation
+from worksift.operators.text_similarity import similar_texts
 from worksift.plans import search
 from worksift.plans.lineage import cut, shared_folder
 from worksift.plans.scored import FEATURES_SQL, KM_SQL, PAIRS_SQL, SCORED_SQL, YEARS_SQL, compared, featured, modelled, peers_sql, score, scored, stored_full, stored_scored
@@ -527,28 +528,38 @@ def _work_pairs(spark, sf_dir):
     return pairs.withColumn("concerning", similarity.concerning(pairs))
 
 
-@query(f"WITH {FEATURES_SQL} {PAIRS_SQL} SELECT a, b, 1.0::DOUBLE AS similarity, 'EXACT' AS classification, same_agency, same_constituency, same_mp, true AS identical_text, round(ax, 2) AS amount_a, round(ay, 2) AS amount_b, concerning FROM wp")
+@query(f"""WITH {FEATURES_SQL} {PAIRS_SQL}
+SELECT a, b, similarity, classification, same_agency, same_constituency, same_mp, identical_text, round(ax, 2) AS amount_a, round(ay, 2) AS amount_b, concerning FROM wp""")
 def b24_f5_concerning_pairs(spark, sf_dir):
     """The pair table, most similar and most closely related first, with the concerning predicate."""
     pairs = _work_pairs(spark, sf_dir).orderBy(F.desc("similarity"), F.desc("same_agency"), F.desc("same_constituency"), "a", "b")
     return pairs.select("a", "b", "similarity", "classification", "same_agency", "same_constituency", "same_mp", "identical_text", r("amount_a", 2), r("amount_b", 2), "concerning")
 
 
-@query(f"WITH {FEATURES_SQL} {PAIRS_SQL}, p AS (SELECT wp.*, state_name FROM wp JOIN feat ON a = work_ref) SELECT state_name, 'EXACT' AS classification, count(*) AS pairs, count_if(same_agency) AS same_agency, count(*) AS identical_text, count_if(concerning) AS concerning FROM p GROUP BY state_name")
+@query(f"""WITH {FEATURES_SQL} {PAIRS_SQL}
+SELECT state_name, classification, count(*) AS pairs, count_if(same_agency) AS same_agency, count_if(identical_text) AS identical_text, count_if(concerning) AS concerning
+FROM wp GROUP BY state_name, classification""")
 def d7_work_pair_summary(spark, sf_dir):
     """Pairs by state and class: same agency, identical text, concerning."""
     pairs = _work_pairs(spark, sf_dir).groupBy(F.col("state_a").alias("state_name"), "classification")
     return pairs.agg(F.count("*").alias("pairs"), F.count_if("same_agency").alias("same_agency"), F.count_if("identical_text").alias("identical_text"), F.count_if("concerning").alias("concerning"))
 
 
-@query(f"WITH {FEATURES_SQL} {PAIRS_SQL}, p AS (SELECT wp.*, state_name FROM wp JOIN feat ON a = work_ref) SELECT a, b, round(ax, 2) AS amount_a, round(ay, 2) AS amount_b FROM p WHERE concerning AND state_name = 'NATION_7' ORDER BY a, b LIMIT 100")
+@query(f"""WITH {FEATURES_SQL} {PAIRS_SQL}
+SELECT a, b, round(ax, 2) AS amount_a, round(ay, 2) AS amount_b FROM wp WHERE concerning AND classification = 'EXACT' AND state_name = 'NATION_7' ORDER BY a, b LIMIT 100""")
 def b23_pairs_of_state(spark, sf_dir):
     """Concerning exact pairs of a state: the first hundred."""
     pairs = search.pairs(_work_pairs(spark, sf_dir), state="NATION_7", classification="EXACT", concerning=True)
     return pairs.orderBy("a", "b").limit(100).select("a", "b", r("amount_a", 2), r("amount_b", 2))
 
 
-@query(f"WITH {FEATURES_SQL} {PAIRS_SQL} SELECT work_ref, 1.0::DOUBLE AS duplicate_similarity, duplicate_partner FROM ds")
+@query(f"WITH {FEATURES_SQL} {PAIRS_SQL} SELECT t1 AS text_a, t2 AS text_b, s AS similarity FROM ts")
+def c6_similar_descriptions(spark, sf_dir):
+    """Different descriptions of a state and category with a cosine of 0.86 and more, of TF-IDF vectors."""
+    return similar_texts(featured(spark, sf_dir), similarity.BLOCK, "work_description")
+
+
+@query(f"WITH {FEATURES_SQL} {PAIRS_SQL} SELECT work_ref, duplicate_similarity, duplicate_partner FROM ds")
 def c7_duplicate_signal(spark, sf_dir):
     return similarity.duplicate_signal(featured(spark, sf_dir))
 

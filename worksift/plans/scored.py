@@ -121,15 +121,43 @@ kd AS (SELECT activity_category, duration_days, sum(event_observed) AS d, count(
 kr AS (SELECT *, sum(n) OVER (PARTITION BY activity_category ORDER BY duration_days DESC) AS at_risk FROM kd),
 km AS (SELECT activity_category, CASE WHEN max((d = at_risk)::INT) = 1 THEN 1.0 ELSE 1 - exp(sum(CASE WHEN d = at_risk THEN 0 ELSE ln(1 - d / at_risk) END)) END AS km_risk FROM kr WHERE duration_days <= 365 GROUP BY activity_category)"""
 
-PAIRS_SQL = """,
-dr AS (SELECT work_ref, state_name, activity_category, work_description, implementing_agency, constituency, mp_name, recommended_amount AS amt,
-    row_number() OVER (PARTITION BY state_name, activity_category, work_description ORDER BY recommended_amount, work_ref) AS r FROM feat WHERE work_description IS NOT NULL AND recommended_amount IS NOT NULL),
+#: Similar descriptions by brute force, the works that meet, and each work's best concerning pair.
+PAIRS_SQL = r""",
+tt AS (SELECT DISTINCT work_description AS t FROM feat WHERE work_description IS NOT NULL),
+tk AS MATERIALIZED (
+  SELECT t, word, count(*) AS tf FROM (SELECT t, unnest(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS word FROM tt) GROUP BY ALL),
+td AS (SELECT word, ln((1 + (SELECT count(*) FROM tt)) / (1 + count(*))) + 1 AS idf FROM tk GROUP BY word),
+tv AS MATERIALIZED (SELECT t, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w FROM tk JOIN td USING (word)),
+tb AS MATERIALIZED (SELECT DISTINCT state_name, activity_category, work_description AS t FROM feat),
+tp AS MATERIALIZED (SELECT DISTINCT x.t AS t1, y.t AS t2 FROM tb x JOIN tb y ON x.state_name = y.state_name AND x.activity_category = y.activity_category AND x.t < y.t),
+tx AS MATERIALIZED (SELECT t1, t2, word, w FROM tp JOIN tv ON t = t1),
+ts AS MATERIALIZED (SELECT t1, t2, round(sum(tx.w * tv.w), 4) AS s FROM tx JOIN tv ON tv.t = t2 AND tv.word = tx.word GROUP BY ALL HAVING round(sum(tx.w * tv.w), 4) >= 0.86),
+dr AS MATERIALIZED (
+  SELECT work_ref, state_name, activity_category, work_description, implementing_agency, constituency, mp_name, recommended_amount AS amt,
+    row_number() OVER (PARTITION BY state_name, activity_category, work_description ORDER BY recommended_amount, work_ref) AS r
+  FROM feat WHERE work_description IS NOT NULL AND recommended_amount IS NOT NULL),
+met AS (
+  SELECT x.work_ref AS a, y.work_ref AS b, 1.0::DOUBLE AS s, abs(x.amt - y.amt) AS gap
+  FROM dr x JOIN dr y ON x.state_name = y.state_name AND x.activity_category = y.activity_category AND x.work_description = y.work_description AND x.r <> y.r AND y.r BETWEEN x.r - 5 AND x.r + 5),
+tq AS (SELECT t1, t2, s FROM ts UNION ALL SELECT t2, t1, s FROM ts),
+pos AS MATERIALIZED (
+  SELECT x.work_ref, q.t2, q.s, x.amt, x.state_name, x.activity_category, count(y.work_ref) FILTER (y.amt < x.amt) AS below
+  FROM dr x JOIN tq q ON q.t1 = x.work_description JOIN dr y ON y.state_name = x.state_name AND y.activity_category = x.activity_category AND y.work_description = q.t2 GROUP BY ALL),
+met2 AS (
+  SELECT p.work_ref AS a, y.work_ref AS b, p.s, abs(p.amt - y.amt) AS gap
+  FROM pos p JOIN dr y ON y.state_name = p.state_name AND y.activity_category = p.activity_category AND y.work_description = p.t2 AND y.r BETWEEN p.below - 4 AND p.below + 5),
 dl AS (
-  SELECT a.work_ref AS a, b.work_ref AS b, a.amt AS ax, b.amt AS ay, a.implementing_agency = b.implementing_agency AS same_agency, a.constituency = b.constituency AS same_constituency, a.mp_name = b.mp_name AS same_mp,
-    row_number() OVER (PARTITION BY a.work_ref ORDER BY abs(a.amt - b.amt), b.work_ref) AS n
-  FROM dr a JOIN dr b ON a.state_name = b.state_name AND a.activity_category = b.activity_category AND a.work_description = b.work_description AND a.r <> b.r AND b.r BETWEEN a.r - 5 AND a.r + 5),
-wp AS (SELECT *, same_agency AND abs(ax - ay) <= 0.02 * greatest(abs(ax), abs(ay), 1.0) AS concerning FROM dl WHERE n <= 5 AND a < b),
-ds AS (SELECT work_ref, min(partner) AS duplicate_partner FROM (SELECT a AS work_ref, b AS partner FROM wp WHERE concerning UNION ALL SELECT b, a FROM wp WHERE concerning) GROUP BY work_ref)"""
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY gap, b) AS n FROM met
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, gap, b) AS n FROM met2),
+wp AS MATERIALIZED (
+  SELECT d.a, d.b, d.s AS similarity, x.amt AS ax, y.amt AS ay, x.state_name, x.implementing_agency = y.implementing_agency AS same_agency, x.constituency = y.constituency AS same_constituency,
+    x.mp_name = y.mp_name AS same_mp, x.work_description = y.work_description AS identical_text,
+    CASE WHEN d.s >= 0.995 THEN 'EXACT' WHEN d.s >= 0.97 THEN 'NEAR_EXACT' WHEN d.s >= 0.92 THEN 'HIGH_SIMILARITY' ELSE 'POSSIBLE_REPEAT' END AS classification,
+    d.s >= 0.97 AND x.implementing_agency = y.implementing_agency AND abs(x.amt - y.amt) <= 0.02 * greatest(abs(x.amt), abs(y.amt), 1.0) AS concerning
+  FROM dl d JOIN dr x ON x.work_ref = d.a JOIN dr y ON y.work_ref = d.b WHERE d.n <= 5 AND d.a < d.b),
+ds AS (
+  SELECT work_ref, max(similarity) AS duplicate_similarity, arg_min(partner, (-similarity, partner)) AS duplicate_partner
+  FROM (SELECT a AS work_ref, b AS partner, similarity FROM wp WHERE concerning UNION ALL SELECT b, a, similarity FROM wp WHERE concerning) GROUP BY work_ref)"""
 
 SCORED_SQL = (
     peers_sql()
@@ -138,7 +166,7 @@ SCORED_SQL = (
     + PAIRS_SQL
     + """,
 base AS (
-  SELECT p.*, (ds.work_ref IS NOT NULL)::INT::DOUBLE AS s7, coalesce(cp.change_point, 0) AS change_point, CASE WHEN is_completed THEN 0 ELSE least(greatest(coalesce(km_risk, 0), 0), 1) END AS risk_score
+  SELECT p.*, coalesce(ds.duplicate_similarity, 0) AS s7, coalesce(cp.change_point, 0) AS change_point, CASE WHEN is_completed THEN 0 ELSE least(greatest(coalesce(km_risk, 0), 0), 1) END AS risk_score
   FROM peers p LEFT JOIN cp USING (implementing_agency) LEFT JOIN km USING (activity_category) LEFT JOIN ds ON ds.work_ref = p.work_ref),
 checks AS (
   SELECT *, completed_without_sanction AS c1, is_backdated AS c2, is_future_dated AS c3, is_orphan AS c4, has_nonpositive_amount AS c5, work_description IS NULL AS c6,

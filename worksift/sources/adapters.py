@@ -18,6 +18,8 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = orders.agg(F.max("day").alias("snapshot"))  # one row
     done, sanctioned = F.col("o_orderstatus") == "F", F.col("shipped").isNotNull()
     completed_on = F.when(done, F.col("shipped"))
+    key = F.col("o_orderkey")
+    variants = [F.lit(", phase "), (key % 4 + 1).cast("string"), F.when(key % 3 == 0, " revised").otherwise(""), F.when(key % 5 == 0, " with second stage").otherwise("")]
     activity = F.concat(F.lit("WS/MP"), F.col("o_custkey").cast("string"), F.lit("/"), F.year("day").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("-"), "o_orderpriority")
     return (
         orders.join(people, "o_custkey").join(shipped, "o_orderkey", "left").crossJoin(F.broadcast(anchor))
@@ -25,7 +27,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("MP"), F.col("o_custkey").cast("string"), F.lit("-W"), F.col("o_orderkey").cast("string")).alias("work_ref"),
             F.col("o_custkey").alias("mp_id"), F.col("c_name").alias("mp_name"), F.col("n_name").alias("state_name"), F.col("c_mktsegment").alias("constituency"),
             F.concat("n_name", F.lit("/"), "c_mktsegment").alias("implementing_agency"), activity.alias("activity_name"),
-            F.concat("o_orderpriority", F.lit(" for "), "c_mktsegment", F.lit(" in "), "n_name").alias("work_description"),
+            F.concat("o_orderpriority", F.lit(" for "), "c_mktsegment", F.lit(" in "), "n_name", *variants).alias("work_description"),
             F.col("day").alias("recommendation_date"), F.col("o_totalprice").alias("recommended_amount"), sanctioned.alias("is_sanctioned"), done.alias("is_completed"),
             completed_on.alias("completion_date"), "snapshot",
             F.lit(False).alias("is_orphan"), F.coalesce(F.col("o_totalprice") <= 0, F.lit(False)).alias("has_nonpositive_amount"),
@@ -59,7 +61,8 @@ shipped AS (SELECT l_orderkey, max(l_shipdate)::DATE AS shipped FROM lineitem GR
 works AS (
   SELECT 'MP' || o_custkey || '-W' || o_orderkey AS work_ref, o_custkey AS mp_id, c_name AS mp_name, n_name AS state_name, c_mktsegment AS constituency,
     n_name || '/' || c_mktsegment AS implementing_agency, 'WS/MP' || o_custkey || '/' || year(o_orderdate) || '/' || o_orderkey || '-' || o_orderpriority AS activity_name,
-    o_orderpriority || ' for ' || c_mktsegment || ' in ' || n_name AS work_description, o_orderdate::DATE AS recommendation_date, o_totalprice AS recommended_amount,
+    o_orderpriority || ' for ' || c_mktsegment || ' in ' || n_name || ', phase ' || (o_orderkey % 4 + 1) || CASE WHEN o_orderkey % 3 = 0 THEN ' revised' ELSE '' END
+      || CASE WHEN o_orderkey % 5 = 0 THEN ' with second stage' ELSE '' END AS work_description, o_orderdate::DATE AS recommendation_date, o_totalprice AS recommended_amount,
     shipped IS NOT NULL AS is_sanctioned, o_orderstatus = 'F' AS is_completed, CASE WHEN o_orderstatus = 'F' THEN shipped END AS completion_date, snapshot, false AS is_orphan,
     coalesce(o_totalprice <= 0, false) AS has_nonpositive_amount, coalesce(o_orderstatus = 'F' AND shipped < o_orderdate::DATE, false) AS is_backdated,
     coalesce(o_orderstatus = 'F' AND shipped > snapshot, false) AS is_future_dated, o_orderstatus = 'F' AND shipped IS NULL AS completed_without_sanction
