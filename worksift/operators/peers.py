@@ -48,6 +48,12 @@ def quantile(value: str, p: float) -> Column:
     return low + (high - low) * F.max(at - F.floor(at))
 
 
+def medians(rows: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+    """(keys, out): the exact median of each group's values that aren't null, from counts of values; ``keys`` may be empty."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c"))
+    return ordered(counts.withColumn("_whole", F.lit(0)), [*keys, "_whole"], column).groupBy(*keys).agg(quantile(column, 0.5).alias(out))
+
+
 def percentiles(rows: DataFrame, column: str, keys: list[str], out: str) -> DataFrame:
     """(keys, column, out): leave-one-out percentile of each value among the rows with the same ``keys``.
 

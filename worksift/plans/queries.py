@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from worksift.config import CONFIG
 from worksift.functions import text as tx
-from worksift.operators import fusion, models, peers, series, similarity, validation
+from worksift.operators import archetypes, fusion, model_store, models, peers, series, similarity, validation
 from worksift.operators.text_similarity import similar_texts
 from worksift.plans import search
 from worksift.plans.lineage import cut, shared_folder
-from worksift.plans.scored import FEATURES_SQL, KM_SQL, PAIRS_SQL, SCORED_SQL, YEARS_SQL, compared, featured, modelled, peers_sql, score, scored, stored_full, stored_scored
+from worksift.plans.scored import FEATURES_SQL, KM_SQL, PAIRS_SQL, SCORED_SQL, YEARS_SQL, compared, featured, peers_sql, score_full, scored, stored_full, stored_models, stored_scored
 from worksift.sources import ingest
 from worksift.sources.adapters import WORKS_SQL, raw_stages, table, verification, works
 from worksift.streaming import live
@@ -758,13 +758,47 @@ def m8_isolation_forest(spark, sf_dir):
     return models.isolation_forest(rows, "work_ref", ["log_amount", "age"])
 
 
+@query()
+def m1_m3_archetype_catalog(spark, sf_dir):
+    """Archetypes learnt from the descriptions: label, note, terms and size of each."""
+    return stored_models(spark, sf_dir).archetypes.catalog
+
+
+@query()
+def c3_c4_learnt_archetypes(spark, sf_dir):
+    """Works with the archetype that their description was assigned to."""
+    learnt = stored_models(spark, sf_dir).archetypes
+    return peers.add_archetypes(works(spark, sf_dir), learnt.assigned, learnt.catalog).select("work_ref", "work_description", "archetype_id", "archetype_label")
+
+
+@query()
+def d3_learnt_profiles(spark, sf_dir):
+    """A profile of each learnt archetype over the served portfolio."""
+    return archetypes.profiles(stored_full(spark, sf_dir))
+
+
+@query()
+def m4_b26_learnt_frame(spark, sf_dir):
+    """Design rows of the Cox model: dummies of the most frequent states and learnt archetypes."""
+    fitted = stored_models(spark, sf_dir)
+    rows = peers.add_archetypes(featured(spark, sf_dir), fitted.archetypes.assigned, fitted.archetypes.catalog)
+    return models.design(rows, fitted.cox.median, fitted.cox.levels)[0]
+
+
+@query()
+def a10_stored_models(spark, sf_dir):
+    """Archetype, risk and outlier flag of every work by models that are loaded from the store; nothing is fitted."""
+    named, risk, anomaly = model_store.apply(stored_models(spark, sf_dir), works(spark, sf_dir))
+    return named.select("work_ref", "archetype_id", "archetype_label").join(risk, "work_ref", "left").join(anomaly, "work_ref", "left")
+
+
 @query()
 def v1_v5_validation(spark, sf_dir):
-    """Plant anomalies in quiet works, rescore, and measure."""
-    base = cut(works(spark, sf_dir))
-    before = cut(score(base).select("work_ref", "band", "is_open", "recommended_amount", "recommendation_date"))
+    """Plant anomalies in quiet works, rescore with all seven signals, and measure (V1-V5, G5). The models stay as they were fitted."""
+    base, fitted = cut(works(spark, sf_dir)), stored_models(spark, sf_dir)
+    before = stored_full(spark, sf_dir).select("work_ref", "band", "is_open", "recommended_amount", "recommendation_date")
     planted, truth = validation.inject(before, base)
-    after = cut(score(cut(planted)).select("work_ref", "band", "audit_roi", "priority"))
+    after = cut(score_full(cut(planted), fitted).select("work_ref", "band", "audit_roi", "priority"))
     return validation.evaluate(after, cut(truth))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.operators import fusion, models, peers, series, similarity
+from worksift.operators import fusion, model_store, peers, series, similarity
 from worksift.plans.lineage import cut, shared_folder, small
 from worksift.sources.adapters import WORKS_SQL, works
 
@@ -59,18 +59,25 @@ def stored_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "scored", lambda: scored(spark, sf_dir))
 
 
-def modelled(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(risk, anomaly): a Cox model fitted on works that aren't held out, and an isolation forest, both over all works."""
-    rows = cut(peers.add_features(peers.add_category(base)))
-    frame, covariates = models.survival_frame(rows)
-    risk = models.cox_risk(cut(frame), covariates, fitted=~models.held_out())
-    ages = rows.select("work_ref", "log_amount", F.coalesce("duration_days", F.lit(0.0)).alias("age"))
-    return cut(risk.select("work_ref", "cox_risk")), cut(models.isolation_forest(ages, "work_ref", ["log_amount", "age"]).select("work_ref", "anomaly_flag"))
+def stored_models(spark: SparkSession, sf_dir: str) -> model_store.Models:
+    """Archetypes, Cox model and forest of the works: fitted and stored once a session, and always loaded from the store."""
+    key = (spark.sparkContext.applicationId, sf_dir, "models")
+    if key not in _STORED:
+        path = shared_folder(spark)
+        model_store.save(spark, model_store.train(cut(works(spark, sf_dir))), path)
+        _STORED[key] = (path, None)
+    return model_store.load(spark, _STORED[key][0])
+
+
+def score_full(base: DataFrame, fitted: model_store.Models) -> DataFrame:
+    """All seven signals by fitted models, with each work's archetype."""
+    named, risk, anomaly = model_store.apply(fitted, base)
+    return score(named, risk, anomaly)
 
 
 def stored_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The portfolio scored with both models, as a stored table."""
-    return _stored(spark, sf_dir, "full", lambda: score(works(spark, sf_dir), *modelled(works(spark, sf_dir))))
+    """The portfolio scored with the models, with its archetypes, as a stored table."""
+    return _stored(spark, sf_dir, "full", lambda: score_full(works(spark, sf_dir), stored_models(spark, sf_dir)))
 
 
 def forget(sf_dir: str) -> None:
