@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worksift.operators import metric_index
 from worksift.operators.peers import ordered
 from worksift.operators.text_similarity import similar_texts
 from worksift.plans.lineage import cut
@@ -39,14 +40,9 @@ def classify(similarity: Column) -> Column:
 def neighbours(vectors: DataFrame, block: list[str], key: str, k: int = 5, least: float = 0.86, vector: str = "vector") -> DataFrame:
     """(a, b, similarity) with a < b: pairs within a block where the smaller lists the larger among its ``k`` nearest.
 
-    The work grows with the square of a block; blocks are the caller's bound on it, as in the reference semantics.
+    Exact: a vector is compared with the cells that the bisector bound leaves, see ``metric_index``.
     """
-    unit = normalise(vectors, vector)
-    left = unit.select(*block, F.col(key).alias("x"), F.col(vector).alias("vx"))
-    right = unit.select(*block, F.col(key).alias("y"), F.col(vector).alias("vy"))
-    pairs = left.join(right, block).where("x <> y").select(*block, "x", "y", F.round(dot(F.col("vx"), F.col("vy")), 4).alias("similarity")).where(F.col("similarity") >= least)
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "y"))).where(F.col("_r") <= k)
-    return near.where("x < y").select(*block, F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+    return metric_index.nearest(normalise(vectors, vector), block, key, vector, k, least)
 
 
 def concerning(pairs: DataFrame, least: float = 0.97) -> Column:
