@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -178,6 +179,28 @@ def test_warc_responses_keep_what_they_state(spark, tmp_path):
             assert block.decode() == op2_warc.read_page(bodies[k].decode("latin-1"))[0] and (k or block.decode().startswith("café"))
 
 
+def test_warc_files_are_read_in_one_pass(spark, tmp_path):
+    """100,000 small gzip members in one file, a plain file, zeros between members, a block that compresses a thousandfold, cut-off files."""
+    record = lambda k, block: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    with open(tmp_path / "in" / "many.warc.gz", "wb") as out:
+        for k in range(100_000):
+            out.write(gzip.compress(record(k, b"block %d\r\n\r\nWARC/1.1" % k), 1) + b"\0" * (k % 3))
+    (tmp_path / "in" / "plain.warc").write_bytes(b"".join(record(f"p{k}", b"x" * k) for k in range(3000)))
+    (tmp_path / "in" / "wide.warc.gz").write_bytes(gzip.compress(record("w", b"y" * (60 << 20)) + b"".join(record(f"w{k}", b"") for k in range(20_000))))
+    start = time.perf_counter()
+    got = op2_warc.read_warc(spark, str(tmp_path / "in")).select("record_id", F.length("block").alias("n"), F.md5("block").alias("h"))
+    rows = {r.record_id: (r.n, r.h) for r in got.collect()}
+    assert time.perf_counter() - start < 60 and len(rows) == 100_000 + 3000 + 20_001
+    assert rows["r:w"][0] == 60 << 20 and all(rows[f"r:p{k}"][0] == k for k in range(3000))
+    assert all(rows[f"r:{k}"][1] == hashlib.md5(b"block %d\r\n\r\nWARC/1.1" % k).hexdigest() for k in range(0, 100_000, 997))
+    whole = gzip.compress(record(1, b"abc"))
+    for odd_ in (whole[:-9], gzip.compress(record(1, b"abc")[:-6]), b"no record"):
+        with pytest.raises(ValueError):
+            list(op2_warc.records_of(op2_warc.inflated(io.BytesIO(odd_))))
+    assert list(op2_warc.records_of(op2_warc.inflated(io.BytesIO(b"")))) == []
+
+
 def test_secrets_and_ledger(spark, odd):
     text = "é api_key = 'abcdef' secret: token: abcdefgh PASSWORD=xyz AKIA" + "A1" * 8 + " " + "0f" * 12 + " AKIASHORT token=" + "ab" * 12
     history = frame(spark, [(1, text), (2, text), (3, "new"), (4, None)])
@@ -345,6 +368,15 @@ def test_quality(spark, odd, monkeypatch):
     assert alone.count() == len(ODD) and alone.where("kept = base_failed").count() == 0 and op6_quality.quality(odd.limit(0), empty).count() == 0
 
 
+def test_every_language_has_its_reference(spark):
+    """Twenty-five languages of forty documents each; in each one document in the words of the next language."""
+    rng = random.Random(8)
+    rows = [(100 * n + k, " ".join(rng.choices([f"{chr(97 + (n + (k == 50)) % 25)}q{i}" for i in range(40)], k=120)), f"l{n}") for n in range(25) for k in range(51)]
+    good = [(d, 1) for d, _, _ in rows if d % 100 < 50]
+    got = op6_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(good, "doc_id long, quality int")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {100 * n + 50 for n in range(25)}
+
+
 def test_js_distance(spark):
     a, b = np.array([3.0, 1, 0]), np.array([1.0, 1, 2])
     p, q = a / a.sum(), b / b.sum()

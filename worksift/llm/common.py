@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from worksift.plans.lineage import shared_folder
+
 #: ASCII white space, as a Java regular expression: space and \t..\r.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Keys of a skew-safe join that are broadcast, at most; short rows each.
@@ -33,17 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one below the warehouse, which executors share.
-
-    A folder of our own on the local disk is removed when the driver's Python ends.
-    """
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one of our own, see ``lineage.shared_folder``."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        path = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_worksift_{uuid.uuid4().hex}"
-        context.setCheckpointDir(path)
-        if named is None and path.startswith("file:"):
-            atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
     return context.getCheckpointDir()
 
 

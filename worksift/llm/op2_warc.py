@@ -20,10 +20,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -36,6 +37,8 @@ HIDDEN = {"script", "style", "noscript", "template", "title"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CRLF = "\r\n"
 DATE = "1970-01-01T00:00:00Z"
+#: Schemes of stores that a reading task opens itself, and bytes of records that it hands on at once, about.
+STREAMED, BATCH_BYTES = ("", "file", "s3", "s3a", "gs"), 8 << 20
 
 
 class _Page(HTMLParser):
@@ -198,43 +201,94 @@ def write_warc(records: DataFrame, folder: str) -> int:
     return records.select("header", F.col("block").cast("binary").alias("block")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, or a plain file as one."""
-    while data:
-        if data[:2] != b"\x1f\x8b":
+def inflated(stream, size: int = 1 << 14) -> Iterator[bytes]:
+    """The plain bytes of a file, in pieces: a chain of gzip members, perhaps with zeros between them, or what isn't compressed at all."""
+    member, plain = None, None
+    while data := stream.read(size):
+        if plain is None:
+            plain = data[:2] != b"\x1f\x8b"
+        if plain:
             yield data
-            return
-        member = zlib.decompressobj(31)
-        yield member.decompress(data)
-        data = member.unused_data.lstrip(b"\0")
-
-
-def split_records(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(header, block) of the records in plain bytes, by their Content-Length."""
-    while data := data.lstrip(b"\r\n"):
-        head, found, rest = data.partition(b"\r\n\r\n")
+            continue
+        while data:
+            if member is None:
+                if not (data := data.lstrip(b"\0")):
+                    break
+                member = zlib.decompressobj(31)
+            if piece := member.decompress(data, 1 << 20):
+                yield piece
+            data = member.unconsumed_tail
+            if member.eof:
+                data, member = member.unused_data, None
+    if member is not None:
+        raise ValueError("the last gzip member ends early")
+
+
+def records_of(pieces: Iterable[bytes]) -> Iterator[tuple[str, bytes]]:
+    """(header, block) of the records in a stream of plain bytes, by their Content-Length. Holds one record at a time."""
+    buffer, pieces, ends = bytearray(), iter(pieces), re.compile(rb"[\r\n]*")
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece:
+            buffer.extend(piece)
+        return piece is not None
+
+    while True:
+        while True:
+            del buffer[: ends.match(buffer).end()]
+            if buffer:
+                break
+            if not more():
+                return
+        seen = 0
+        while (end := buffer.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(buffer) - 3)
+            if not more():
+                raise ValueError(f"not a WARC record: {bytes(buffer[:80])!r}")
+        head = bytes(buffer[:end])
         length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
-        if not found or not head.startswith(b"WARC/") or not length:
+        if not head.startswith(b"WARC/") or not length:
             raise ValueError(f"not a WARC record: {head[:80]!r}")
-        if len(rest) < int(length[1]):
-            raise ValueError(f"a block of {len(rest)} of {int(length[1])} bytes")
-        yield head.decode("utf-8", "replace") + CRLF, rest[: int(length[1])]
-        data = rest[int(length[1]) :]
+        stop = end + 4 + int(length[1])
+        while len(buffer) < stop:
+            if not more():
+                raise ValueError(f"a block of {len(buffer) - end - 4} of {int(length[1])} bytes")
+        yield head.decode("utf-8", "replace") + CRLF, bytes(buffer[end + 4 : stop])
+        del buffer[:stop]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, header, headers, record_type, record_id, refers_to, target_uri, date, block, digest_ok) of records.
 
     Names of ``headers`` are lower-cased. ``digest_ok`` tells whether the block has its stated SHA-256 or SHA-1 digest, null if none is
-    stated. A file is read by one task, as its members have no index: keep files as large as an executor's memory takes.
+    stated. A file is read by one task, as its members have no index, in one pass that holds one record and a batch of ``BATCH_BYTES``,
+    however large the file is. Stores of other schemes than ``STREAMED``, which only Spark reaches, give it as one value of 2 GB at most.
     """
+    streamed = (path.partition("://")[0] if "://" in path else path.partition(":")[0] if path.startswith("file:") else "") in STREAMED
+
+    def opened(file: str, content) -> io.BufferedIOBase:
+        if content is not None:
+            return io.BytesIO(content)
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(file.replace("s3a://", "s3://", 1))
+        return system.open_input_stream(name, compression=None, buffer_size=1 << 20)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file", "header", "headers", "block", "digest_ok"]
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                for member in _members(content):
-                    rows = [(file, header, named(header), block) for header, block in split_records(member)]
-                    yield pd.DataFrame([(f, h, n, b, checked(n, b)) for f, h, n, b in rows], columns=["file", "header", "headers", "block", "digest_ok"])
+            for file, content in zip(batch["path"], [None] * len(batch) if streamed else batch["content"], strict=True):
+                rows, size = [], 0
+                with opened(file, content) as stream:
+                    for header, block in records_of(inflated(stream)):
+                        names = named(header)
+                        rows.append((file, header, names, block, checked(names, block)))
+                        size += len(header) + len(block)
+                        if size >= BATCH_BYTES or len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+                yield pd.DataFrame(rows, columns=columns)
 
     def named(header: str) -> dict[str, str]:
         return {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in header.split(CRLF)[1:]) if sep}
@@ -246,7 +300,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         found = hashlib.new(kind.lower(), block)
         return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
 
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", True).load(path).select("path", "content")
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", True).load(path).select("path", *([] if streamed else ["content"]))
     rows = rows.mapInPandas(run, "file string, header string, headers map<string,string>, block binary, digest_ok boolean")
     field = lambda name: F.try_element_at("headers", F.lit(name))
     bare = lambda name: F.regexp_extract(field(name), "^<?(.*?)>?$", 1)
