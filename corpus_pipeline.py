@@ -3,7 +3,8 @@
 Every stage takes all rows that the one before it kept, and all but the last return the columns of ``documents``.
 
 Defined results: a row is judged by its own text, so of rows that share a doc_id the toxic or contaminated ones go and the others
-stay, also where doc_id is null. Near dedup keeps one row of each group, and one of rows that share a doc_id; rows with a null
+stay, also where doc_id is null. Near dedup keeps one row of each group, and of rows that share a doc_id the one whose text, then
+whose row, has the smallest hash; rows with a null
 doc_id or without words take no part in it and stay. A null text is carried along and packed as an empty one. Empty tables
 give no rows.
 """
@@ -54,7 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if twice.isEmpty():
         return left
     twice = small(twice)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    row = F.struct(*docs.columns)
+    order = F.struct(F.xxhash64(F.col("text").cast("string")), F.xxhash64(*docs.columns))
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,18 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _base(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or the warehouse: both are shared by all executors."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that spark.checkpoint.dir names; else the warehouse, if executors see it: in local mode, or in a store with a scheme.
+
+    A cluster whose warehouse is on a local disk must name the folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if warehouse.startswith(("/", "file:")) and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
+    return warehouse
 
 
 def shared_folder(spark: SparkSession) -> str:
