@@ -89,6 +89,67 @@ def hamming_pairs(prints: DataFrame, key: str, signature: str, most: int = 8, bi
     return pairs.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
 
+def _chunk_keys(signature: Column, bounds: list[int], near: int) -> Column:
+    """(c, v) of each chunk of a signature, and of all values within ``near`` bits of it."""
+    out = []
+    for c, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        size = high - low
+        flips = [0, *(sum(1 << i for i in x) for n in range(1, near + 1) for x in combinations(range(size), n))]
+        value = F.shiftrightunsigned(signature, low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
+        flipped = F.transform(F.array(*(F.lit(x).cast("bigint") for x in flips)), lambda x: x.bitwiseXOR(value))
+        out.append(F.transform(flipped, lambda v: F.struct(F.lit(c).alias("c"), v.alias("v"))))
+    return F.concat(*out)
+
+
+def reused_pairs(prints: DataFrame, key: str, work: str, first: str, second: str, most: int = 14) -> DataFrame:
+    """(a, b, first_distance, second_distance, distance): fingerprints of different works whose worst of two distances is at most ``most``.
+
+    Equal pairs of signatures are one print. ``a`` and ``b`` are the least keys of two prints, or of one, that belong to different
+    works; prints of one and the same work meet nothing. Exact: candidates share a chunk of the signature that makes fewer of them,
+    found by its counts, and are verified on both. Rows with a null signature, key or work are left out.
+    """
+    rows = prints.dropna(subset=[key, work, first, second]).select(F.col(key).alias("k"), F.col(work).alias("w"), F.col(first).cast("bigint").alias("s"), F.col(second).cast("bigint").alias("t"))
+    per_work = rows.groupBy("s", "t", "w").agg(F.min("k").alias("k"))
+    one = per_work.groupBy("s", "t").agg(F.min(F.struct("k", "w")).alias("one"))
+    # the least key of another work than the first one's
+    other = per_work.join(one, ["s", "t"]).where(F.col("w") != F.col("one.w")).groupBy("s", "t").agg(F.min(F.struct("k", "w")).alias("two"))
+    nodes = cut(one.join(other, ["s", "t"], "left"))
+    chunks = most // 3 + 1 if most >= 6 else most + 1
+    bounds, radius = [c * 64 // chunks for c in range(chunks + 1)], most // chunks
+    exact = {c: nodes.select(F.explode(_chunk_keys(F.col(c), bounds, 0)).alias("part")).groupBy("part").count() for c in "st"}
+    made = {c: found.agg(F.sum(F.col("count") * F.col("count")).alias("n")).first()["n"] or 0 for c, found in exact.items()}
+    by = min("st", key=lambda c: made[c])
+    left = nodes.select(*(F.col(c).alias(f"{c}_a") for c in ("s", "t", "one", "two")), F.explode(_chunk_keys(F.col(by), bounds, 0)).alias("part"))
+    right = nodes.select(*(F.col(c).alias(f"{c}_b") for c in ("s", "t", "one", "two")), F.explode(_chunk_keys(F.col(by), bounds, radius)).alias("part"))
+    met = left.join(right, "part").where("one_a.k < one_b.k").withColumns({"first_distance": hamming(F.col("s_a"), F.col("s_b")), "second_distance": hamming(F.col("t_a"), F.col("t_b"))})
+    met = met.where(F.greatest("first_distance", "second_distance") <= most).drop("part").distinct()
+    apart = lambda x, y: F.when(F.col(f"{x}.w") != F.col(f"{y}.w"), F.struct(F.least(f"{x}.k", f"{y}.k").alias("a"), F.greatest(f"{x}.k", f"{y}.k").alias("b")))
+    choices = F.array_compact(F.array(*(apart(x, y) for x in ("one_a", "two_a") for y in ("one_b", "two_b"))))
+    across = met.withColumn("pair", F.array_min(choices)).where("pair is not null").select("pair.a", "pair.b", "first_distance", "second_distance")
+    within = nodes.where("two is not null").select(F.col("one.k").alias("a"), F.col("two.k").alias("b"), F.lit(0).alias("first_distance"), F.lit(0).alias("second_distance"))
+    return across.unionByName(within).withColumn("distance", F.greatest("first_distance", "second_distance"))
+
+
+def text_signatures(rows: DataFrame, key: str, text: str, keep: list[str], bits: int = 60) -> DataFrame:
+    """(key, keep..., word_print, pair_print): majority fingerprints of a text's different words, and of its different pairs of neighbours.
+
+    A term's bits are the first 60 of its MD5. Votes are sums over exploded terms, so a long text is many short rows. Texts without a word
+    have print 0, null ones null.
+    """
+    split = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t\n\r]+"), "")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("x") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("x", i), F.try_element_at("x", i + 1)))
+    named = rows.select(key, *keep, F.col(text).isNull().alias("none"), split.alias("x"))
+    terms = F.concat(F.transform(F.array_distinct("x"), lambda w: F.struct(F.lit(0).alias("kind"), w.alias("term"))), F.transform(F.array_distinct(F.when(F.size("x") > 1, pairs)), lambda w: F.struct(F.lit(1).alias("kind"), w.alias("term"))))
+    both = F.coalesce(terms, F.transform("x", lambda w: F.struct(F.lit(0).alias("kind"), w.alias("term"))))
+    exploded = named.select(key, F.explode(both).alias("t")).select(key, "t.kind", F.conv(F.substring(F.md5("t.term"), 1, 15), 16, 10).cast("bigint").alias("h"))
+    vote = lambda i: F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1)) * 2 - 1)
+    votes = exploded.groupBy(key, "kind").agg(*(vote(i).alias(f"v{i}") for i in range(bits)))
+    signed = sum((F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(bits)), F.lit(0).cast("bigint"))
+    made = votes.select(key, "kind", signed.alias("print")).groupBy(key).agg(*(F.max(F.when(F.col("kind") == k, F.col("print"))).alias(n) for k, n in ((0, "word_print"), (1, "pair_print"))))
+    value = lambda c: F.when(~F.col("none"), F.coalesce(c, F.lit(0)))
+    return named.select(key, *keep, "none").join(made, key, "left").select(key, *keep, *(value(c).alias(c) for c in ("word_print", "pair_print")))
+
+
 def greedy_heads(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, head): taken in order of ``node``, each joins the first head that it has a pair (a, b), a < b, with, or becomes one.
 

@@ -758,6 +758,31 @@ def m8_isolation_forest(spark, sf_dir):
     return models.isolation_forest(rows, "work_ref", ["log_amount", "age"])
 
 
+_PRINTS = r"""x AS MATERIALIZED (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: w <> '') AS x FROM documents WHERE text IS NOT NULL),
+terms AS MATERIALIZED (
+  SELECT doc_id, 0 AS kind, unnest(list_distinct(x)) AS term FROM x
+  UNION ALL SELECT doc_id, 1, unnest(list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]))) FROM x),
+hashes AS MATERIALIZED (SELECT doc_id, kind, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM terms),
+votes AS MATERIALIZED (SELECT doc_id, kind, i, sum(((h >> i) & 1) * 2 - 1) > 0 AS yes FROM hashes, range(60) t(i) GROUP BY ALL),
+made AS MATERIALIZED (SELECT doc_id, kind, sum(CASE WHEN yes THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS print FROM votes GROUP BY ALL),
+prints AS MATERIALIZED (
+  SELECT doc_id AS k, source AS w, coalesce((SELECT print FROM made m WHERE m.doc_id = x.doc_id AND kind = 0), 0) AS s,
+    coalesce((SELECT print FROM made m WHERE m.doc_id = x.doc_id AND kind = 1), 0) AS t FROM x)"""
+
+
+@query(f"""WITH {_PRINTS},
+per_work AS (SELECT s, t, w, min(k) AS k FROM prints WHERE w IS NOT NULL GROUP BY ALL),
+met AS (
+  SELECT a.s AS sa, a.t AS ta, b.s AS sb, b.t AS tb, min((least(a.k, b.k), greatest(a.k, b.k))) AS pair, bit_count(xor(a.s, b.s))::INT AS d1, bit_count(xor(a.t, b.t))::INT AS d2
+  FROM per_work a JOIN per_work b ON a.w <> b.w AND (a.s, a.t) <= (b.s, b.t) WHERE bit_count(xor(a.s, b.s)) <= 14 AND bit_count(xor(a.t, b.t)) <= 14 GROUP BY ALL)
+SELECT pair[1] AS a, pair[2] AS b, d1 AS first_distance, d2 AS second_distance, greatest(d1, d2) AS distance,
+  CASE WHEN greatest(d1, d2) <= 2 THEN 'IDENTICAL' WHEN greatest(d1, d2) <= 8 THEN 'NEAR_IDENTICAL' ELSE 'SAME_SCENE' END AS level FROM met""")
+def c10_reused_across_works(spark, sf_dir):
+    """Texts shown by different sources: the worst of the distances of two fingerprints decides."""
+    prints = cut(similarity.text_signatures(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]))
+    return similarity.reused_pairs(prints, "doc_id", "source", "word_print", "pair_print").withColumn("level", similarity.level(F.col("distance")))
+
+
 @query()
 def m1_m3_archetype_catalog(spark, sf_dir):
     """Archetypes learnt from the descriptions: label, note, terms and size of each."""
