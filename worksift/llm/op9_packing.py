@@ -34,6 +34,8 @@ from worksift.llm.common import cut, fresh, running_sum
 
 CAPACITY, END_ID = 1024, 2
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+#: Documents whose pieces a task holds at once.
+BATCH = 256
 #: Fixed value: the vocabulary's special token.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -53,7 +55,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = N
         lines = Path(path).read_bytes().splitlines()
         ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x)}
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
-        for batch in batches:
+        parts = (whole.iloc[at : at + BATCH] for whole in batches for at in range(0, len(whole), BATCH))
+        for batch in parts:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(encoding.encode_to_numpy(text or "", allowed_special="all"), END_ID).astype("<u4")
