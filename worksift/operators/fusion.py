@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worksift.config import CONFIG, Config
 
@@ -138,23 +141,46 @@ def chain_hash(columns: list[str], before: str = "prev_hash") -> Column:
 
 
 def chain(log: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """Add prev_hash and row_hash, by ``order`` within each ``key``. A chain is sequential, so one task walks a whole log; a log
-    of its own for each work keeps logs short.
+    """Add entry (1, 2, ... in a log), prev_hash and row_hash, by ``order`` within each ``key``.
+
+    A hash needs the one before, so a log is walked by one task; it reads sorted rows as a stream and holds one batch, however long
+    the log. Rows with equal ``order`` follow by their columns. Null cells are hashed as empty, a null key has a log of its own.
     """
-    row = F.struct(order, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
-    logs = log.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("rows", start, lambda out, x: F.concat(out, F.array(F.sha2(F.to_json(F.array(*(x[c] for c in columns), F.element_at(out, -1))), 256))))
-    logs = logs.withColumn("hashes", hashes)
-    rows = logs.select(key, F.posexplode("rows").alias("_i", "x"), "hashes")
-    return rows.select(key, "x.*", F.get("hashes", F.col("_i")).alias("prev_hash"), F.get("hashes", F.col("_i") + 1).alias("row_hash"))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+    rows = log.select(key, order, *cells)
+    kinds = rows.schema
+    rows = rows.withColumn("_open", F.to_json(F.array(*columns, F.lit(""))))
+    rows = rows.repartition(key).sortWithinPartitions(key, order, *columns)
+
+    def walk(batches):
+        current, entry, last, started = None, 0, GENESIS, False
+        for batch in batches:
+            entries, before, hashes = [], [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if not started or name != current:
+                    current, entry, last, started = name, 0, GENESIS, True
+                entry += 1
+                entries.append(entry)
+                before.append(last)
+                last = sha256(f'{content[:-2]}{last}"]'.encode()).hexdigest()
+                hashes.append(last)
+            new = (pa.array(entries, pa.int64()), pa.array(before, pa.string()), pa.array(hashes, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*kinds.names, "entry", "prev_hash", "row_hash"])
+
+    return rows.mapInArrow(walk, T.StructType([*kinds.fields, T.StructField("entry", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())]))
 
 
 def first_break(chained: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """(key, entries, valid, broken_at_seq, reason): the first row whose link or content doesn't hold; links are looked at first."""
-    before = F.lag("row_hash", 1, GENESIS).over(Window.partitionBy(key).orderBy(order))
-    reason = F.when(F.col("prev_hash") != before, "link").when(F.col("row_hash") != chain_hash(columns), "content")
-    rows = chained.withColumn("_reason", reason)
-    first = F.min(F.when(F.col("_reason").isNotNull(), F.struct(F.col(order).alias("at"), "_reason")))
+    """(key, entries, valid, broken_at_seq, reason): the first row whose link or content doesn't hold; links are looked at first.
+
+    Each row meets the entry before its own in a join on (key, entry), so one long log is verified by many tasks. A missing entry,
+    or one that stands twice, breaks the link of its follower.
+    """
+    last = chained.groupBy(F.col(key).alias("_k"), (F.col("entry") + 1).alias("_e")).agg(F.count("*").alias("_n"), F.min("row_hash").alias("_last"))
+    rows = chained.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("entry") == F.col("_e")), "left")
+    before = F.when(F.col("entry") == 1, GENESIS).when(F.col("_n") == 1, F.col("_last"))
+    reason = F.when(~F.col("prev_hash").eqNullSafe(before), "link").when(~F.col("row_hash").eqNullSafe(chain_hash(columns)), "content")
+    rows = rows.withColumn("_reason", reason)
+    first = F.min(F.when(F.col("_reason").isNotNull(), F.struct(F.col("entry"), F.col(order).alias("at"), "_reason")))
     out = rows.groupBy(key).agg(F.count("*").alias("entries"), first.alias("_first"))
     return out.select(key, "entries", F.col("_first").isNull().alias("valid"), F.col("_first.at").alias("broken_at_seq"), F.col("_first._reason").alias("reason"))

@@ -37,6 +37,21 @@ def ordered(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.join(bins, [*keys, "_bin"]).withColumn("before", F.col("_below") + F.col("_inside")).drop("_bin", "_below", "_inside")
 
 
+def placed(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` (value, c), values distinct, with ``before``, the count of smaller values, and ``n``, the count of all.
+
+    Values are dealt to range partitions, whose sizes give each its start, so no task sorts more than its partition however close
+    values lie. The partitions are materialised: a task that runs again must not see other bounds.
+    """
+    ranged = cut(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum("c").alias("_c"))  # one row a partition
+    lower = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below"), F.sum("_c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    inside = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_inside", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return ranged.join(F.broadcast(parts), "_part").withColumn("before", F.col("_below") + F.col("_inside")).drop("_part", "_below", "_inside")
+
+
 def quantile(value: str, p: float) -> Column:
     """The quantile of ``ordered`` rows as an aggregate: linear between the two values around it."""
     at = p * (F.col("n") - 1)
@@ -54,6 +69,12 @@ def medians(rows: DataFrame, keys: list[str], column: str, out: str) -> DataFram
     return ordered(counts.withColumn("_whole", F.lit(0)), [*keys, "_whole"], column).groupBy(*keys).agg(quantile(column, 0.5).alias(out))
 
 
+def median_of_all(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """(out): one row, the exact median of all values that aren't null; null without any."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
+    return placed(counts, column).agg(quantile(column, 0.5).alias(out))
+
+
 def percentiles(rows: DataFrame, column: str, keys: list[str], out: str) -> DataFrame:
     """(keys, column, out): leave-one-out percentile of each value among the rows with the same ``keys``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from worksift.config import CONFIG
 from worksift.functions import text as tx
-from worksift.operators import archetypes, fusion, model_store, models, peers, series, similarity, validation
+from worksift.operators import archetypes, fusion, model_store, models, peers, series, similarity, transparency, validation
 from worksift.operators.text_similarity import similar_texts
 from worksift.plans import search
 from worksift.plans.lineage import cut, shared_folder
@@ -132,6 +132,14 @@ def d21_reconciliation(spark, sf_dir):
     return sums.unpivot([], ["all_works", "orphan", "backdated", "future_dated", "nonpositive", "unsanctioned"], "reason", "n")
 
 
+@query(SQL["d21_reconciliation"])
+def b5_d21_observed_load(spark, sf_dir):
+    """The works written once; rows and reasons are observed in the pass that writes them."""
+    reasons = {"orphan": "is_orphan", "backdated": "is_backdated", "future_dated": "is_future_dated", "nonpositive": "has_nonpositive_amount", "unsanctioned": "completed_without_sanction"}
+    found = ingest.accounted_write(ingest.build_works(_stages(spark, sf_dir)), f"{shared_folder(spark)}/works", {n: F.col(c) for n, c in reasons.items()})
+    return spark.createDataFrame(list(found.items()), "reason string, n long")
+
+
 @query(f"WITH {STAGE_WORKS_SQL} SELECT work_ref, 'never recommended' AS gap FROM sw WHERE is_orphan UNION ALL SELECT work_ref, 'never sanctioned' FROM sw WHERE completed_without_sanction")
 def c13_g4_stage_gaps(spark, sf_dir):
     rows = _stages(spark, sf_dir).select("work_ref", "stage")
@@ -141,11 +149,20 @@ def c13_g4_stage_gaps(spark, sf_dir):
 
 
 @query("SELECT count(*) AS n_orders, count_if(same) AS n_same, round(median(ratio), 6) AS median_ratio, round(avg((abs(ratio - 1) <= 0.5)::DOUBLE), 6) AS within_half FROM (SELECT o_totalprice, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS paid, paid / o_totalprice AS ratio, abs(paid - o_totalprice) < 0.01 AS same FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice)")
-def c9_c14_c15_amount_echo(spark, sf_dir):
-    """Our sums against the recorded totals: how many agree, and the ratio."""
+def c9_c15_amount_echo(spark, sf_dir):
+    """Our sums against the recorded totals: how many agree, and the ratio."""
     paid = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("paid"))
-    both = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(paid, "o_orderkey").withColumn("ratio", F.col("paid") / F.col("o_totalprice"))
-    return both.agg(F.count("*").alias("n_orders"), F.count_if(F.abs(F.col("paid") - F.col("o_totalprice")) < 0.01).alias("n_same"), F.round(F.median("ratio"), 6).alias("median_ratio"), F.round(F.avg((F.abs(F.col("ratio") - 1) <= 0.5).cast("double")), 6).alias("within_half"))
+    both = cut(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(paid, "o_orderkey").select("paid", "o_totalprice", (F.col("paid") / F.col("o_totalprice")).alias("ratio")))
+    return both.agg(F.count("*").alias("n_orders"), F.count_if(F.abs(F.col("paid") - F.col("o_totalprice")) < 0.01).alias("n_same"), F.round(F.avg((F.abs(F.col("ratio") - 1) <= 0.5).cast("double")), 6).alias("within_half")).crossJoin(F.broadcast(peers.median_of_all(both, "ratio", "median_ratio"))).withColumn("median_ratio", F.round("median_ratio", 6))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, ts::DATE AS day, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS q FROM events),
+f AS (SELECT user_id, day FROM e WHERE q = 1 AND event_type = 'signup'), s AS (SELECT user_id, day FROM e WHERE q = 1 AND event_type = 'view')
+SELECT 'W' || user_id AS work_ref, f.day AS first_date, s.day AS second_date, f.day = s.day AS same FROM f JOIN s USING (user_id) WHERE f.day IS NOT NULL AND s.day IS NOT NULL""")
+def c14_paired_dates(spark, sf_dir):
+    """Dates of two stages of a work, each of its first row, and whether one repeats the other."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("W"), F.col("user_id").cast("string")).alias("work_ref"), F.col("event_type").alias("stage"), F.col("ts").cast("date").alias("day"), "event_id")
+    return ingest.paired_dates(rows, "work_ref", "stage", "day", "event_id", "signup", "view")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS shipped FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS q FROM lineitem) WHERE q = 1")
@@ -159,7 +176,7 @@ _CUSTOMER = {"c_custkey": "integer", "c_name": "text", "c_nationkey": "integer",
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, '{k}' AS inferred_type FROM customer" for c, k in _CUSTOMER.items()))
 def a9_profile_customer(spark, sf_dir):
-    return ingest.profile(table(spark, sf_dir, "customer")).drop("least", "greatest")
+    return ingest.profile(table(spark, sf_dir, "customer")).drop("least", "greatest", "samples", "capped")
 
 
 @query()
@@ -324,7 +341,7 @@ def a7_case_file_json(spark, sf_dir):
 
 
 @query(f"WITH {SCORED_SQL} SELECT count(*) AS total_works, count_if(is_completed) AS completed, count_if(is_open) AS open_works, count(DISTINCT state_name) AS states, count(DISTINCT constituency) AS constituencies, count(DISTINCT implementing_agency) AS agencies, round(sum(recommended_amount), 2) AS recommended, round(sum(rs_exposure), 2) AS exposure, count_if(band IN ('MEDIUM', 'HIGH')) AS leads, count_if(band = 'HIGH') AS high FROM scored")
-def d1_d25_national_stats(spark, sf_dir):
+def d1_national_stats(spark, sf_dir):
     return _stats(stored_scored(spark, sf_dir))
 
 
@@ -332,7 +349,7 @@ def _stats(df):
     return df.agg(F.count("*").alias("total_works"), F.count_if("is_completed").alias("completed"), F.count_if("is_open").alias("open_works"), F.count_distinct("state_name").alias("states"), F.count_distinct("constituency").alias("constituencies"), F.count_distinct("implementing_agency").alias("agencies"), F.round(F.sum("recommended_amount"), 2).alias("recommended"), F.round(F.sum("rs_exposure"), 2).alias("exposure"), F.count_if(leads()).alias("leads"), F.count_if(F.col("band") == "HIGH").alias("high"))
 
 
-@query(SQL["d1_d25_national_stats"] + " WHERE state_name = 'NATION_5'")
+@query(SQL["d1_national_stats"] + " WHERE state_name = 'NATION_5'")
 def d20_b19_scoped_stats(spark, sf_dir):
     return _stats(search.visible(stored_scored(spark, sf_dir), "state", "NATION_5"))
 
@@ -350,7 +367,11 @@ def d3_archetype_profiles(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL}, a AS (SELECT avg(is_completed::INT) AS completion, 1 - avg((compliance_flags > 0)::INT) AS clean, 1 - avg((band IN ('MEDIUM', 'HIGH'))::INT) AS lead_free, 1 - avg((s7 > 0)::INT) AS unique_works, avg((work_description IS NOT NULL)::INT) AS complete FROM scored) SELECT round(100 * (0.3 * round(completion, 3) + 0.25 * round(clean, 3) + 0.2 * round(lead_free, 3) + 0.15 * round(unique_works, 3) + 0.1 * round(complete, 3)), 1) AS score, round(completion, 3) AS completion, round(clean, 3) AS clean, round(lead_free, 3) AS lead_free, round(unique_works, 3) AS unique_works FROM a")
 def d4_health_index(spark, sf_dir):
-    a = stored_scored(spark, sf_dir).agg(F.round(F.avg(F.col("is_completed").cast("int")), 3).alias("completion"), F.round(1 - F.avg((F.col("compliance_flags") > 0).cast("int")), 3).alias("clean"), F.round(1 - F.avg(leads().cast("int")), 3).alias("lead_free"), F.round(1 - F.avg((F.col("sig_duplicate") > 0).cast("int")), 3).alias("unique_works"), F.round(F.avg(F.col("work_description").isNotNull().cast("int")), 3).alias("complete"))
+    return _health(stored_scored(spark, sf_dir))
+
+
+def _health(df):
+    a = df.agg(F.round(F.avg(F.col("is_completed").cast("int")), 3).alias("completion"), F.round(1 - F.avg((F.col("compliance_flags") > 0).cast("int")), 3).alias("clean"), F.round(1 - F.avg(leads().cast("int")), 3).alias("lead_free"), F.round(1 - F.avg((F.col("sig_duplicate") > 0).cast("int")), 3).alias("unique_works"), F.round(F.avg(F.col("work_description").isNotNull().cast("int")), 3).alias("complete"))
     index = 0.3 * F.col("completion") + 0.25 * F.col("clean") + 0.2 * F.col("lead_free") + 0.15 * F.col("unique_works") + 0.1 * F.col("complete")
     return a.select(F.round(100 * index, 1).alias("score"), "completion", "clean", "lead_free", "unique_works")
 
@@ -366,8 +387,9 @@ def _entity_sql(column: str, part: str) -> str:
 
 
 def _entity(df, column: str, part: str):
-    names = F.array_join(F.slice(F.array_sort(F.collect_set(column)), 1, 5), ";")
-    return df.where(F.contains(F.lower(column), F.lit(part))).agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.count_if(leads()).alias("leads"), names.alias("names"))
+    rows = df.where(F.contains(F.lower(column), F.lit(part)))
+    names = rows.select(column).distinct().orderBy(column).limit(5).agg(F.array_join(F.array_sort(F.collect_list(column)), ";").alias("names"))  # one row
+    return rows.agg(F.count("*").alias("works"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.count_if(leads()).alias("leads")).crossJoin(F.broadcast(names))
 
 
 @query(_entity_sql("implementing_agency", "nation_5/"))
@@ -418,11 +440,41 @@ def d19_scope_lists(spark, sf_dir):
 
 
 @query(f"WITH {SCORED_SQL} SELECT 'band' AS what, band AS value, count(*) AS n FROM scored GROUP BY ALL UNION ALL SELECT 'peer_level', peer_level, count(*) FROM scored GROUP BY ALL UNION ALL SELECT 'severity', compliance_severity, count(*) FROM scored GROUP BY ALL")
-def d23_d24_value_counts(spark, sf_dir):
+def d23_value_counts(spark, sf_dir):
     rows = stored_scored(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(w).alias("what"), F.col(c).alias("value")) for w, c in (("band", "band"), ("peer_level", "peer_level"), ("severity", "compliance_severity"))))).alias("x"))
     return rows.groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
 
 
+def _registry_sql(have: set[str]) -> str:
+    share = lambda c: f"coalesce(round(100 * avg(({c} IS NOT NULL)::INT), 2), 0)" if c in have else "0.0 * count(*)"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return " UNION ALL ".join(f"SELECT {quoted(m)} AS metric, {quoted(t)} AS type, {quoted(s)} AS confidence, {quoted(note)} AS note, ({share(c)})::DOUBLE AS present_pct FROM scored" for m, t, s, c, note in transparency.REGISTRY)
+
+
+#: Columns of the registry that the score without models carries; in the SQL the duplicates' signal is s7.
+_MEASURED = {"work_ref", "recommended_amount", "recommendation_date", "is_completed", "work_description", "implementing_agency", "activity_category", "amount_pct", "risk_score", "early_warning_level", "rs_exposure"}
+_PROVENANCE_SQL = f"WITH {SCORED_SQL}, named AS (SELECT *, s7 AS sig_duplicate FROM scored), registry AS ({_registry_sql(_MEASURED | {'sig_duplicate'}).replace('FROM scored', 'FROM named')})"
+
+
+@query(f"{_PROVENANCE_SQL} SELECT * FROM registry")
+def d24_provenance(spark, sf_dir):
+    """Each metric's kind and confidence, and the share of works that have it."""
+    return transparency.provenance(stored_scored(spark, sf_dir))
+
+
+@query(f"{_PROVENANCE_SQL} SELECT type, count(*) AS metrics, count_if(present_pct = 100) AS complete FROM registry GROUP BY type")
+def d24_provenance_totals(spark, sf_dir):
+    return transparency.totals(transparency.provenance(stored_scored(spark, sf_dir)))
+
+
+@query()
+def d25_portfolio_card(spark, sf_dir):
+    """Statistics, health index, limitations and the stored models' figures, over the portfolio that is scored with all models."""
+    rows = stored_full(spark, sf_dir)
+    metrics = spark.createDataFrame(list(stored_models(spark, sf_dir).metrics.items()), "name string, value double")
+    return transparency.card(_stats(rows), _health(rows), transparency.provenance(rows), metrics)
+
+
 # ---------------------------------------------------------------- serving
 
 _ROW = "SELECT work_ref, state_name, band, round(audit_roi, 2) AS audit_roi FROM scored"
@@ -752,6 +804,13 @@ def m7_concordance(spark, sf_dir):
     return models.concordance(risk.where(models.held_out()).withColumn("hazard", F.col("cox_risk")), "hazard")
 
 
+@query(f"""WITH {FEATURES_SQL}, x AS (SELECT log_amount AS v, duration_days AS t, event_observed AS e FROM feat WHERE log_amount IS NOT NULL AND duration_days IS NOT NULL)
+SELECT round(sum(CASE WHEN a.v > b.v THEN 1 WHEN a.v = b.v THEN 0.5 ELSE 0 END) / count(*), 9) AS c_index, count(*) AS pairs FROM x a JOIN x b ON a.e = 1 AND (a.t < b.t OR (a.t = b.t AND b.e = 0))""")
+def m7_amount_concordance(spark, sf_dir):
+    """How far larger amounts go with earlier completion: the index over all works, each with all that outlast it."""
+    return models.concordance(featured(spark, sf_dir), "log_amount").select(F.round("c_index", 9).alias("c_index"), "pairs")
+
+
 @query()
 def m8_isolation_forest(spark, sf_dir):
     rows = featured(spark, sf_dir).select("work_ref", "log_amount", F.coalesce("duration_days", F.lit(0.0)).alias("age"))
