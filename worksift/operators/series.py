@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksift.config import CONFIG, Config
+from worksift.operators.peers import medians
 
 
 def change_points(works: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -20,10 +21,20 @@ def change_points(works: DataFrame, config: Config = CONFIG) -> DataFrame:
     return best.select("implementing_agency", F.least("moved", F.lit(1.0)).alias("change_point"), F.col("at.before.year").alias("year_before"), F.col("at.before.median").alias("median_before"), F.col("at.after.year").alias("year_after"), F.col("at.after.median").alias("median_after"))
 
 
-def monthly(works: DataFrame, *keys: str) -> DataFrame:
-    """Works, median and total amount of each (keys, month)."""
+def volumes(works: DataFrame, *keys: str) -> DataFrame:
+    """Works and total amount of each (keys, month)."""
+    return _dated(works, *keys).groupBy(*keys, "period").agg(F.count("*").alias("works"), F.sum("recommended_amount").alias("total_amount"))
+
+
+def _dated(works: DataFrame, *keys: str) -> DataFrame:
     rows = works.where(F.col("recommendation_date").isNotNull()).where(" and ".join(["true", *(f"{k} is not null" for k in keys)]))
-    return rows.groupBy(*keys, F.trunc("recommendation_date", "month").alias("period")).agg(F.count("*").alias("works"), F.median("recommended_amount").alias("median_amount"), F.sum("recommended_amount").alias("total_amount"))
+    return rows.select(*keys, F.trunc("recommendation_date", "month").alias("period"), "recommended_amount")
+
+
+def monthly(works: DataFrame, *keys: str) -> DataFrame:
+    """Works, median and total amount of each (keys, month); medians come from counts of values, so no task holds a month's amounts."""
+    rows = _dated(works, *keys)
+    return volumes(works, *keys).join(medians(rows, [*keys, "period"], "recommended_amount", "median_amount"), [*keys, "period"], "left")
 
 
 def national_series(works: DataFrame) -> DataFrame:
@@ -54,7 +65,7 @@ def classify(points: DataFrame, key: str, order: str, value: str, config: Config
 
 def entity_trends(works: DataFrame, key: str, config: Config = CONFIG) -> DataFrame:
     """Classified monthly volumes of each entity with enough months."""
-    return classify(monthly(works, key), key, "period", "works", config).where(F.col("periods") >= config.min_periods)
+    return classify(volumes(works, key), key, "period", "works", config).where(F.col("periods") >= config.min_periods)
 
 
 def share_radar(works: DataFrame, key: str) -> DataFrame:

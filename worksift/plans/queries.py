@@ -12,9 +12,9 @@ from worksift.config import CONFIG
 from worksift.functions import text as tx
 from worksift.operators import archetypes, fusion, model_store, models, peers, series, similarity, transparency, validation
 from worksift.operators.text_similarity import similar_texts
-from worksift.plans import search
+from worksift.plans import search, text_index
 from worksift.plans.lineage import cut, shared_folder
-from worksift.plans.scored import FEATURES_SQL, KM_SQL, PAIRS_SQL, SCORED_SQL, YEARS_SQL, compared, featured, peers_sql, score_full, scored, stored_full, stored_models, stored_scored
+from worksift.plans.scored import FEATURES_SQL, KM_SQL, PAIRS_SQL, SCORED_SQL, YEARS_SQL, compared, featured, peers_sql, score_full, scored, stored_full, stored_index, stored_models, stored_scored
 from worksift.sources import ingest
 from worksift.sources.adapters import WORKS_SQL, raw_stages, table, verification, works
 from worksift.streaming import live
@@ -361,8 +361,7 @@ def d2_by_state(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL} SELECT activity_category, count(*) AS n_works, count(DISTINCT state_name) AS states, count(DISTINCT implementing_agency) AS agencies, round(median(recommended_amount), 4) AS median_amount, round(avg(is_completed::INT), 6) AS completion_rate, round(median(duration_days) FILTER (is_completed), 4) AS median_days, round(avg((band IN ('MEDIUM', 'HIGH'))::INT), 6) AS lead_rate, (SELECT state_name FROM scored t WHERE t.activity_category = s.activity_category GROUP BY state_name ORDER BY count(*) DESC, state_name LIMIT 1) AS top_state FROM scored s GROUP BY activity_category")
 def d3_archetype_profiles(spark, sf_dir):
-    rows = stored_scored(spark, sf_dir)
-    return rows.groupBy("activity_category").agg(F.count("*").alias("n_works"), F.count_distinct("state_name").alias("states"), F.count_distinct("implementing_agency").alias("agencies"), F.round(F.median("recommended_amount"), 4).alias("median_amount"), F.round(F.avg(F.col("is_completed").cast("int")), 6).alias("completion_rate"), F.round(F.median(F.when(F.col("is_completed"), F.col("duration_days"))), 4).alias("median_days"), F.round(F.avg(leads().cast("int")), 6).alias("lead_rate"), F.mode("state_name", True).alias("top_state"))
+    return archetypes.profiles(stored_scored(spark, sf_dir), "activity_category")
 
 
 @query(f"WITH {SCORED_SQL}, a AS (SELECT avg(is_completed::INT) AS completion, 1 - avg((compliance_flags > 0)::INT) AS clean, 1 - avg((band IN ('MEDIUM', 'HIGH'))::INT) AS lead_free, 1 - avg((s7 > 0)::INT) AS unique_works, avg((work_description IS NOT NULL)::INT) AS complete FROM scored) SELECT round(100 * (0.3 * round(completion, 3) + 0.25 * round(clean, 3) + 0.2 * round(lead_free, 3) + 0.15 * round(unique_works, 3) + 0.1 * round(complete, 3)), 1) AS score, round(completion, 3) AS completion, round(clean, 3) AS clean, round(lead_free, 3) AS lead_free, round(unique_works, 3) AS unique_works FROM a")
@@ -502,6 +501,12 @@ def b21_search(spark, sf_dir):
     return _row(search.search(stored_scored(spark, sf_dir), "high FURNITURE works", completed=False))
 
 
+@query(SQL["b21_search"])
+def b21_indexed_search(spark, sf_dir):
+    """The same search through the trigram index of the stored portfolio."""
+    return _row(text_index.find(stored_index(spark, sf_dir), stored_scored(spark, sf_dir), "high FURNITURE works", completed=False))
+
+
 @query(f"WITH {SCORED_SQL} SELECT count(*) AS matches, round(sum(recommended_amount), 2) AS total, count_if(band <> 'NONE') AS leads FROM scored WHERE {_SEARCH}")
 def d22_search_aggregates(spark, sf_dir):
     return search.search(stored_scored(spark, sf_dir), "high FURNITURE works", completed=False).agg(F.count("*").alias("matches"), F.round(F.sum("recommended_amount"), 2).alias("total"), F.count_if(F.col("band") != "NONE").alias("leads"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksift.operators import fusion, model_store, peers, series, similarity
+from worksift.plans import text_index
 from worksift.plans.lineage import cut, shared_folder, small
 from worksift.sources.adapters import WORKS_SQL, works
 
@@ -59,6 +60,16 @@ def stored_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "scored", lambda: scored(spark, sf_dir))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    """The trigram index of the stored portfolio: made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "index")
+    if key not in _STORED:
+        path = shared_folder(spark)
+        text_index.build(stored_scored(spark, sf_dir), path)
+        _STORED[key] = (path, None)
+    return text_index.TextIndex(spark, _STORED[key][0])
+
+
 def stored_models(spark: SparkSession, sf_dir: str) -> model_store.Models:
     """Archetypes, Cox model and forest of the works: fitted and stored once a session, and always loaded from the store."""
     key = (spark.sparkContext.applicationId, sf_dir, "models")
