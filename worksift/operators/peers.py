@@ -75,20 +75,27 @@ def median_of_all(rows: DataFrame, column: str, out: str) -> DataFrame:
     return placed(counts, column).agg(quantile(column, 0.5).alias(out))
 
 
-def percentiles(rows: DataFrame, column: str, keys: list[str], out: str) -> DataFrame:
+def places_of(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``ordered`` counts of the values that aren't null."""
+    return ordered(rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c")), keys, column)
+
+
+def percentiles(rows: DataFrame, column: str, keys: list[str], out: str, places: DataFrame | None = None) -> DataFrame:
     """(keys, column, out): leave-one-out percentile of each value among the rows with the same ``keys``.
 
-    Ranks are averages; nulls are counted but not ranked.
+    Ranks are averages; nulls are counted but not ranked. ``places`` are the rows' ``places_of``, if they are at hand.
     """
-    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("c"))
-    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("_all"))
-    places = ordered(counts.where(F.col(column).isNotNull()), keys, column).join(sizes, keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_all"))
+    places = (places_of(rows, column, keys) if places is None else places).join(sizes, keys)
     return places.select(*keys, column, ((F.col("before") + (F.col("c") - 1) / 2) / F.nullif(F.col("_all") - 1, F.lit(0))).alias(out))
 
 
-def spreads(rows: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, _m, _q1, _q3, _mad): median, quartiles and 1.4826 times the median absolute deviation, from counts of values."""
-    counts = cut(ordered(rows.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("c")), [key], column))
+def spreads(rows: DataFrame, column: str, key: str, places: DataFrame | None = None) -> DataFrame:
+    """(key, _m, _q1, _q3, _mad): median, quartiles and 1.4826 times the median absolute deviation, from counts of values.
+
+    ``places`` are the rows' materialised ``places_of``, if they are at hand.
+    """
+    counts = cut(places_of(rows, column, [key])) if places is None else places
     middle = counts.groupBy(key).agg(quantile(column, 0.5).alias("_m"), quantile(column, 0.25).alias("_q1"), quantile(column, 0.75).alias("_q3"))
     middle = small(cut(middle))
     away = counts.select(key, column, "c").join(middle, key).groupBy(key, F.abs(F.col(column) - F.col("_m")).alias("_d")).agg(F.sum("c").alias("c"))
@@ -126,8 +133,9 @@ def add_peers(works: DataFrame, config: Config = CONFIG, min_peers: int | None =
     works = works.join(cells, F.col(both[0]).eqNullSafe(F.col("_cat")) & F.col(both[1]).eqNullSafe(F.col("_state"))).drop("_cat", "_state")
     works = cut(works)  # several aggregates read it
     key = "peer_group_id"
-    out = works.join(percentiles(works, "recommended_amount", [key], "amount_pct"), [key, "recommended_amount"], "left")
-    out = out.join(spreads(works, "recommended_amount", key), key, "left").withColumn("amount_z", robust_z("recommended_amount")).drop("_m", "_q1", "_q3", "_mad")
+    places = cut(places_of(works, "recommended_amount", [key]))
+    out = works.join(percentiles(works, "recommended_amount", [key], "amount_pct", places), [key, "recommended_amount"], "left")
+    out = out.join(spreads(works, "recommended_amount", key, places), key, "left").withColumn("amount_z", robust_z("recommended_amount")).drop("_m", "_q1", "_q3", "_mad")
     open_ = works.where("is_open")
     return out.join(percentiles(open_, "duration_days", [key, "is_open"], "open_duration_pct"), [key, "is_open", "duration_days"], "left")
 

@@ -14,6 +14,8 @@ from worksift.plans.lineage import cut
 
 #: Least similarity of each class, and least distance level of fingerprints.
 CLASSES = (("EXACT", 0.995), ("NEAR_EXACT", 0.97), ("HIGH_SIMILARITY", 0.92), ("POSSIBLE_REPEAT", 0.86))
+#: Fixed value: least similarity of a concerning pair.
+CONCERNING = 0.97
 LEVELS = (("IDENTICAL", 2), ("NEAR_IDENTICAL", 8), ("SAME_SCENE", 14))
 
 
@@ -45,7 +47,7 @@ def neighbours(vectors: DataFrame, block: list[str], key: str, k: int = 5, least
     return metric_index.nearest(normalise(vectors, vector), block, key, vector, k, least)
 
 
-def concerning(pairs: DataFrame, least: float = 0.97) -> Column:
+def concerning(pairs: DataFrame, least: float = CONCERNING) -> Column:
     """Very similar, the same agency, amounts within two hundredths of the larger."""
     larger = F.greatest(F.abs("amount_a"), F.abs("amount_b"), F.lit(1.0))
     return F.coalesce((F.col("similarity") >= least) & F.col("same_agency") & (F.abs(F.col("amount_a") - F.col("amount_b")) <= 0.02 * larger), F.lit(False))
@@ -206,21 +208,32 @@ def same_text_neighbours(numbered: DataFrame, k: int = 5) -> DataFrame:
     return _listed(met.withColumn("similarity", F.lit(1.0)), k)
 
 
+def _most_similar(counts: DataFrame, both: DataFrame, k: int) -> DataFrame:
+    """(block, text_a, text_b, similarity): the similar descriptions of a block that fewer than ``k`` works come before, by a greater similarity."""
+    sizes = counts.groupBy(*BLOCK, "text").agg(F.sum("c").alias("n"))
+    here = sizes.select(*BLOCK, F.col("text").alias("text_a"))
+    near = cut(both.join(here, "text_a").join(sizes.withColumnRenamed("text", "text_b"), [*BLOCK, "text_b"]))
+    more = Window.partitionBy(*BLOCK, "text_a").orderBy(F.desc("similarity")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = near.groupBy(*BLOCK, "text_a", "similarity").agg(F.sum("n").alias("n"))  # similarities have four places
+    levels = levels.withColumn("above", F.coalesce(F.sum("n").over(more), F.lit(0))).where(F.col("above") < k).select(*BLOCK, "text_a", "similarity")
+    return near.join(levels, [*BLOCK, "text_a", "similarity"]).select(*BLOCK, "text_a", "text_b", "similarity")
+
+
 def similar_text_neighbours(numbered: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     """(a, b, similarity) for works of a block with similar descriptions ``texts`` (text_a, text_b, similarity): each lists ``k``.
 
     A work takes its place among the amounts of each similar description and meets the ``k`` works below it and the ``k`` from it
     on, so a pair of descriptions that many works share costs as many rows as there are works. Places come from counts of
-    amounts; no window spans a description.
+    amounts; no window spans a description. Descriptions that can't be listed, because ``k`` works have more similar ones, are not asked.
     """
     texts = texts.where("text_a <> text_b")
     both = texts.unionByName(texts.select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "similarity"))
     pair = [*BLOCK, "text_a", "text_b"]
-    counts = numbered.groupBy(*BLOCK, F.col("work_description").alias("text"), F.col("recommended_amount").alias("amount")).agg(F.count("*").alias("c"))
-    shared = counts.select(*BLOCK, F.col("text").alias("text_b")).distinct()
-    asking = counts.withColumnRenamed("text", "text_a").join(both, "text_a").join(shared, [*BLOCK, "text_b"]).select(*pair, "amount", "similarity", F.lit(0).cast("long").alias("c"))
+    counts = cut(numbered.groupBy(*BLOCK, F.col("work_description").alias("text"), F.col("recommended_amount").alias("amount")).agg(F.count("*").alias("c")))
+    wanted = cut(_most_similar(counts, both, k))
+    asking = counts.withColumnRenamed("text", "text_a").join(wanted, [*BLOCK, "text_a"]).select(*pair, "amount", "similarity", F.lit(0).cast("long").alias("c"))
     asking = cut(asking)
-    there = counts.withColumnRenamed("text", "text_b").join(both.select("text_a", "text_b"), "text_b").select(*pair, "amount", "c")
+    there = counts.withColumnRenamed("text", "text_b").join(wanted, [*BLOCK, "text_b"]).select(*pair, "amount", "c")
     all_ = asking.select(*pair, "amount", "c").unionByName(there).groupBy(*pair, "amount").agg(F.sum("c").alias("c"))
     places = ordered(all_, pair, "amount").select(*pair, "amount", "before")
     places = asking.drop("c").join(places, [*pair, "amount"])
@@ -252,8 +265,13 @@ def work_pairs(works: DataFrame, texts: DataFrame | None = None, k: int = 5) ->
 
 
 def duplicate_signal(works: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """(work_ref, duplicate_similarity, duplicate_partner): each work's best concerning pair."""
-    pairs = work_pairs(works, texts)
+    """(work_ref, duplicate_similarity, duplicate_partner): each work's best concerning pair.
+
+    A work lists its most similar others first, so descriptions below the concerning similarity can't change these pairs and aren't sought.
+    """
+    if texts is None:
+        texts = similar_texts(works, BLOCK, "work_description", CONCERNING)
+    pairs = work_pairs(works, texts.where(F.col("similarity") >= CONCERNING))
     focus = cut(pairs.where(concerning(pairs)).select("a", "b", "similarity"))
     return best_partner(focus.select("a", "b", "similarity")).select(F.col("ref").alias("work_ref"), F.col("similarity").alias("duplicate_similarity"), F.col("partner").alias("duplicate_partner"))
 
