@@ -10,8 +10,8 @@ and the intervals of ancestors' tokens that it may attend to besides its own cha
 A conversation is read back by walking the emitted trees: the intervals that its last node attends to, and its own chain up to
 there, name a stretch of tokens each; the tokens of these, in the order of their offsets, are decoded and parsed.
 
-Trees are worked out on short rows that carry hashes and token counts only. Texts are shuffled twice: to meet equal turns,
-which are cut into tokens once and emitted, and to bring tokens to the conversations that are read back. Paths of chains to
+Trees are worked out on short rows that carry hashes and token counts only. Texts are shuffled once, to meet equal turns: each
+different turn is cut into tokens once, and its count of tokens joins the turns by hash. Tokens are shuffled once, to bring them to the conversations that are read back. Paths of chains to
 their root are found by pointer doubling, in rounds that follow the logarithm of their depth; what one row carries grows with
 the count of branchings on its path, as its list of intervals does. Running sums and joins split a hot key. The digests of
 one conversation are taken in order, so its turns stream through one task; they aren't gathered.
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksift.llm.common import cut, running_sum, running_sums, spread_join
+from worksift.llm.common import cut, running_sum, running_sums, spread_join, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates read as control strings.
@@ -74,8 +74,8 @@ def _encoding(ranks_file: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _tokens(rows: DataFrame, ranks_file: str, whole: bool) -> DataFrame:
-    """Replace role and text by ``n_tokens``, and if ``whole`` by the tokens too and the part of them that the loss covers."""
+def _tokens(rows: DataFrame, ranks_file: str) -> DataFrame:
+    """Replace role and text by ``n_tokens``, the tokens and the part of them that the loss covers."""
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
@@ -87,14 +87,13 @@ def _tokens(rows: DataFrame, ranks_file: str, whole: bool) -> DataFrame:
             for role, text in zip(batch["role"], batch["text"], strict=True):
                 head, body, tail = segment(role, text)
                 first, ids, last = (encoding.encode_to_numpy(x, disallowed_special=()) for x in (head, body, tail))
-                n = len(first) + len(ids) + len(last)
                 span = (len(first), len(first) + len(ids)) if role == LEARNT_ROLE else (0, 0)
-                out.append((n, np.concatenate((first, ids, last)).astype("<u2").tobytes(), *span) if whole else (n,))
-            made = pd.DataFrame(out, columns=["n_tokens", "ids", "loss_from", "loss_to"] if whole else ["n_tokens"], index=batch.index)
+                out.append((len(first) + len(ids) + len(last), np.concatenate((first, ids, last)).astype("<u2").tobytes(), *span))
+            made = pd.DataFrame(out, columns=["n_tokens", "ids", "loss_from", "loss_to"], index=batch.index)
             yield pd.concat([batch.drop(columns=["role", "text"]), made], axis=1)
 
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name not in ("role", "text"))
-    return rows.mapInPandas(run, f"{schema}n_tokens long" + ", ids binary, loss_from long, loss_to long" * whole)
+    return rows.mapInPandas(run, f"{schema}n_tokens long, ids binary, loss_from long, loss_to long")
 
 
 def prefix_trees(conversations: DataFrame, ranks_file: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +115,12 @@ def prefix_forest(conversations: DataFrame, ranks_file: str | None = None) -> tu
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
     texts = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role, text)
     texts = texts.withColumns({name: F.xxhash64(F.lit(seed), "role", "text") for seed, name in enumerate(SEGMENT)})
-    segments = _tokens(texts.groupBy(*SEGMENT).agg(F.first("role").alias("role"), F.first("text").alias("text")), file, True)
+    different = texts.groupBy(*SEGMENT).agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("n"))
+    segments = stored(_tokens(different, file))
 
-    turns = running_sum(cut(_tokens(texts, file, False)), ["conv_id"], ["turn", *SEGMENT], F.lit(1).cast("long"), "idx").drop("turn")
+    counted = spread_join(texts.select("conv_id", "turn", *SEGMENT), segments.select(*SEGMENT, "n_tokens", "n"), [*SEGMENT], weight="n")
+    segments = segments.drop("n")
+    turns = running_sum(counted, ["conv_id"], ["turn", *SEGMENT], F.lit(1).cast("long"), "idx").drop("turn")
 
     def hashed(seed: int):  # 38 bits, so that sums over a conversation don't overflow
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "idx", *SEGMENT), 26)
