@@ -739,6 +739,26 @@ def test_minhash_unlike_members_and_shared_ids(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, find(named[a])) for i, a in sets)
 
 
+@pytest.mark.parametrize("hot", [10**9, 20])
+def test_rare_pairs_of_a_family_and_strays(spark, monkeypatch, hot):
+    """Hot shingles, split or not: every similar pair of different roots is met, and no pair of one root."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng, rows = np.random.default_rng(5), []
+    base = rng.integers(-(1 << 62), 1 << 62, 60)
+    for i in range(260):
+        own = rng.integers(-(1 << 62), 1 << 62, 60)
+        swapped = rng.permutation(60)[: int(rng.integers(0, 5 if i < 200 else 12))]
+        found = base.copy()
+        found[swapped] = own[swapped]
+        rows.append((i, 0 if i < 200 else i, sorted(set(map(int, found.view(np.uint64))))))
+    signed = [(i, root, list(map(int, np.array(x, np.uint64).view(np.int64)))) for i, root, x in rows]
+    got = {(r.a, r.b) for r in op1_minhash.rare_pairs(spark.createDataFrame(signed, "doc_id long, root long, shingles array<long>")).collect()}
+    sets = {i: (root, set(x)) for i, root, x in signed}
+    similar = {(a, b) for a in sets for b in sets if a < b and sets[a][0] != sets[b][0] and 100 * len(sets[a][1] & sets[b][1]) >= 75 * len(sets[a][1] | sets[b][1])}
+    assert similar and similar <= got
+    assert all(sets[a][0] != sets[b][0] for a, b in got)
+
+
 def test_toxicity_splits_runs_and_reads_long_tokens(spark):
     rng = random.Random(8)
     plain = "such a the you are i am we house tree river garden window very good nice idea day today walk street paper".split()

@@ -155,7 +155,8 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
 
     Shingles are ordered from rare to frequent. Similar sets share one of the first in that order: the larger set's first
     quarter meets the smaller one's first seventh, for a similarity of 0.75. So what many documents share, such as
-    a common passage, is not what they meet by.
+    a common passage, is not what they meet by. A shingle with m documents of its most frequent root and k others makes (m + k) * k pairs at
+    most, and its documents are dealt to many tasks if there are many.
     """
     sent = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
     both, over = NUMERATOR + DENOMINATOR, 2 * NUMERATOR
@@ -174,10 +175,19 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
             yield pd.DataFrame({"token": np.concatenate([*kept, np.empty(0, np.int64)]), "doc_id": batch["doc_id"].to_numpy()[row], "root": batch["root"].to_numpy()[row], "n": sizes[row], "at": at, "early": early})
 
     tokens = sets.mapInPandas(run, "token long, doc_id long, root long, n long, at long, early boolean")
-    spans = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    tokens = cut(tokens.join(spans, "token"))
-    x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "root", "n", "at", "early"))) for side in "xy")
-    met = x.where("early_x").join(y, "token").where("root_x <> root_y and (n_x < n_y or n_x = n_y and (doc_id_x < doc_id_y or early_y and doc_id_x <> doc_id_y))")
+    tokens = cut(tokens)
+    # Members of a token's most frequent root meet only those of other roots: a family of copies makes no pairs within itself.
+    held = tokens.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
+    held = held.where("roots > 1").select("token", F.col("top.root").alias("main"))
+    tokens = cut(tokens.join(held, "token").withColumn("main", F.col("root") == F.col("main")))
+
+    def side(of: str, rows: DataFrame) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{of}") for c in ("doc_id", "root", "n", "at", "early")))
+
+    others, family = tokens.where("not main"), tokens.where("main and early")
+    # The side that may hold a third of all rows is dealt to several tasks.
+    met = spread_join(side("y", tokens), side("x", others.where("early")), ["token"]).unionByName(spread_join(side("x", family), side("y", others), ["token"]))
+    met = met.where("root_x <> root_y and (n_x < n_y or n_x = n_y and (doc_id_x < doc_id_y or early_y and doc_id_x <> doc_id_y))")
     # What follows the first shared shingle bounds what two sets have in common.
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     met = met.where((DENOMINATOR * F.col("n_x") >= NUMERATOR * F.col("n_y")) & (both * left >= NUMERATOR * (F.col("n_x") + F.col("n_y"))))
