@@ -896,12 +896,14 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
-@query("SELECT event_type AS outcome, count(*) AS records FROM events GROUP BY event_type")
+@query("SELECT event_type AS outcome, count(*) AS records, count(DISTINCT user_id) AS works FROM events GROUP BY event_type")
 def k2_live_counters(spark, sf_dir):
+    """Records and different works by outcome: two streams over the events, each with its own state."""
     rows = _stream(spark, sf_dir).select(F.col("event_type").alias("outcome"), F.concat(F.lit("W"), F.col("user_id").cast("string")).alias("work_ref"))
-    name = f"counters_{uuid.uuid4().hex}"
-    live.run_available(live.live_counters(rows), name, "complete", shared_folder(spark))
-    return spark.table(name).select("outcome", "records")
+    records, works_ = (f"{kind}_{uuid.uuid4().hex}" for kind in ("records", "works"))
+    live.run_available(live.live_counters(rows), records, "complete", shared_folder(spark))
+    live.run_available(live.live_works(rows), works_, "complete", shared_folder(spark))
+    return spark.table(records).join(spark.table(works_), "outcome").select("outcome", "records", "works")
 
 
 @query("WITH e AS (SELECT *, floor(value * 100)::BIGINT AS fp FROM events), f AS (SELECT fp, arg_min(user_id, (ts, 'W' || user_id)) AS u FROM e GROUP BY fp) SELECT count(*) AS reuses, count(DISTINCT fp) AS fingerprints FROM e JOIN f USING (fp) WHERE user_id <> u")
