@@ -243,6 +243,13 @@ def test_validation_detects_what_was_planted(spark, sf):
     assert got["overall"].planted == sum(r.planted for k, r in got.items() if k != "overall") and got["clone_description"].detected_rate is not None
 
 
+def test_masks_of_references_are_not_broadcast(spark):
+    """The sides' sizes were taken from tables that are exploded into a row for each digit."""
+    rows = spark.createDataFrame([("MP0000001-W12",), ("MP0000001-W13",)], "ref string")
+    plan = similarity.near_references(rows, rows.withColumnRenamed("ref", "known"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_near_references(spark):
     rows = spark.createDataFrame([("MP1-W23",)], "ref string")
     known = spark.createDataFrame([("MP1-W24",), ("MP1-W23",), ("MP2-W24",), ("MP9-W23",)], "known string")
