@@ -156,6 +156,18 @@ def test_hamming_pairs_differ_in_every_chunk_but_one(spark, most):
     assert got == ([(1, 2, most)] if most else [])
 
 
+def test_signatures_of_many_blocks_meet_without_candidate_keys(spark, monkeypatch):
+    """No row is exploded into keys, which were broadcast by the size of the rows they came from."""
+    rng = np.random.default_rng(9)
+    prints = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)]
+    prints += [p ^ sum(1 << int(i) for i in set(rng.integers(0, 63, 14))) for p in prints]
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 50)
+    got = similarity.hamming_pairs(spark.createDataFrame(list(enumerate(prints)), "k long, s long"), "k", "s", 14)
+    count = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    assert sorted(map(tuple, got.collect())) == [(a, b, count(prints[a], prints[b])) for a in range(600) for b in range(a + 1, 600) if count(prints[a], prints[b]) <= 14]
+    assert "combinations" not in vars(similarity)
+
+
 def test_greedy_clusters_of_fingerprints(spark):
     """Each row joins the first cluster whose head is near, taken in order, against a loop over rows."""
     rng = np.random.default_rng(4)
