@@ -168,6 +168,19 @@ def test_signatures_of_many_blocks_meet_without_candidate_keys(spark, monkeypatc
     assert "combinations" not in vars(similarity)
 
 
+def test_simhash_is_the_majority_of_the_words_hashes(spark):
+    texts = ["one two  three\tfour", "a A b", "", None, "alone"]
+    rows = similarity.with_simhash(spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, text string"), "text", "sig")
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for x in texts if x for w in x.lower().split()], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    want = []
+    for x in texts:
+        words = set((x or "").lower().split())
+        value = sum(1 << i for i in range(64) if sum(1 if hashes[w] >> i & 1 else -1 for w in words) > 0)
+        want.append(value - (1 << 64) if value >> 63 else value)
+    assert [r.sig for r in rows.orderBy("k").collect()] == want
+    assert len(rows._jdf.queryExecution().toString()) < 20_000
+
+
 def test_greedy_clusters_of_fingerprints(spark):
     """Each row joins the first cluster whose head is near, taken in order, against a loop over rows."""
     rng = np.random.default_rng(4)
