@@ -153,8 +153,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     return spark.read.options(header=True, sep=sep or separator(spark, path), escape='"').csv(path)
 
 
-def profile(df: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
-    """For each column: rows, nulls, distinct values up to ``cap``, inferred type, least and greatest, up to five samples.
+def profile(df: DataFrame, cap: int | None = DISTINCT_CAP) -> DataFrame:
+    """For each column: rows, nulls, distinct values up to ``cap``, or all without one, inferred type, least and greatest, up to five samples.
 
     Blank cells are null. One aggregate makes all but the distinct counts, with a sketch for each column, whose relative error is below
     1 %. Only columns that the sketch puts under 1.2 times the cap are counted exactly; the others have ``cap`` and ``capped``. A
@@ -171,14 +171,15 @@ def profile(df: DataFrame, cap: int = DISTINCT_CAP) -> DataFrame:
         ]
     wide = cut(df.agg(*aggs))
     estimates = wide.select(*(F.coalesce(f"e_{i}", F.lit(0)).alias(f"e_{i}") for i in range(len(filled)))).first()  # one row
-    exact = [c for i, c in enumerate(filled) if estimates[f"e_{i}"] <= 1.2 * cap]
+    exact = [c for i, c in enumerate(filled) if cap is None or estimates[f"e_{i}"] <= 1.2 * cap]
     kind = lambda i: F.when(F.col(f"n_{i}") == 0, "empty").when(F.col(f"i_{i}"), "integer").when(F.col(f"f_{i}"), "number").otherwise("text")
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), (F.col("n_rows") - F.col(f"n_{i}")).alias("n_null"), kind(i).alias("inferred_type"), F.col(f"lo_{i}").alias("least"), F.col(f"hi_{i}").alias("greatest"), F.col(f"s_{i}").alias("samples"), F.lit(c in exact).alias("_exact")) for i, c in enumerate(filled)))
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), filled[c].alias("value")) for c in exact or list(filled)))).alias("x")).where("x.value is not null")
     counts = cells.groupBy("x.column_name", "x.value").agg(F.lit(1).alias("one")).groupBy("column_name").agg(F.count("*").alias("_n"))
     out = wide.select(F.explode(rows).alias("x")).select("x.*").join(counts, "column_name", "left")
     n = F.when(F.col("_exact"), F.coalesce("_n", F.lit(0))).otherwise(cap)
-    return out.select("column_name", "n_rows", "n_null", F.least(n, F.lit(cap)).cast("long").alias("n_distinct"), "inferred_type", "least", "greatest", "samples", (n >= cap).alias("capped"))
+    most, capped = (n, F.lit(False)) if cap is None else (F.least(n, F.lit(cap)), n >= cap)
+    return out.select("column_name", "n_rows", "n_null", most.cast("long").alias("n_distinct"), "inferred_type", "least", "greatest", "samples", capped.alias("capped"))
 
 
 def paired_dates(rows: DataFrame, key: str, stage: str, date: str, order: str, first: str, second: str) -> DataFrame:
