@@ -268,6 +268,26 @@ def test_validation_detects_what_was_planted(spark, sf):
     assert got["overall"].planted == sum(r.planted for k, r in got.items() if k != "overall") and got["clone_description"].detected_rate is not None
 
 
+def test_profile_without_a_cap_counts_all(spark):
+    from worksift.sources import ingest
+
+    got = ingest.profile(spark.range(260_000).withColumnRenamed("id", "k"), cap=None).first()
+    assert (got.n_distinct, got.capped) == (260_000, False)
+    assert ingest.profile(spark.range(260_000)).first().capped
+
+
+def test_a_record_is_matched_once_and_by_its_whole_reference(spark, tmp_path):
+    """Keys of seven digits were cut to six, and references that then were equal gave a record several rows."""
+    from worksift.plans.queries import QUERIES
+
+    orders = spark.createDataFrame([(1_234_561, 1, 500.0), (1_234_562, 1, 700.0), (1_234_565, 1, 900.0)], "o_orderkey long, o_custkey long, o_totalprice double")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: (r.matched, r.amount_agrees) for r in QUERIES["c12_match_records"](spark, str(tmp_path)).collect()}
+    assert got == {1_234_561: (True, True), 1_234_562: (True, True), 1_234_565: (False, False)}
+    records, known = spark.createDataFrame([("R1", 700.0)], "ref string, amount double"), spark.createDataFrame([("R1", 10.0), ("R1", 700.0)], "known string, known_amount double")
+    assert [(r.matched, r.amount_agrees) for r in similarity.match_records(records, known).collect()] == [(True, True)]
+
+
 def test_masks_of_references_are_not_broadcast(spark):
     """The sides' sizes were taken from tables that are exploded into a row for each digit."""
     rows = spark.createDataFrame([("MP0000001-W12",), ("MP0000001-W13",)], "ref string")
