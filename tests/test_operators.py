@@ -241,6 +241,29 @@ def test_work_pairs_and_signal(spark):
     assert {r.work_ref: (-r.duplicate_similarity, r.duplicate_partner) for r in similarity.duplicate_signal(works, texts).collect()} == best
 
 
+def test_works_of_one_description_meet_at_the_ends_of_stretches(spark, monkeypatch):
+    """Each lists its nearest by amount, also beyond the stretch it is dealt to; no pair is shuffled."""
+    monkeypatch.setattr(similarity, "STRETCH", 12)
+    rng = np.random.default_rng(3)
+    works = [(f"R{k:03}", "S", "C", "text", float(rng.integers(0, 400))) for k in range(100)]
+    numbered = similarity.by_amount(spark.createDataFrame(works, "work_ref string, state_name string, activity_category string, work_description string, recommended_amount double"))
+    met = similarity.same_text_neighbours(numbered, 5)
+    order, want = sorted((w[4], w[0]) for w in works), set()
+    for i, (amount, x) in enumerate(order):
+        near = sorted((abs(a - amount), y) for a, y in order[max(0, i - 5) : i + 6] if y != x)[:5]
+        want |= {(x, y) for _, y in near if x < y}
+    assert {(r.a, r.b) for r in met.collect()} == want
+    assert "Join" not in similarity.same_text_neighbours(numbered.limit(9), 5)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_early_warning_reads_durations_from_the_table_at_hand(spark):
+    from worksift.operators import fusion
+
+    rows = spark.createDataFrame([("C", "S", 40.0, True, False, 0.0), ("C", "S", 90.0, False, True, 0.7)], "activity_category string, state_name string, duration_days double, is_completed boolean, is_open boolean, risk_score double")
+    both = [fusion.add_early_warning(rows, d).select("stall_ratio", "early_warning_score", "early_warning_level").orderBy("stall_ratio").collect() for d in (None, rows)]
+    assert both[0] == both[1] and both[0][1].stall_ratio == 90 / 40
+
+
 def test_chain_finds_the_first_break(spark):
     rows = spark.createDataFrame([(w, k, f"a{k}") for w in ("x", "y", "z") for k in range(1, 6)], "w string, seq int, detail string")
     chained = fusion.chain(rows, "w", "seq", ["detail"])
