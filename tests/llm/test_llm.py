@@ -773,3 +773,9 @@ def test_toxicity_splits_runs_and_reads_long_tokens(spark):
     docs += [(1000 + k, t) for k, t in enumerate(odd)]
     got = {r.doc_id: r.predicted for r in op7_toxicity.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert [got[1000 + k] for k in range(len(odd))] == [1, 1, 1, 1, 1, 0]
+
+
+def test_quality_references_are_all_good_labels(spark):
+    labels = spark.range(40_000).selectExpr("id as doc_id", "1 as quality")
+    want = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").count()
+    assert op6_quality.reference_rows(labels).count() == want > 20_000
