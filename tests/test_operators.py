@@ -364,3 +364,38 @@ def test_queries_agree_with_sql(spark, sf, name):
     want = con.sql(SQL[name]).df()[list(got.columns)]
     show = lambda df: sorted(tuple(round(v, 4) if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False))
     assert show(got) == show(want)
+
+
+def test_partners_of_one_description_meet_across_ranges(spark, monkeypatch):
+    """The score's duplicates equal the pair table's, over ranges of a few rows and batches that end anywhere; no pair is shuffled."""
+    rng = np.random.default_rng(8)
+    rows = [(f"R{k:04}", "S", "C" if k % 50 else None, f"text {k % 7 // 5}" if k % 11 else None, f"A{k % 3}" if k % 13 else None, "c", "m", float(rng.integers(0, 60)) if k % 17 else None) for k in range(700)]
+    works = spark.createDataFrame(rows, "work_ref string, state_name string, activity_category string, work_description string, implementing_agency string, constituency string, mp_name string, recommended_amount double")
+    none = spark.createDataFrame([], "text_a string, text_b string, similarity double")
+    pairs = similarity.work_pairs(works, none)
+    want = {tuple(r) for r in similarity.best_partner(pairs.where(similarity.concerning(pairs))).select("ref", "partner", "similarity").collect()}
+    assert len(want) > 300
+    try:
+        for ranges, batch in ((1, 7), (3, 1000), (90, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            found = similarity.same_text_partners(works)
+            assert {(r.work_ref, r.duplicate_partner, r.duplicate_similarity) for r in found.collect()} == want
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_stored_work_is_shuffled_once(spark, sf):
+    """Works and what belongs to them are dealt by one range shuffle, and peers' percentiles are added without one."""
+    from worksift.plans.scored import score
+    from worksift.sources.adapters import works
+
+    rows = score(works(spark, sf), ranged=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    plain = score(works(spark, sf)).select(*rows.columns)
+    assert rows.count() == plain.count() and rows.exceptAll(plain).isEmpty()
