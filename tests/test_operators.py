@@ -399,3 +399,33 @@ def test_a_stored_work_is_shuffled_once(spark, sf):
     assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     plain = score(works(spark, sf)).select(*rows.columns)
     assert rows.count() == plain.count() and rows.exceptAll(plain).isEmpty()
+
+
+def test_cox_passes_read_each_different_row_once(spark, monkeypatch):
+    """Copies are one row with their count: twenty copies and twenty times the ridge fit what one copy fits."""
+    rng = np.random.default_rng(1)
+    one = pd.DataFrame({"duration_days": rng.integers(1, 40, 300).astype(float), "event_observed": rng.integers(0, 2, 300), "a": rng.normal(size=300)})
+    whole, sizes, cut = spark.createDataFrame(one), [], models.cut
+    monkeypatch.setattr(models, "cut", lambda df: sizes.append(df.count()) or cut(df))
+    fitted = [models.cox(rows, ["a"], ridge) for rows, ridge in ((whole, 0.1), (whole.crossJoin(spark.range(20)).drop("id"), 2.0))]
+    assert sizes == [300, 300] and np.allclose(fitted[0][0], fitted[1][0], atol=1e-9)
+    assert np.allclose(*(models.survival_at(baseline, 20) for _, baseline in fitted))
+
+
+def test_forest_scores_rows_of_equal_values_once(spark):
+    rng = np.random.default_rng(2)
+    values = pd.DataFrame({"k": range(600), "a": rng.integers(0, 30, 600) / 4, "b": rng.integers(0, 3, 600).astype(float)})
+    rows = spark.createDataFrame(values)
+    forest = models.grow_forest(rows, "k", ["a", "b"], trees=12, sample=64)
+    trees = [g.set_index("node") for _, g in forest.nodes.groupby("tree")]
+
+    def path(tree, row):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] if row[["a", "b"][tree.feature[at]]] < tree.value[at] else tree.right[at]
+        return tree.path[at]
+
+    scored = forest.scores(rows, "k")
+    assert "MapInPandas" not in scored._jdf.queryExecution().executedPlan().toString()  # different values are scored before, as a small table
+    got = {r.k: r.score for r in scored.collect()}
+    assert len(got) == 600 and all(np.isclose(got[r["k"]], 2 ** (-sum(path(t, r) for t in trees) / 12 / forest.scale)) for _, r in values.iloc[:150].iterrows())
