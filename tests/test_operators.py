@@ -429,3 +429,11 @@ def test_forest_scores_rows_of_equal_values_once(spark):
     assert "MapInPandas" not in scored._jdf.queryExecution().executedPlan().toString()  # different values are scored before, as a small table
     got = {r.k: r.score for r in scored.collect()}
     assert len(got) == 600 and all(np.isclose(got[r["k"]], 2 ** (-sum(path(t, r) for t in trees) / 12 / forest.scale)) for _, r in values.iloc[:150].iterrows())
+
+
+def test_forest_limit_does_not_move_with_the_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame(pd.DataFrame({"k": range(40_000), "a": rng.normal(size=40_000)}))
+    forests = [models.grow_forest(rows.repartition(n), "k", ["a"], trees=5, sample=64) for n in (1, 7)]
+    scores = np.sort(forests[0].scores(rows, "k").toPandas()["score"].to_numpy())
+    assert forests[0].limit == forests[1].limit == scores[int(np.ceil(0.98 * len(scores))) - 1]
