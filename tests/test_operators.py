@@ -437,3 +437,7 @@ def test_forest_limit_does_not_move_with_the_partitions(spark):
     forests = [models.grow_forest(rows.repartition(n), "k", ["a"], trees=5, sample=64) for n in (1, 7)]
     scores = np.sort(forests[0].scores(rows, "k").toPandas()["score"].to_numpy())
     assert forests[0].limit == forests[1].limit == scores[int(np.ceil(0.98 * len(scores))) - 1]
+
+
+def test_the_duplicate_signal_agrees_with_its_sql(spark, sf):
+    test_queries_agree_with_sql(spark, sf, "c7_duplicate_signal")
