@@ -1,6 +1,9 @@
 """Archetypes and stored models: what is learnt, what works carry, and that a second session scores equally without fitting."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -59,6 +62,46 @@ def test_a_group_is_described_by_a_bounded_sample(spark):
     assert models.class_terms(rows, "g", "t", top=200, min_df=1, per_group=10).where("term rlike '^rare[0-9]+$'").count() == 10
 
 
+def test_class_terms_equal_plain_counts(spark, monkeypatch):
+    """Tasks that add up and hand on after a few words count the same: pairs across stretches, groups without a word or a name, odd letters."""
+    monkeypatch.setattr(models, "MOST_NEW", 3)
+    monkeypatch.setattr(models, "MOST_KEPT", 5)
+    rng = random.Random(5)
+    words = ["road", "Straße", "ÉCOLE", "the", "x", "пруд", "pond2", "७८", "𐐷𐐷", "lamp"]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([" ", " - ", "\n", ", "]).join(rng.choices(words, k=rng.randrange(12)))) for _ in range(200)]
+    rows += [("c", None), ("c", ""), ("d", " -- the x"), ("e", "lone"), ("a", "!road!road")]
+    tf = Counter()
+    for group, text in rows:
+        said = [w for w in re.split(r"[^\w]+", (text or "").lower()) if len(w) > 1 and w not in models.STOPWORDS]
+        tf.update((group, t) for t in said + [f"{a} {b}" for a, b in zip(said, said[1:], strict=False)])
+    n, df, total = len({g for g, _ in tf} - {None}), Counter(t for _, t in tf), Counter()
+    for (_, t), k in tf.items():
+        total[t] += k
+    want = []
+    for group in ("a", "b", "e"):
+        raw = {t: k * (math.log((1 + n) / (1 + df[t])) + 1) for (g, t), k in tf.items() if g == group and total[t] >= 3}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        want += [(group, i, t, pytest.approx(-w, abs=2e-9)) for i, (w, t) in enumerate(sorted((-round(x / norm, 9), t) for t, x in raw.items())[:12], 1)]
+    got = models.class_terms(spark.createDataFrame(rows, "g string, t string").repartition(3), "g", "t").orderBy("g", "rank").collect()
+    assert [tuple(r) for r in got] == want and len(want) == 24
+
+
+def test_class_terms_read_texts_once_and_no_group_is_dealt_whole(spark):
+    """The texts were read once for each use of the counts, and all terms of a group went to one task."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(f"g{k % 2}", f"road lamp{k % 5} pond") for k in range(40)], "g string, t string").mapInPandas(count, "g string, t string")
+    found = models.class_terms(rows, "g", "t")
+    assert found.count() == 24 and read.value == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("12, Final") < plan.index("Exchange hashpartitioning(g") < plan.index("12, Partial")
+
+
 def test_a_second_session_scores_equally_without_fitting(spark, sf, tmp_path, monkeypatch):
     base = works(spark, sf).limit(2000)
     fitted = model_store.train(base, ks=(3, 6), trees=20)
