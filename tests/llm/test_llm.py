@@ -779,3 +779,32 @@ def test_quality_references_are_all_good_labels(spark):
     labels = spark.range(40_000).selectExpr("id as doc_id", "1 as quality")
     want = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").count()
     assert op6_quality.reference_rows(labels).count() == want > 20_000
+
+
+@pytest.mark.parametrize("part", [None, 0])
+def test_repeated_windows_look_at_few_places(spark, monkeypatch, part):
+    """Only places of like windows are sorted by whole hashes; a ``part`` without bits makes all places look alike, with the same counts."""
+    if part is not None:
+        monkeypatch.setattr(op6_quality, "_PART", part)
+    rng = random.Random(5)
+    texts = [[], ["a"], ["a", "a", "a"], ["a"] * 4, [f"w{k}" for k in range(3000)], [f"w{k}" for k in range(900)] + ["w5", "w6", "w7"], *(rng.choices("abcd", k=rng.randint(3, 90)) for _ in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, words array<string>").withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("marks", op6_quality.window_marks(F.col("h"))).withColumn("near", op6_quality.near_places(F.col("marks")))
+    for r in rows.withColumn("n", op6_quality.repeated_window_words(F.col("h"), F.col("near"))).collect():
+        w = texts[r.id]
+        n = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        twice = {i for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1}
+        assert r.n == len({i + k for i in twice for k in range(3)}) and twice <= set(r.near)
+        assert part is not None or len(r.near) <= len(twice) + 2
+
+
+def test_shares_are_dealt_to_short_lists(spark):
+    shares = spark.createDataFrame([(x, f"{x}{k}", k / 1000, 0.5) for x in ("en", "fr") for k in range(300)], "lang string, word string, share double, rest double")
+    told = op6_quality.dealt_shares(shares).collect()
+    want = {x.lang: {} for x in told}
+    for r in shares.select("lang", F.xxhash64("word").alias("h"), "share").collect():
+        want[r.lang][r.h] = r.share
+    for r in told:
+        assert r.rest == 0.5 and max(len(m or {}) for m in r.shares) <= 16
+        assert {h: v for m in r.shares for h, v in (m or {}).items()} == want[r.lang] and len(want[r.lang]) == 300
+        assert all(h % op6_quality.LISTS == at for at, m in enumerate(r.shares) for h in m or {})

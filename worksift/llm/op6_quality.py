@@ -29,6 +29,11 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 MIN_CHARS, MIN_JUDGED_WORDS = 200, 64
 SPREAD, MARGIN = 5.0, 1.03
 _RUNS = "array<struct<h:bigint,n:int>>"
+#: A mark holds a place below ``_PLACES`` and, in the bits of ``_PART``, part of a hash; never negative, so that differences are exact.
+_PLACES = 1 << 31
+_PART = (1 << 62) - _PLACES
+#: Lists that a language's words are dealt to by hash, a power of two: a map is searched from its start, so none should be long.
+LISTS = 128
 
 
 def plain_words(text: Column) -> Column:
@@ -38,12 +43,23 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " ", -1), "")
 
 
-def repeated_window_words(hashes: Column, width: int = 3) -> Column:
-    """How many words, given as hashes, lie in windows of ``width`` words that occur twice or more; sorts, never pairs."""
+def window_marks(hashes: Column, width: int = 3) -> Column:
+    """A number for each place of the words, given as hashes: part of its window's hash before the place; sorted, so like windows are neighbours."""
+    window = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))
+    return F.sort_array(F.transform(hashes, lambda _, i: window(i).bitwiseAND(F.lit(_PART)).bitwiseOR(i.cast("bigint"))))
 
-    def covered(w: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(width))).alias("key"), i.alias("at")))
-        return let(F.sort_array(keys), twice)
+
+def near_places(marks: Column) -> Column:
+    """Places whose mark has a neighbour of the same part: all whose window occurs twice or more, and few others."""
+    near = F.filter(marks, lambda x, i: (F.get(marks, i + 1) - x < _PLACES) | (x - F.get(marks, i - 1) < _PLACES))
+    return F.transform(near, lambda x: x.bitwiseAND(F.lit(_PLACES - 1)).cast("int"))
+
+
+def repeated_window_words(hashes: Column, near: Column, width: int = 3) -> Column:
+    """How many words, given as hashes, lie in windows of ``width`` words that occur twice or more; sorts, never pairs.
+
+    ``near`` are the places to look at, see ``near_places``; whole hashes of their windows are compared.
+    """
 
     def twice(keys: Column) -> Column:
         n = F.size(keys)
@@ -51,42 +67,57 @@ def repeated_window_words(hashes: Column, width: int = 3) -> Column:
         at = F.array_distinct(F.flatten(F.array_compact(same)))
         return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(i + k for k in range(width)))))))
 
-    return F.when(F.size(hashes) > width, let(hashes, covered)).otherwise(0).cast("long")
+    whole = F.filter(near, lambda i: i <= F.size(hashes) - width)
+    keys = F.transform(whole, lambda i: F.struct(F.xxhash64(*(F.get(hashes, i + k) for k in range(width))).alias("key"), i.alias("at")))
+    found = let(F.sort_array(keys), lambda k: F.when(F.size(k) > 1, twice(k)).otherwise(0))
+    return F.when(F.size(near) > 1, found).otherwise(0).cast("long")
 
 
-def runs_of(hashes: Column) -> Column:
-    """(h, n): how often each hash occurs."""
+def run_ends(hashes: Column) -> Column:
+    """Where the runs of equal, sorted hashes end, counted from 1."""
+    return F.array_compact(F.transform(hashes, lambda x, i: F.when(~F.get(hashes, i + 1).eqNullSafe(x), i + 1)))
 
-    def counted(a: Column) -> Column:
-        n = F.size(a)
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(a, i - 1) != F.get(a, i)))
-        return let(ends, lambda e: F.zip_with(e, F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)), lambda to, start: F.struct(F.get(a, to - 1).alias("h"), (to - start).alias("n"))))
 
-    return F.when(F.size(hashes) > 0, let(F.sort_array(hashes), counted)).otherwise(F.array().cast(_RUNS))
+def runs_of(hashes: Column, ends: Column) -> Column:
+    """(h, n): how often each of the sorted hashes occurs, by its ``run_ends``."""
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
+    runs = F.zip_with(ends, starts, lambda to, start: F.struct(F.get(hashes, to - 1).alias("h"), (to - start).alias("n")))
+    return F.when(F.size(ends) > 0, runs).otherwise(F.array().cast(_RUNS))
 
 
 def features(docs: DataFrame, listed: list[str]) -> DataFrame:
-    """Base counts, character classes and runs of ``listed`` words of each document, without its text."""
+    """Base counts, character classes and runs of ``listed`` words of each document, without its text.
+
+    Arrays are sorted as columns of their own, where Spark sorts plain numbers, and not within a lambda.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     base = base.withColumn("words", plain_words(F.col("text")))
     lines = let(F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    common = F.transform(F.filter(F.transform("words", F.lower), lambda w: w.isin(listed)), lambda w: F.xxhash64(w)) if listed else F.array().cast("array<bigint>")
+    common = F.transform(F.filter("words", lambda w: F.lower(w).isin(listed)), lambda w: F.xxhash64(F.lower(w))) if listed else F.array().cast("array<bigint>")
     found = base.select(
-        "doc_id", "lang", "text",
+        "doc_id", "lang",
+        F.length("text").alias("n_chars"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.array_join("words", "").alias("joined"),
         lines.cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.transform("words", lambda w: F.xxhash64(w))).alias("n_repeat_words"),
-        runs_of(common).alias("runs"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        F.sort_array(common).alias("common"),
     )
-    # Each class is taken out of what the ones before it left, so only the first reads the whole text.
-    found = found.withColumn("left0", F.regexp_replace("text", "[a-z]+", ""))
-    for k, pattern in enumerate(("[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]+", r"[^\x00-\x7F]+"), 1):
+    found = found.withColumns({"marks": window_marks(F.col("hashes")), "ends": run_ends(F.col("common"))})
+    found = found.withColumns({"near": near_places(F.col("marks")), "runs": runs_of(F.col("common"), F.col("ends"))}).drop("marks", "common", "ends")
+    found = found.withColumn("n_repeat_words", repeated_window_words(F.col("hashes"), F.col("near"))).drop("hashes", "near")
+    # Each class is taken out of what the ones before it left. White space is out already; other alphabets go first, because they may
+    # be the whole text, and a text whose bytes are as many as its characters has none.
+    joined = F.col("joined")
+    found = found.withColumn("left0", F.when(F.octet_length(joined) > F.length(joined), F.regexp_replace(joined, r"[^\x00-\x7F]+", "")).otherwise(joined))
+    for k, pattern in enumerate(("[a-z]+", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+"), 1):
         found = found.withColumn(f"left{k}", F.regexp_replace(f"left{k - 1}", pattern, ""))
-    sizes = [F.length("text"), *(F.length(f"left{k}") for k in range(6)), F.lit(0)]
-    classes = F.array(*((a - b).cast("double") for a, b in zip(sizes, sizes[1:], strict=False)))
-    return found.select("doc_id", "lang", "n_words", "word_chars", (F.length("left3") - F.length("left4")).cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", classes.alias("classes"), "runs")
+    left = [F.length(f"left{k}") for k in range(5)]
+    lower, upper, digit, symbol = (a - b for a, b in zip(left, left[1:], strict=False))
+    sizes = {"lower": lower, "upper": upper, "digit": digit, "space": F.col("n_chars") - F.length(joined), "symbol": symbol, "wide": F.length(joined) - left[0], "rest": left[4]}
+    classes = F.array(*(sizes[c].cast("double") for c in CLASSES))
+    return found.select("doc_id", "lang", "n_words", F.length(joined).cast("long").alias("word_chars"), symbol.cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", classes.alias("classes"), "runs")
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -106,8 +137,20 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
+def _list_of(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(LISTS - 1)).cast("int")
+
+
+def dealt_shares(shares: DataFrame) -> DataFrame:
+    """(lang, shares, rest): of each language ``LISTS`` maps of hash to share, each with the hashes that are dealt to it, or null."""
+    rows = shares.select("lang", "share", "rest", F.xxhash64("word").alias("h"))
+    maps = rows.groupBy("lang", _list_of(F.col("h")).alias("at")).agg(F.map_from_entries(F.collect_list(F.struct("h", "share"))).alias("map"), F.max("rest").alias("rest"))
+    told = maps.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("at", "map"))).alias("maps"), F.max("rest").alias("rest"))
+    return told.select("lang", F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda k: F.try_element_at("maps", k)).alias("shares"), "rest")
+
+
 def word_distance(runs: Column, total: Column, shares: Column, rest: Column) -> Column:
-    """Jensen-Shannon distance of a document's common words from its language's ``shares`` (hash to share, ``rest`` for others).
+    """Jensen-Shannon distance of a document's common words from its language's ``shares`` (``rest`` for others), see ``dealt_shares``.
 
     Words that the document lacks add what their shares leave: they needn't be visited.
     """
@@ -121,7 +164,7 @@ def word_distance(runs: Column, total: Column, shares: Column, rest: Column) ->
         return F.when(x["q"].isNull(), state).otherwise(added)
 
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("seen"), F.lit(0).alias("n"))
-    with_share = F.transform(runs, lambda x: F.struct(x["n"].alias("n"), F.try_element_at(shares, x["h"]).alias("q")))
+    with_share = F.transform(runs, lambda x: F.struct(x["n"].alias("n"), F.try_element_at(F.get(shares, _list_of(x["h"])), x["h"]).alias("q")))
     whole = F.aggregate(with_share, start, step, lambda s: s["sum"] + (1 - rest - s["seen"]) + term(1 - s["n"] / total, rest))
     return F.sqrt(F.greatest(whole, F.lit(0.0)) / 2)
 
@@ -169,9 +212,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shares = word_shares(docs, good)
     listed = sorted(r["word"] for r in shares.select("word").distinct().collect())  # at most COMMON words a language
     found = stored(features(docs, listed))
-    told = shares.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct(F.xxhash64("word"), "share"))).alias("shares"), F.max("rest").alias("rest"))
     sums = found.join(good, "doc_id").groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))))
-    told = cut(told.join(sums, "lang", "left").select("lang", "shares", "rest", F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias("ref_classes")))
+    told = cut(dealt_shares(shares).join(sums, "lang", "left").select("lang", "shares", "rest", F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias("ref_classes")))
     chars = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
 
     def measured(rows: DataFrame) -> DataFrame:
