@@ -441,3 +441,18 @@ def test_forest_limit_does_not_move_with_the_partitions(spark):
 
 def test_the_duplicate_signal_agrees_with_its_sql(spark, sf):
     test_queries_agree_with_sql(spark, sf, "c7_duplicate_signal")
+
+
+def test_the_silhouette_is_of_all_rows(spark, monkeypatch):
+    """It was taken from a sample of 20,000 rows, so the count of groups was chosen by a part of them."""
+    seen = []
+
+    class Counting(models.ClusteringEvaluator):
+        def evaluate(self, found):
+            seen.append(found.count())
+            return super().evaluate(found)
+
+    monkeypatch.setattr(models, "ClusteringEvaluator", Counting)
+    vectors = spark.range(40_100).select(F.col("id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("v"))
+    got = models.cluster(vectors, "id", "v", ks=(2, 3)).select("k", "silhouette").distinct()
+    assert seen == [40_100, 40_100] and got.select("silhouette").distinct().count() == 1 and got.first().silhouette > 0.99
