@@ -456,3 +456,24 @@ def test_the_silhouette_is_of_all_rows(spark, monkeypatch):
     vectors = spark.range(40_100).select(F.col("id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("v"))
     got = models.cluster(vectors, "id", "v", ks=(2, 3)).select("k", "silhouette").distinct()
     assert seen == [40_100, 40_100] and got.select("silhouette").distinct().count() == 1 and got.first().silhouette > 0.99
+
+
+def test_works_are_not_made_by_one_task(spark, sf):
+    """By the size of its compressed file the whole table of orders was broadcast, and one task made all works."""
+    from worksift.sources.adapters import works
+
+    plan = works(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin [o_orderkey" in plan
+
+
+def test_materialising_leaves_no_shuffle_files_and_no_setting(spark):
+    """Shuffle files stayed until the driver's garbage was collected, so all of a query's shuffles lay on disk at once."""
+    from worksift.plans import lineage
+
+    before, seen = spark.conf.get(lineage.CLEANS), []
+    rows = lineage.cut(spark.range(1000).repartition(3, "id"))
+    assert rows.count() == 1000 and spark.conf.get(lineage.CLEANS) == before
+    got = lineage.together(spark, lambda: lineage.cut(rows.groupBy((rows.id % 7).alias("k")).count()).count(), lambda: lineage.stored(rows.distinct()).count())
+    with lineage.cleaned(spark), lineage.cleaned(spark):
+        seen.append(spark.conf.get(lineage.CLEANS))
+    assert got == [7, 1000] and seen == ["true"] and spark.conf.get(lineage.CLEANS) == before
