@@ -477,3 +477,11 @@ def test_materialising_leaves_no_shuffle_files_and_no_setting(spark):
     with lineage.cleaned(spark), lineage.cleaned(spark):
         seen.append(spark.conf.get(lineage.CLEANS))
     assert got == [7, 1000] and seen == ["true"] and spark.conf.get(lineage.CLEANS) == before
+
+
+def test_pairs_are_stored_before_their_works_are_added(spark, sf):
+    """All shuffles that make the pairs lay on disk beside those that add their works and sort them."""
+    from worksift.plans.scored import featured
+
+    plan = similarity.work_pairs(featured(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("SortMergeJoin") == 2
